@@ -26,6 +26,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = records.withColumn("n_bytes", F.when(whole, F.octet_length("payload").cast("long"))).withColumn("digest", F.when(whole, F.sha2("payload", 256)))
     text = F.when(F.col("record_type") == "metadata", F.col("payload").cast("string"))
     records = records.withColumn("page_id", F.regexp_extract(text, r"page-id: (-?\d+)", 1).try_cast("long")).drop("payload", "header")
+    records = written(records, "records")  # each kind of record reads it once; the archives are parsed only here
     captures = written(warc.resolve_revisits(warc.assemble(records)), "captures")
     return captures.select(
         F.col("metadata.page_id").alias("page_id"),
