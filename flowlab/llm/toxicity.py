@@ -107,7 +107,7 @@ def _terms(text: str) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 3000, most_clean: int = 12000, most_terms: int = 5000) -> Grammar:
     """A grammar from rows of ``docs`` with a label for which ``training`` (on the id) holds.
 
-    At most ``most_toxic`` and ``most_clean`` rows are read, the first by a hash of the id; null labels are left out, of several labels
+    At most ``most_toxic`` and ``most_clean`` rows are used (which bounds the broadcast of their ids), the first by a hash of the id; null labels are left out, of several labels
     the greatest counts. A word or stem joins the lexicon if its share of toxic rows is too high for chance (Chernoff bound,
     over as many terms as there are); the ``most_terms`` strongest stay. Without labels of both kinds the lexicon is empty and
     the fixed factors remain.
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(training).groupBy(id_col).agg(F.max(label_col).alias("y"))
     ranked = lambda y, n: labelled.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
     chosen = ranked(1, most_toxic).union(ranked(0, most_clean))
-    sample = written(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen.hint("shuffle_hash"), id_col).select("text", "y"), "toxicity-sample")
+    sample = written(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("text", "y"), "toxicity-sample")
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return Grammar(bias=math.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 4.5)))
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
             keys = list(counts[1].keys() | counts[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["term", "a", "b"])
 
-    terms = written(sample.repartition(F.xxhash64("text")).mapInArrow(counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3"), "toxicity-terms")
+    terms = written(sample.mapInArrow(counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3"), "toxicity-terms")
     base = n[1] / (n[0] + n[1])
     tests = max(2, terms.count())
     share = F.col("a") / (F.col("a") + F.col("b"))
