@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,6 +49,17 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def slices(batch: pa.RecordBatch, text_at: int, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``limit`` bytes of text: what a task holds of a batch is bounded but for single texts."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    begin = 0
+    while begin < batch.num_rows:
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, fn) -> DataFrame:
     """(id, fields) for every row, in one pass: ``fn`` takes a batch's texts (null: empty) and returns its columns, or
     (row of each output, columns). Ids pass as Arrow arrays, so nulls and large values stay as they are."""
@@ -54,7 +68,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, fn) -> D
     out = f"`{id_col}` {kind}, {fields}"
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             got = fn(batch.column(1).to_pylist())
             ids = batch.column(0)
             if isinstance(got, tuple):

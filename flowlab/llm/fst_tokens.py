@@ -135,7 +135,7 @@ def word_starts(cls: np.ndarray) -> np.ndarray:
 class Merger:
     """The byte transducer of one vocabulary file, determinised as words come."""
 
-    def __init__(self, path: str, max_states: int = 250_000):
+    def __init__(self, path: str, max_states: int = 160_000):
         spec = json.load(open(path, encoding="utf-8"))
         self.suffix = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -168,14 +168,14 @@ class Merger:
         self._allocate()
 
     def _allocate(self) -> None:
-        def grown(name: str, fill: int, kind: type) -> None:
-            new, old = np.full((self.room, self.width), fill, kind), getattr(self, name, None)
+        def grown(name: str) -> None:  # unused rows stay untouched, so they take no memory
+            new, old = np.zeros((self.room, self.width), np.int32), getattr(self, name, None)
             if old is not None and len(self.states) > 1:
                 new[: old.shape[0], : old.shape[1]] = old
             setattr(self, name, new)
 
-        grown("to", -1, np.int32)  # next state * 256 + change of the count + 128
-        grown("end", -1, np.int32)  # the last token of a word that ends with this byte here, likewise
+        grown("to")  # next state * 256 + change of the count + 128; 0: not compiled yet
+        grown("end")  # the last token of a word that ends with this byte here, likewise
         for name in ("last_token", "last_length"):
             new, old = np.zeros(self.room, np.int32), getattr(self, name, None)
             if old is not None and len(self.states) > 1:
@@ -207,7 +207,7 @@ class Merger:
         got = self.fits.get((a, b))
         if got is None:
             got = self.fits[a, b] = self.encode(self.symbols[a] + self.symbols[b]) == [a, b]
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
         return got
 
@@ -273,8 +273,8 @@ class Merger:
                 s, where = state[lo:hi], at[lo:hi] + j
                 c = cols[where]
                 got = table.reshape(-1)[s * self.width + c]
-                if (got < 0).any():
-                    for k in np.unique(s[got < 0].astype(np.int64) * 256 + data[where[got < 0]]):
+                if not got.all():
+                    for k in np.unique(s[got == 0].astype(np.int64) * 256 + data[where[got == 0]]):
                         make(int(k >> 8), int(k & 255))
                     got = (self.end if make == self.compile_end else self.to).reshape(-1)[s * self.width + c]
                 count[lo:hi] += (got & 255) - 128
@@ -385,7 +385,7 @@ def tokenize(texts: list[str], path: str, ids: bool = False):
     return total, out
 
 
-def batches(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` characters; one longer text makes a range of its own."""
     begin, size = 0, 0
     for k, t in enumerate(texts):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from flowlab.llm.common import map_texts
+from flowlab.llm.common import map_texts, slices
 
 # Kinds in their order, base patterns, least lengths.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -103,7 +103,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     marked = StructType(list(schema)).add("__changed", "boolean")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, at)):
             old = batch.column(at).to_pylist()
             new = [t and redacted(t, mark) for t in old]
             columns = list(batch.columns)
