@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from flowlab.llm import exact_dedup, packing, secrets, simhash, toxicity
-from flowlab.llm.common import table, written
+from flowlab.llm.common import table, text_or_empty, written
 from flowlab.llm.queries import CAPACITY, THRESHOLD, WORDS, in_training
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,21 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays; of rows that repeat that id too, one."""
     found = exact_dedup.exact_dedup(docs, exact_dedup.earlier_half(docs))
-    return _one_of_each(docs, found.where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key")).distinct(), exact_dedup.text_digest(F.coalesce("text", F.lit(""))))
+    return _one_of_each(docs, found.where("kept").select("doc_id", F.hex("digest").alias("__text")), F.hex(exact_dedup.text_digest(text_or_empty())))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest doc_id stays."""
+    """Of each near-duplicate component the document with the smallest doc_id stays (with a null id only where all ids are)."""
     found = simhash.near_dedup(docs)
-    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__key")).distinct()
-    return _one_of_each(docs, named, F.col("doc_id"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _one_of_each(docs, kept.select("doc_id", F.lit("").alias("__text")), F.lit(""))
 
 
-def _one_of_each(docs: DataFrame, keep: DataFrame, key) -> DataFrame:
-    """The rows named by (__id, __key), one for each; among rows that repeat an id the one with the least row hash."""
-    rows = docs.withColumn("__k", key)
-    chosen = rows.join(keep, rows["doc_id"].eqNullSafe(keep["__id"]) & rows["__k"].eqNullSafe(keep["__key"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "__k"]).select(*docs.columns)
+def _one_of_each(docs: DataFrame, keep: DataFrame, text_key: Column) -> DataFrame:
+    """The rows named by (doc_id, __text), one for each. The texts move once: the join and the last step have the same keys."""
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
+    named = keep.select(id_key, "__text").distinct()
+    rows = docs.select("*", id_key, text_key.alias("__text"))
+    return rows.join(named, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

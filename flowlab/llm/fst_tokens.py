@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -160,8 +161,8 @@ class Merger:
         self.clear()
 
     def clear(self) -> None:
-        # A state: for each k whose last k bytes begin some token, (k, last token before them, tokens emitted since).
-        self.states = [(b"", ((0, -1, 0),))]
+        # A state: for each k whose last k bytes begin some token, (k, last token before them, tokens emitted since), packed.
+        self.states = [_packed(b"", [(0, -1, 0)])]
         self.ids = {self.states[0]: 0}
         self.columns = np.full(256, -1, np.int32)
         self.n_columns, self.width, self.room = 0, 128, 4096
@@ -213,7 +214,7 @@ class Merger:
 
     def follow(self, state: int, symbol: int) -> tuple[int, int, int]:
         """(token that ends with this symbol, its length, change of the count)."""
-        tail, back = self.states[state]
+        tail, back = _unpacked(self.states[state])
         for k, last, since in reversed(back):  # the longest that fits; there is exactly one
             t = self.by_symbols.get((*tail[len(tail) - k :], symbol))
             if t is not None and self.fit(last, t):
@@ -223,11 +224,11 @@ class Merger:
     def compile(self, state: int, byte: int) -> None:
         column = self.columns[byte]
         token, length, delta = self.follow(state, byte)
-        tail, back = self.states[state]
+        tail, back = _unpacked(self.states[state])
         text = tail + bytes([byte])
         kept = [(0, token, 0)] + [(k + 1, last, since + delta) for k, last, since in back if (*tail[len(tail) - k :], byte) in self.begins]
         text = text[len(text) - kept[-1][0] :] if kept[-1][0] else b""
-        key = (text, tuple(kept))
+        key = _packed(text, kept)
         new = self.ids.get(key)
         if new is None:
             new = self.ids[key] = len(self.states)
@@ -315,6 +316,18 @@ class Merger:
         return self._sizes
 
 
+ENTRY = struct.Struct("<Bib")
+
+
+def _packed(tail: bytes, back: list[tuple[int, int, int]]) -> bytes:
+    return bytes([len(tail)]) + tail + b"".join(ENTRY.pack(*x) for x in back)
+
+
+def _unpacked(state: bytes) -> tuple[bytes, list[tuple[int, int, int]]]:
+    n = 1 + state[0]
+    return state[1:n], list(ENTRY.iter_unpack(state[n:]))
+
+
 def _byte_chars() -> dict[int, str]:
     """The usual printable stand-ins of byte-level vocabularies: printable Latin-1 stays, the rest follows from U+0100 on."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
