@@ -1,0 +1,18 @@
+"""The folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """That of ``spark.checkpoint.dir``; on a local master without it, a folder of this run."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-flowlab-")

@@ -1,0 +1,113 @@
+"""Scans and sinks of connection logs, kernel logs and label files, with explicit schemas."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
+
+from flowlab.functions import ipv4_to_u32, num
+
+CONN_FIELDS = ("ts", "orig_h", "resp_h", "orig_p", "resp_p", "proto", "duration", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "conn_state")
+CONN_TYPES = {"ts": "double", "orig_h": "string", "resp_h": "string", "orig_p": "int", "resp_p": "int", "proto": "string", "conn_state": "string"}
+NESTED = {"orig_h": "id.orig_h", "resp_h": "id.resp_h", "orig_p": "id.orig_p", "resp_p": "id.resp_p"}
+EVENT_DDL = "ts_ns long, ts_s double, pid long, uid long, comm string, saddr long, daddr long, sport int, dport int, proto int, saddr_str string, daddr_str string, evtype int, state_old long, state_new long, bytes long, retransmits long"
+FLOW_DDL = "first_ts_ns long, last_ts_ns long, first_ts_s double, last_ts_s double, flush_ts_s double, saddr long, daddr long, sport int, dport int, proto int, saddr_str string, daddr_str string, bytes_sent long, bytes_recv long, retransmits long, state_changes long, samples long, pid_mode long, uid_mode long, comm_mode string"
+LABEL_COLUMNS = ("Source IP", "Source Port", "Destination IP", "Destination Port", "Protocol", "Timestamp", "Label")
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """Text columns as the connection's types: bad, blank and '-' numbers become 0."""
+    return rows.select(*[F.col(c) if CONN_TYPES.get(c) == "string" else num(F.col(c), CONN_TYPES.get(c, "double")).alias(c) for c in CONN_FIELDS])
+
+
+def read_conn_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines with dotted keys or nested objects; bad lines are skipped."""
+    flat = ", ".join(f"`{NESTED.get(c, c)}` string" for c in CONN_FIELDS)
+    raw = spark.read.schema(f"{flat}, id struct<orig_h: string, resp_h: string, orig_p: string, resp_p: string>").option("mode", "DROPMALFORMED").json(path)
+    pick = [F.coalesce(F.col(f"`{NESTED[c]}`"), F.col(f"id.{c}")).alias(c) if c in NESTED else F.col(c) for c in CONN_FIELDS]
+    return _typed(raw.select(*pick))
+
+
+def read_conn_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """TSV whose ``#fields`` line names the columns of its file; other lines with # are skipped."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.where(F.col("value").startswith("#fields")).groupBy("file").agg(F.min("value").alias("head"))  # one row per file
+    body = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).join(heads, "file")
+    names = F.slice(F.split("head", "\t"), 2, 1000)
+    cells = F.split("value", "\t")
+    at = lambda c: F.try_element_at(cells, F.nullif(F.array_position(names, NESTED.get(c, c)), F.lit(0)).cast("int"))
+    return _typed(body.select(*[F.when(at(c) != "-", at(c)).alias(c) for c in CONN_FIELDS]))
+
+
+def read_conn_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, without one, or with repeated ones."""
+    return _typed(spark.read.schema(", ".join(f"{c} string" for c in CONN_FIELDS)).csv(path).where("ts is null or ts <> 'ts'"))
+
+
+def detect_conn_format(spark: SparkSession, path: str) -> DataFrame:
+    """(file, format) by the first line that is not blank."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    first = lines.groupBy("file").agg(F.trim(F.min_by("value", "n")).alias("line"))
+    return first.select("file", F.when(F.col("line").startswith("{"), "json").when(F.col("line").startswith("#") | F.col("line").contains("\t"), "tsv").otherwise("csv").alias("format"))
+
+
+def read_kernel_events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EVENT_DDL).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_kernel_flows(spark: SparkSession, path: str) -> DataFrame:
+    """Flow partials; the address text is preferred, the number is the fallback; rows without two valid addresses go."""
+    raw = spark.read.schema(FLOW_DDL).option("mode", "DROPMALFORMED").json(path)
+    out = raw.withColumns({c: F.coalesce(ipv4_to_u32(F.col(f"{c}_str")), F.col(c)) for c in ("saddr", "daddr")})
+    return out.where("saddr is not null and daddr is not null")
+
+
+def read_labels(spark: SparkSession, path: str, day: str, encoding: str = "UTF-8") -> DataFrame:
+    """All label files of a weekday; headers are trimmed and the required columns checked."""
+    raw = spark.read.option("header", True).option("encoding", encoding).option("pathGlobFilter", "*" + "".join(f"[{c.lower()}{c.upper()}]" for c in day) + "*.csv").csv(path)
+    named = raw.toDF(*[c.strip() for c in raw.columns])
+    missing = [c for c in LABEL_COLUMNS if c not in named.columns]
+    if missing:
+        raise ValueError(f"label files lack {missing}")
+    return named.select(*[F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in LABEL_COLUMNS], F.col("_metadata.file_name").alias("file") if "_metadata" in named.columns else F.input_file_name().alias("file"))
+
+
+def flatten_struct(df: DataFrame, prefix: str = "run_") -> DataFrame:
+    """Nested fields as a_b, lists as JSON text, all with the prefix."""
+
+    def walk(schema: StructType, path: tuple[str, ...]) -> list:
+        out = []
+        for f in schema:
+            here = (*path, f.name)
+            if isinstance(f.dataType, StructType):
+                out += walk(f.dataType, here)
+            else:
+                c = F.col(".".join(f"`{x}`" for x in here))
+                out.append((F.to_json(c) if isinstance(f.dataType, ArrayType) else c).alias(prefix + "_".join(here)))
+        return out
+
+    return df.select(*walk(df.schema, ()))
+
+
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "errorifexists") -> None:
+    df.write.mode(mode).option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+
+
+MERGED = ("ts", "duration", "orig_h", "resp_h", "orig_p", "resp_p", "proto", "conn_state", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "start_ts", "end_ts", "ebpf_bytes_sent", "ebpf_bytes_recv", "ebpf_retransmits", "ebpf_state_changes", "ebpf_samples", "ebpf_pid", "ebpf_uid", "ebpf_comm")
+
+
+def to_merged_layout(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in MERGED if c in df.columns], *[c for c in df.columns if c.startswith("run_")])
+
+
+def combine_runs(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def load_split(spark: SparkSession, path: str, roles: tuple[str, ...]) -> DataFrame:
+    """Rows of these roles of a table partitioned by split; other partitions are not read."""
+    return spark.read.parquet(path).where(F.col("split").isin(*roles))
