@@ -49,7 +49,7 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, text_at: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text_at: int, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``limit`` bytes of text: what a task holds of a batch is bounded but for single texts."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
     begin = 0
