@@ -104,3 +104,8 @@ def occurrence(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """A stable row identity: a hash of the natural key and the number of the occurrence."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("flow_id", F.xxhash64(*keys, F.row_number().over(w)))
+
+
+def newest_keys(flows: DataFrame, order: list[str], n: int = 50_000) -> DataFrame:
+    """The flow cache's bound on a table: the n rows that are newest by ``order``, taken per task before they meet."""
+    return flows.orderBy(*[F.desc(c) for c in order]).limit(n)

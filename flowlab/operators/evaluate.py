@@ -31,26 +31,27 @@ def score_counts(df: DataFrame, y: str, score: str, by: tuple[str, ...] = (), we
     return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(w)).alias("n"))
 
 
-def prefix_sums(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def prefix_sums(counts: DataFrame, by: tuple[str, ...] = (), ranged: bool = False) -> DataFrame:
     """tp, fp at or above every distinct score, and pos, neg in all.
 
-    Without groups, scores are dealt into ranges: a window adds up inside each range, and the ranges' totals, one row per partition, are added
-    before. With groups (replicates, models) a window per group does."""
-    if by:
+    Without groups, or with ``ranged``, scores are dealt into ranges: a window adds up inside each range, and the ranges' totals, 32 at most per
+    group, are added before. Otherwise a window per group (replicate) does."""
+    if by and not ranged:
         down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = Window.partitionBy(*by)
         return counts.select(*by, "s", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
     # Cut points by a sketch over the counts; the number of ranges is fixed, so the offsets are one small row.
     cuts = counts.agg(F.percentile_approx("s", [k / 32 for k in range(1, 32)], 1000).alias("cuts"))
     ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
-    totals = ranged.groupBy("range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    every = totals.agg(F.collect_list(F.struct("range", "rp", "rn")).alias("all"))  # 32 ranges at most
-    down = Window.partitionBy("range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select("s", "p", "n", "range", F.sum("p").over(down).alias("lp"), F.sum("n").over(down).alias("ln")).crossJoin(F.broadcast(every))
+    totals = ranged.groupBy(*by, "range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
+    every = totals.groupBy(*by).agg(F.collect_list(F.struct("range", "rp", "rn")).alias("all"))  # 32 ranges at most
+    down = Window.partitionBy(*by, "range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select(*by, "s", "p", "n", "range", F.sum("p").over(down).alias("lp"), F.sum("n").over(down).alias("ln"))
+    local = local.join(every, list(by)) if by else local.crossJoin(F.broadcast(every))
     zero = F.lit(0).cast(local.schema["lp"].dataType)
     above = lambda field: F.aggregate(F.filter("all", lambda x: x["range"] > F.col("range")), zero, lambda a, x: a + x[field])
     total = lambda field: F.aggregate("all", zero, lambda a, x: a + x[field])
-    return local.select("s", "p", "n", (F.col("lp") + above("rp")).alias("tp"), (F.col("ln") + above("rn")).alias("fp"), total("rp").alias("pos"), total("rn").alias("neg"))
+    return local.select(*by, "s", "p", "n", (F.col("lp") + above("rp")).alias("tp"), (F.col("ln") + above("rn")).alias("fp"), total("rp").alias("pos"), total("rn").alias("neg"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -210,3 +211,9 @@ def paired_cluster_bootstrap(df: DataFrame, y: str, a: str, b: str, cluster: str
     each = drawn.groupBy("replicate").agg(F.when(s("pos") > 0, (s("tpb") - s("tpa")) / s("pos")).alias("recall"), F.when(s("neg") > 0, (s("fpb") - s("fpa")) / s("neg")).alias("fpr"))
     long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("delta")) for m in ("recall", "fpr")])).alias("x")).select("x.*").where("delta is not null")
     return long.groupBy("metric").agg(F.count("delta").alias("replicates"), F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+
+
+def ecdf(df: DataFrame, score: str) -> DataFrame:
+    """(score, share): the share of rows at or below every distinct score."""
+    sums = prefix_sums(score_counts(df.withColumn("__y", F.lit(1)), "__y", score))
+    return sums.select(F.col("s").alias("score"), (1.0 - (F.col("tp") - F.col("p")) / F.col("pos")).alias("share"))

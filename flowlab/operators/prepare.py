@@ -222,3 +222,13 @@ def select_features(df: DataFrame) -> list[str]:
 
 def week_order(day: str) -> Column:
     return F.array_position(F.array(*[F.lit(d) for d in DAYS]), F.col(day))
+
+
+def build_feature_sets(df: DataFrame, label: str, encode: list[str], frequencies: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """Rows without Unknown labels, with column_freq for the listed columns (fitted on these rows, or given), and the column names of the baseline and the
+    enhanced set."""
+    known = df.where(F.lower(F.coalesce(F.col(label), F.lit(""))) != "unknown")
+    for c in encode:
+        known = freq_encode(known, c, (frequencies or {}).get(c, fit_freq(known, c)))
+    base, enhanced = split_feature_columns(known.columns)
+    return known, base, enhanced

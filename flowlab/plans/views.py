@@ -37,14 +37,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flows(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Of the table, or of a stream of its rows."""
     # A zoneless time minus the zoneless epoch: the same in any session zone.
     us = "timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', ts)"
-    return spark.sql(FLOWS.replace("{us}", us), events=events(spark, sf_dir))
+    return spark.sql(FLOWS.replace("{us}", us), events=events(spark, sf_dir) if source is None else source)
 
 
-def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(KERNEL, v_flows=flows(spark, sf_dir))
+def kernel(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    return spark.sql(KERNEL, v_flows=flows(spark, sf_dir, source))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,20 @@ def combine_runs(frames: list[DataFrame]) -> DataFrame:
 def load_split(spark: SparkSession, path: str, roles: tuple[str, ...]) -> DataFrame:
     """Rows of these roles of a table partitioned by split; other partitions are not read."""
     return spark.read.parquet(path).where(F.col("split").isin(*roles))
+
+
+def write_scored(scored: DataFrame, path: str, checkpoint: str | None = None):
+    """Appends scored events as JSON lines; a stream needs a checkpoint folder and gives back its query."""
+    if scored.isStreaming:
+        return scored.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+    return scored.write.mode("append").json(path)
+
+
+def write_report(report: DataFrame, path: str, kind: str = "json") -> None:
+    """A small report (one row per step, class or fold) as one file."""
+    report.coalesce(1).write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def write_folds(df: DataFrame, folds: DataFrame, keys: list[str], path: str) -> None:
+    """Every fold's test rows, by repeat and fold; the row table is joined once."""
+    df.join(folds, keys).repartition("repeat", "fold", *keys).write.mode("errorifexists").partitionBy("repeat", "fold").parquet(path)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlab.operators.enrich import FORWARD, REVERSE, TUPLE, aggregate_events
 
@@ -34,3 +38,36 @@ def stream_enrich(conn: DataFrame, flows: DataFrame, slop_s: int = 10, delay: st
     joined = left.join(right, on, "leftOuter")
     best = F.max_by(F.struct("rank", "samples", "bytes_sent", "bytes_recv"), F.struct(F.coalesce("rank", F.lit(-1)), F.coalesce("samples", F.lit(-1)), F.coalesce("bytes_sent", F.lit(-1))))
     return joined.groupBy("conn_id", "start").agg(best.alias("b")).select("conn_id", "start", F.when(F.col("b.rank") == 1, "fwd").when(F.col("b.rank") == 0, "rev").otherwise("none").alias("match_dir"), "b.samples", "b.bytes_sent", "b.bytes_recv")
+
+
+CACHED = ("samples", "last_us", "part_id", "first_us", "bytes_sent", "bytes_recv")
+
+
+def flow_state(flows: DataFrame, ttl_s: int = 3600, delay: str = "10 seconds") -> DataFrame:
+    """The flow cache on a stream: per 5-tuple the partial with most samples (then the latest), given out when it changes (``expired`` false)
+    and once more when event time has passed its last packet by ``ttl_s`` (``expired`` true), after which it is forgotten. The expiry per key bounds
+    the state where a batch keeps the newest keys."""
+    rows = flows.withColumn("at", F.timestamp_micros("last_us")).withWatermark("at", delay)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in flows.select(*TUPLE).schema)}, {', '.join(f'{c} long' for c in CACHED)}, expired boolean"
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def out(best: tuple, expired: bool) -> pd.DataFrame:
+            return pd.DataFrame([(*key, *best, expired)], columns=[*TUPLE, *CACHED, "expired"])
+
+        if state.hasTimedOut:
+            yield out(state.get, True)
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        best = before
+        for f in frames:
+            top = f.sort_values(list(CACHED[:3]), ascending=False)[list(CACHED)].iloc[0]
+            now = tuple(int(v) for v in top)
+            best = now if best is None else max(best, now)
+        state.update(best)
+        state.setTimeoutTimestamp(max(best[1] // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
+        if best != before:
+            yield out(best, False)
+
+    grouped = rows.select(*TUPLE, *CACHED, "at").groupBy(*TUPLE)
+    return grouped.applyInPandasWithState(keep, schema, ", ".join(f"{c} long" for c in CACHED), "append", GroupStateTimeout.EventTimeTimeout)
