@@ -60,11 +60,9 @@ def summary(scored: DataFrame, y: str, threshold: float, by: tuple[str, ...] = (
     )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def report(rows: list[DataFrame]) -> DataFrame:
+    """A table of one-row results, one per fit; each is computed as it comes, so no plan grows with the number of fits."""
+    return rows[0].sparkSession.createDataFrame([r.first() for r in rows], rows[0].schema)
 
 
 def _prefixed(df: DataFrame, prefix: str, columns: tuple[str, ...]) -> DataFrame:
@@ -73,10 +71,11 @@ def _prefixed(df: DataFrame, prefix: str, columns: tuple[str, ...]) -> DataFrame
 
 def evaluate_pack(pack: Pack, rows: DataFrame, y: str, roles: tuple[str, str] = ("train", "val")) -> DataFrame:
     """One row: both roles' area and F1, the gaps between them, and the selection score (the area less half the area's gap and a quarter of F1's)."""
-    sides = [_prefixed(summary(score(pack, rows.where(F.col("role") == r)), y, pack.threshold), r, ("roc_auc", "f1")) for r in roles]
     a, b = roles
+    both = summary(score(pack, rows.where(F.col("role").isin(a, b))), y, pack.threshold, ("role",))
+    row = both.agg(*[F.max(F.when(F.col("role") == r, F.col(m))).alias(f"{r}_{m}") for r in roles for m in ("roc_auc", "f1")])
     gap = lambda m: F.greatest(F.lit(0.0), F.coalesce(f"{a}_{m}", F.lit(0.0)) - F.coalesce(f"{b}_{m}", F.lit(0.0)))
-    row = sides[0].crossJoin(F.broadcast(sides[1])).withColumns({"gap_auc": gap("roc_auc"), "gap_f1": gap("f1")})  # one row each
+    row = row.withColumns({"gap_auc": gap("roc_auc"), "gap_f1": gap("f1")})
     chosen = F.coalesce(f"{b}_roc_auc", F.lit(0.0)) - 0.5 * F.col("gap_auc") - 0.25 * F.col("gap_f1")
     return row.withColumn("selection_score", chosen).withColumn("threshold", F.lit(pack.threshold))
 
@@ -84,7 +83,7 @@ def evaluate_pack(pack: Pack, rows: DataFrame, y: str, roles: tuple[str, str] =
 def rank_candidates(rows: DataFrame, kinds: list[str], features: list[str], y: str, seed: int = 104, size: int = 10) -> tuple[DataFrame, dict[str, Pack]]:
     """The leaderboard, best first, and the fitted packs by name."""
     packs = {kind: fit(rows, kind, features, y, seed, size) for kind in kinds}
-    board = union_all([evaluate_pack(p, rows, y).withColumn("model", F.lit(k)) for k, p in packs.items()])
+    board = report([evaluate_pack(p, rows, y).withColumn("model", F.lit(k)) for k, p in packs.items()])
     return leaderboard(board), packs
 
 
@@ -104,7 +103,7 @@ def matched_recall(packs: dict[str, Pack], rows: DataFrame, y: str, test: str =
         cut = evaluate.select_threshold(scored[name], y, "score", "recall", target).first()["threshold"]
         got = summary(score(p, rows.where(F.col("role") == test)), y, cut)
         out.append(got.select(F.lit(name).alias("model"), F.lit(target).alias("target_recall"), F.lit(float(cut)).alias("threshold"), "recall", "precision", "fpr", "f1"))
-    return union_all(out)
+    return report(out)
 
 
 def refit_table(splits: dict[str, DataFrame], feature_sets: dict[str, list[str]], kind: str, y: str, seed: int = 104, size: int = 10) -> DataFrame:
@@ -114,7 +113,7 @@ def refit_table(splits: dict[str, DataFrame], feature_sets: dict[str, list[str]]
         for name, features in feature_sets.items():
             got = evaluate_pack(fit(rows, kind, features, y, seed, size), rows, y, ("train", "test"))
             out.append(got.select(F.lit(split).alias("split"), F.lit(name).alias("feature_set"), F.lit(seed).alias("seed"), F.lit(len(features)).alias("n_features"), F.col("train_roc_auc").alias("train_auc"), F.col("test_roc_auc").alias("test_auc"), F.col("test_f1"), (F.col("train_roc_auc") - F.col("test_roc_auc")).alias("gap")))
-    return union_all(out)
+    return report(out)
 
 
 def seed_summary(runs: DataFrame, by: str = "feature_set", value: str = "test_auc", gap: str = "gap", seed: str = "seed") -> DataFrame:

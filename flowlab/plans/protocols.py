@@ -61,7 +61,7 @@ def multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enriched(spark, sf_dir).drop("role")
     sets = {"baseline": CORE, "enhanced": CORE + KERNEL}
     runs = [experiments.refit_table({"stratified": written(prepare.stratified_split(rows, FAMILY, seed, ROW), f"seed-{seed}")}, sets, "logreg", Y, seed, size=5) for seed in (SEED, SEED + 1, SEED + 2)]
-    return experiments.seed_summary(experiments.union_all(runs))
+    return experiments.seed_summary(runs[0].union(runs[1]).union(runs[2]))
 
 
 @query()
