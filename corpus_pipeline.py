@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest doc_id stays (with a null id only where all ids are)."""
-    found = simhash.near_dedup(docs)
+    """Of each component of texts whose five-word shingles are similar to 0.8 or more the document with the smallest doc_id stays (with a null id only where all ids are)."""
+    found = simhash.similar_dedup(docs, width=5, similarity=0.8)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return _one_of_each(docs, kept.select("doc_id", F.lit("").alias("__text")), F.lit(""))
 

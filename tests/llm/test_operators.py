@@ -227,7 +227,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(fps, distance=3):
+def brute_components(fps, distance=3, bits=64):
     parent = {f: f for f in fps}
 
     def find(x):
@@ -238,7 +238,7 @@ def brute_components(fps, distance=3):
     todo = sorted(parent)
     for i, a in enumerate(todo):
         for b in todo[i + 1 :]:
-            if ((a ^ b) & (1 << 64) - 1).bit_count() <= distance:
+            if ((a ^ b) & (1 << bits) - 1).bit_count() <= distance:
                 parent[find(a)] = find(b)
     return {f: find(f) for f in parent}
 
@@ -257,6 +257,72 @@ def test_simhash(odd, docs, empty):
         same(as_rows(got), want)
 
 
+def brute_long_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    mask, ones = (1 << 64) - 1, [0] * 1024
+    shingles = [xxhash.xxh64_intdigest(" ".join(words[k : k + 5]).encode(), 42) for k in range(max(1, len(words) - 4))]
+    for x in shingles:
+        for k in range(16):
+            h = x + (k + 1) * 0x9E3779B97F4A7C15 & mask
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+            h ^= h >> 31
+            for b in range(64):
+                ones[64 * k + b] += h >> b & 1
+    return sum(1 << b for b, n in enumerate(ones) if 2 * n > len(shingles))
+
+
+def long_fp(text):
+    return int.from_bytes(simhash.long_fingerprint(text, 5), "little")
+
+
+def test_long_fingerprints():
+    rnd = random.Random(5)
+    for n in (0, 1, 4, 5, 6, 40, 300):
+        text = " ".join(rnd.choice(["a", "Bc", "d", "é", "fgh"]) for _ in range(n))
+        assert long_fp(text) == brute_long_fingerprint(text)
+    rows = np.random.default_rng(0).integers(0, 2**63, (9000, 2), dtype=np.uint64)
+    assert (simhash.column_counts(rows) == np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(axis=0)).all()
+
+
+def edited(rnd, words, share):
+    return [rnd.choice("alpha beta gamma delta".split()) if rnd.random() < share else w for w in words]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("posting", [512, 16])
+def test_similar_dedup(spark, odd, empty, posting, monkeypatch):
+    """Groups of near copies (postings cut into blocks where they are short), unrelated texts, odd rows: as all pairs by brute force."""
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (simhash.LONG_BITS, posting))
+    rnd = random.Random(posting)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    texts, bases = [], [[rnd.choice(vocabulary) for _ in range(250)] for _ in range(5)]
+    for base, n in zip(bases, (60, 10, 3, 1, 1), strict=True):
+        texts += [base] + [edited(rnd, base, rnd.choice([0.004, 0.01, 0.06])) for _ in range(n)]
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    most = simhash.differing_bits(0.8, simhash.LONG_BITS)
+    for df in (table, odd, empty):
+        rows = df.select("doc_id", "text").collect()
+        fps = [long_fp(t or "") for _, t in rows]
+        root, least = brute_components(set(fps), most, simhash.LONG_BITS), {}
+        for (i, _), f in zip(rows, fps, strict=True):
+            if i is not None:
+                least[root[f]] = min(i, least.get(root[f], i))
+        same(as_rows(simhash.similar_dedup(df).select("doc_id", "component_id")), [(i, least.get(root[f])) for (i, _), f in zip(rows, fps, strict=True)])
+    class_of = {i: c for i, c in as_rows(simhash.similar_dedup(table).select("doc_id", "component_id"))}
+    for k, t in enumerate(texts):
+        for j in range(k):
+            if jaccard(t, texts[j]) >= 0.87:
+                assert class_of[k] == class_of[j]
+            assert class_of[k] != class_of[j] or len(set(t) & set(texts[j])) > 100
+
+
 @pytest.mark.parametrize("posting", [512, 8])
 def test_links_of_close_fingerprints(spark, posting):
     """Clusters with many members, with short postings forced to split again."""
@@ -479,8 +545,8 @@ def test_pipeline(spark, sf_dir):
     for i, t in sorted(left):
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), (i, t))
     left = list(seen.values())
-    fps = {i: brute_fingerprint(t or "") for i, t in left}
-    root, least = brute_components(set(fps.values())), {}
+    fps = {i: long_fp(t or "") for i, t in left}
+    root, least = brute_components(set(fps.values()), simhash.differing_bits(0.8, simhash.LONG_BITS), simhash.LONG_BITS), {}
     for i, f in sorted(fps.items()):
         least.setdefault(root[f], i)
     left = [(i, secrets.redacted(t or "", "[SECRET]")) for i, t in left if least[root[fps[i]]] == i]
