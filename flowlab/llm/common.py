@@ -58,6 +58,7 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = 1_000_000) -> Itera
         end = max(begin + 1, int(np.searchsorted(upto, before + limit, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    pa.default_memory_pool().release_unused()  # what Arrow keeps of earlier batches
 
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, fn) -> DataFrame:

@@ -223,10 +223,10 @@ def differing_bits(similarity: float, bits: int) -> int:
     return round(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def band_shape(n: int, bits: int, most: int, miss: float = 0.01) -> tuple[int, int]:
-    """(bits of a band, number of bands) for n fingerprints: a band's values are as many as the fingerprints, so that postings stay short as the corpus
-    grows, and all bands miss a pair at the limit of ``most`` differing bits with probability ``miss`` only."""
-    wide = min(60, max(16, math.ceil(math.log2(max(2, n)))))
+def band_shape(n: int, bits: int, most: int, miss: float = 0.05) -> tuple[int, int]:
+    """(bits of a band, number of bands) for n fingerprints: a band has four times as many values as there are fingerprints, so that few meet by chance as
+    the corpus grows, and all bands miss a pair at the very limit of ``most`` differing bits with probability ``miss`` only, nearer ones less."""
+    wide = min(54, max(16, 2 + math.ceil(math.log2(max(2, n)))))
     return wide, math.ceil(math.log(miss) / math.log1p(-((1 - most / bits) ** wide)))
 
 
@@ -250,8 +250,8 @@ def _similar_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 def similar_links(classes: DataFrame, most: int, bits: int = LONG_BITS, posting: int = POSTING) -> DataFrame:
     """Edges (u, v) between nodes (columns node, a long, and fp, binary) that differ in ``most`` bits or fewer and share a band: enough to connect all such pairs.
 
-    A posting longer than ``posting`` is cut into blocks by hash, and every two of its blocks are a unit of work: no pair is left out, and no task holds
-    more than two blocks.
+    Most postings of two members meet by chance: their pair is held against 56 of the bits before the fingerprints move. Of the others, a posting longer
+    than ``posting`` is cut into blocks by hash, and every two of its blocks are a unit of work: no pair is left out, and no task holds more than two blocks.
     """
     wide, bands = band_shape(classes.count(), bits, most)
     rng = np.random.default_rng(SEED)
@@ -260,33 +260,51 @@ def similar_links(classes: DataFrame, most: int, bits: int = LONG_BITS, posting:
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 each = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-                values = np.stack([each[:, at] @ powers for at in places], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), part.num_rows)), pa.array(values.reshape(-1))], names=["node", "band", "value"])
+                values = np.stack([each[:, at] @ powers + k * (1 << wide) for k, at in enumerate(places)], axis=1)  # the band's number on top
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), bands)), pa.array(values.reshape(-1))], names=["node", "key"])
+
+    keys = classes.select("node", "fp").mapInArrow(banded, "node long, key long")
+    postings = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("u"), F.max("node").alias("v")).where("size > 1"), "postings")
+
+    # A pair within the limit differs in as large a share of 56 bits, give or take five standard deviations.
+    share = most / bits
+    short_most = math.ceil(56 * share + 5 * math.sqrt(56 * share * (1 - share)))
+    short = classes.select("node", F.conv(F.hex(F.substring("fp", 1, 7)), 16, 10).cast("long").alias("short"))
+    first, second = short.toDF("u", "short_u"), short.toDF("v", "short_v")
+    pairs = postings.where("size = 2").select("u", "v").distinct().join(first, "u").join(second, "v")
+    pairs = written(pairs.where(F.bit_count(F.col("short_u").bitwiseXOR(F.col("short_v"))) <= short_most).select("u", "v"), "pairs")
+    fps = classes.select("node", "fp")
+    pairs = pairs.join(fps.toDF("u", "fp_u"), "u").join(fps.toDF("v", "fp_v"), "v").select("u", "v", "fp_u", "fp_v")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32) <= most
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["u", "v"])
 
-    keys = classes.select("node", "fp").mapInArrow(banded, "node long, band int, value long")
-    sizes = written(keys.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "postings")
-    members = written(keys.join(sizes, ["band", "value"]), "members")
+    members = written(keys.join(postings.where("size > 2").select("key", "size"), "key"), "members")
     blocks = F.ceil(F.col("size") / posting).cast("int")
-    block = F.pmod(F.xxhash64("node", "band"), blocks).cast("int")
+    block = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
     units = members.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("node", "band", "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    lists = units.join(classes.select("node", "fp"), "node").groupBy("band", "value", "lo", "hi").agg(F.collect_list(F.struct("node", "fp")).alias("found"))
+    units = units.select("node", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    lists = units.join(fps, "node").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "fp")).alias("found"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for found in batch.column(0):
                 nodes = found.values.field("node").to_numpy()
-                fps = np.frombuffer(b"".join(found.values.field("fp").to_pylist()), np.uint64).reshape(len(nodes), -1)
-                for i, j in _similar_forest(fps, most):
+                each = np.frombuffer(b"".join(found.values.field("fp").to_pylist()), np.uint64).reshape(len(nodes), -1)
+                for i, j in _similar_forest(each, most):
                     u.append(nodes[i])
                     v.append(nodes[j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return lists.where(F.size("found") > 1).select("found").mapInArrow(linked, "u long, v long")
+    grouped = lists.where(F.size("found") > 1).select("found").mapInArrow(linked, "u long, v long")
+    return pairs.mapInArrow(verified, "u long, v long").union(grouped)
 
 
 def similar_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
