@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,32 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = 1_000_000) -> Itera
     pa.default_memory_pool().release_unused()  # what Arrow keeps of earlier batches
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, fn) -> DataFrame:
+_kept: list = []
+
+
+def keeps_tables(make):
+    """Caches what ``make`` returns in a Python worker, from task to task, until a task of an operator that does not need it begins there."""
+    cached = lru_cache(maxsize=2)(make)
+    _kept.append(cached)
+    return cached
+
+
+def release_tables() -> None:
+    for cached in _kept:
+        cached.cache_clear()
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, fn, keep: bool = False) -> DataFrame:
     """(id, fields) for every row, in one pass: ``fn`` takes a batch's texts (null: empty) and returns its columns, or
-    (row of each output, columns). Ids pass as Arrow arrays, so nulls and large values stay as they are."""
+    (row of each output, columns). Ids pass as Arrow arrays, so nulls and large values stay as they are.
+    ``keep``: tables of ``keeps_tables`` stay in the workers."""
     rows = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
     kind = docs.schema[id_col].dataType.simpleString()
     out = f"`{id_col}` {kind}, {fields}"
 
     def run(batches):
+        if not keep:
+            release_tables()
         for batch in (part for b in batches for part in slices(b, 1)):
             got = fn(batch.column(1).to_pylist())
             ids = batch.column(0)

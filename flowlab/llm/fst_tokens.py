@@ -27,7 +27,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from flowlab.llm.common import map_texts
+from flowlab.llm.common import keeps_tables, map_texts
 
 # Splitter: classes of code points and states.
 SPACE, LETTER, NUMBER, OTHER, QUOTE, STMD, LET_R, LET_E, LET_V, LET_L = range(10)
@@ -335,7 +335,7 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
+@keeps_tables
 def merger(path: str) -> Merger:
     return Merger(path)
 
@@ -418,4 +418,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         n = [tokenize(texts[a:b], tokenizer) for a, b in batches(texts)]
         return [[len(t.encode()) for t in texts], np.concatenate(n) if n else []]
 
-    return map_texts(docs, id_col, text_col, "n_bytes long, n_tokens long", count)
+    return map_texts(docs, id_col, text_col, "n_bytes long, n_tokens long", count, keep=True)

@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, pieces, begins, lengths)]
         return flat[0], [flat[1].astype(np.int32), *flat[2:], parts]
 
-    return map_texts(docs, id_col, text_col, "piece int, start long, length long, ids binary", cut)
+    return map_texts(docs, id_col, text_col, "piece int, start long, length long, ids binary", cut, keep=True)
 
 
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

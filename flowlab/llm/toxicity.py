@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlab.llm.common import map_texts, slices, written
+from flowlab.llm.common import map_texts, release_tables, slices, written
 
 # Fixed word lists: English, German, French, Spanish.
 TARGET = "you your yours yourself he she they them him her du dich dir ihr euch sie er tu te toi vous il elle ils elles tú usted ustedes él ella ellos ellas".split()
@@ -121,6 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
         return Grammar(bias=math.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 4.5)))
 
     def counted(batches):
+        release_tables()
         for batch in (part for b in batches for part in slices(b, 0)):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -179,6 +180,7 @@ def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float, text_col: st
     at = docs.columns.index(text_col)
 
     def kept(batches):
+        release_tables()
         for batch in (part for b in batches for part in slices(b, at)):
             yield batch.filter(pa.array([grammar.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
