@@ -7,7 +7,7 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before k
 from __future__ import annotations
 
 import public_tokenizers
-from flowlab.llm import exact_dedup, packing, secrets, simhash, toxicity
+from flowlab.llm import exact_dedup, jaccard, packing, secrets, toxicity
 from flowlab.llm.common import table, text_or_empty, written
 from flowlab.llm.queries import CAPACITY, THRESHOLD, WORDS, in_training
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose five-word shingles are similar to 0.8 or more the document with the smallest doc_id stays (with a null id only where all ids are)."""
-    found = simhash.similar_dedup(docs, width=5, similarity=0.8)
+    found = jaccard.jaccard_dedup(docs, width=5, similarity=0.8)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return _one_of_each(docs, kept.select("doc_id", F.lit("").alias("__text")), F.lit(""))
 
