@@ -27,10 +27,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose five-word shingles are similar to 0.8 or more the document with the smallest doc_id stays (with a null id only where all ids are)."""
+    """Of each component of texts whose five-word shingles are similar to 0.8 or more the document with the smallest doc_id stays (with a null id only where all
+    ids are), one row: documents are told apart by id and text, so null and repeated ids name no other text."""
     found = jaccard.jaccard_dedup(docs, width=5, similarity=0.8)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _one_of_each(docs, kept.select("doc_id", F.lit("").alias("__text")), F.lit(""))
+    return _one_of_each(docs, found.where("kept").select("doc_id", F.hex("digest").alias("__text")), F.hex(exact_dedup.text_digest(text_or_empty())))
 
 
 def _one_of_each(docs: DataFrame, keep: DataFrame, text_key: Column) -> DataFrame:
