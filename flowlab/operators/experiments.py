@@ -27,11 +27,11 @@ def typed(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.withColumns({f: F.col(f).cast("double") for f in features})
 
 
-def fit(rows: DataFrame, kind: str, features: list[str], y: str, seed: int = 104, size: int = 10, depth: int = 6, mode: str = "f1", target: float = 0.0) -> Pack:
-    """Fits on role train and takes the threshold on val. ``size`` and ``depth`` are the trees or iterations and the trees' depth."""
+def fit(rows: DataFrame, kind: str, features: list[str], y: str, seed: int = 104, size: int | None = None, depth: int | None = None, mode: str = "f1", target: float = 0.0) -> Pack:
+    """Fits on role train and takes the threshold on val. ``size`` and ``depth`` are the trees or iterations and the trees' depth, by default those of ``models.candidate``."""
     ready = typed(rows, features)
     steps = models.candidate(kind, features, y, seed, size)
-    if kind != "logreg":
+    if kind != "logreg" and depth:
         steps.getStages()[-1].setMaxDepth(depth)
     model = steps.fit(models.balanced_weights(ready.where("role = 'train'"), y))
     threshold = evaluate.select_threshold(models.score_rows(model, ready.where("role = 'val'")), y, "score", mode, target).first()["threshold"]
@@ -80,7 +80,7 @@ def evaluate_pack(pack: Pack, rows: DataFrame, y: str, roles: tuple[str, str] =
     return row.withColumn("selection_score", chosen).withColumn("threshold", F.lit(pack.threshold))
 
 
-def rank_candidates(rows: DataFrame, kinds: list[str], features: list[str], y: str, seed: int = 104, size: int = 10) -> tuple[DataFrame, dict[str, Pack]]:
+def rank_candidates(rows: DataFrame, kinds: list[str], features: list[str], y: str, seed: int = 104, size: int | None = None) -> tuple[DataFrame, dict[str, Pack]]:
     """The leaderboard, best first, and the fitted packs by name."""
     packs = {kind: fit(rows, kind, features, y, seed, size) for kind in kinds}
     board = report([evaluate_pack(p, rows, y).withColumn("model", F.lit(k)) for k, p in packs.items()])
@@ -106,7 +106,7 @@ def matched_recall(packs: dict[str, Pack], rows: DataFrame, y: str, test: str =
     return report(out)
 
 
-def refit_table(splits: dict[str, DataFrame], feature_sets: dict[str, list[str]], kind: str, y: str, seed: int = 104, size: int = 10) -> DataFrame:
+def refit_table(splits: dict[str, DataFrame], feature_sets: dict[str, list[str]], kind: str, y: str, seed: int = 104, size: int | None = None) -> DataFrame:
     """A model refitted on every split and feature set: areas of train and test and the gap between them."""
     out = []
     for split, rows in splits.items():

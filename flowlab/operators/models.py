@@ -43,14 +43,11 @@ def score_rows(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
-def fit_and_score(rows: DataFrame, kind: str, y: str = "is_attack", row_id: str = "flow_id", seed: int = 104, size: int = 10) -> DataFrame:
-    """Fits on role train, takes the threshold of the best F1 on val, and returns (row id, y, score, pred) of test."""
+def fit_and_score(rows: DataFrame, kind: str, y: str = "is_attack", row_id: str = "flow_id", seed: int = 104, size: int | None = None) -> DataFrame:
+    """Fits on role train, takes the threshold of the best F1 on val, and returns (row id, y, score, pred) of test. ``size``: as in ``candidate``, by default in full."""
     typed = rows.withColumns({f: F.col(f).cast("double") for f in FEATURES})
     train = balanced_weights(typed.where("role = 'train'"), y)
-    steps = candidate(kind, FEATURES, y, seed, size)
-    if kind != "logreg":
-        steps.getStages()[-1].setMaxDepth(6)
-    model = steps.fit(train)
+    model = candidate(kind, FEATURES, y, seed, size).fit(train)
     threshold = select_threshold(score_rows(model, typed.where("role = 'val'")), y, "score", "f1").select("threshold")
     scored = score_rows(model, typed.where("role = 'test'"))
     return scored.crossJoin(F.broadcast(threshold)).select(row_id, y, "score", (F.col("score") >= F.col("threshold")).cast("int").alias("pred"))  # one row

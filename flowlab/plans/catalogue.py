@@ -441,7 +441,7 @@ def compare_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.scores(spark, sf_dir)
-    return evaluate.bootstrap_ci(s, "y_true", "ebpf_score_m", "roc_auc", n=100).unionByName(evaluate.bootstrap_ci(s, "y_true", "ebpf_score_m", "average_precision", cluster="cluster_key", n=100))
+    return evaluate.bootstrap_ci(s, "y_true", "ebpf_score_m", "roc_auc").unionByName(evaluate.bootstrap_ci(s, "y_true", "ebpf_score_m", "average_precision", cluster="cluster_key"))
 
 
 @query()

@@ -36,7 +36,7 @@ def pack(spark: SparkSession, sf_dir: str, kind: str = "logreg") -> tuple[experi
 
 @query()
 def model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiments.rank_candidates(written(by_day(spark, sf_dir), "days"), ["logreg", "rf", "extra", "gbt"], CORE, Y, SEED, size=3)[0]
+    return experiments.rank_candidates(written(by_day(spark, sf_dir), "days"), ["logreg", "rf", "extra", "gbt"], CORE, Y, SEED)[0]
 
 
 @query()
@@ -52,7 +52,7 @@ def refit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = enriched(spark, sf_dir)
     splits = {"days": rows, "stratified": prepare.stratified_split(rows.drop("role"), FAMILY, SEED, ROW)}
     encoded = {k: written(experiments.train_encoded(r, ["resp_p"]), f"split-{k}") for k, r in splits.items()}
-    return experiments.refit_table(encoded, {"baseline": CORE, "enhanced": CORE + KERNEL, "encoded": [*CORE, "resp_p_freq"]}, "logreg", Y, SEED, size=5)
+    return experiments.refit_table(encoded, {"baseline": CORE, "enhanced": CORE + KERNEL, "encoded": [*CORE, "resp_p_freq"]}, "logreg", Y, SEED)
 
 
 @query()
@@ -60,7 +60,7 @@ def multi_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both feature sets refitted under three seeds of the split, and their summary."""
     rows = enriched(spark, sf_dir).drop("role")
     sets = {"baseline": CORE, "enhanced": CORE + KERNEL}
-    runs = [experiments.refit_table({"stratified": written(prepare.stratified_split(rows, FAMILY, seed, ROW), f"seed-{seed}")}, sets, "logreg", Y, seed, size=5) for seed in (SEED, SEED + 1, SEED + 2)]
+    runs = [experiments.refit_table({"stratified": written(prepare.stratified_split(rows, FAMILY, seed, ROW), f"seed-{seed}")}, sets, "logreg", Y, seed) for seed in (SEED, SEED + 1, SEED + 2)]
     return experiments.seed_summary(runs[0].union(runs[1]).union(runs[2]))
 
 
@@ -121,7 +121,7 @@ def contamination_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iforest_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = by_day(spark, sf_dir)
     benign = rows.where("role = 'train' and is_attack = 0")
-    forest = models.isolation_forest(benign, CORE, ROW, trees=25)
+    forest = models.isolation_forest(benign, CORE, ROW)
     val = models.isolation_scores(rows.where("role = 'val'"), forest, CORE, ROW).join(rows.select(ROW, Y), ROW)
     return experiments.contamination_grid(models.isolation_scores(benign, forest, CORE, ROW), val, Y, "score")
 
