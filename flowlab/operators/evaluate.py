@@ -202,15 +202,47 @@ def normal_draw(seed: int, *cols: Column) -> Column:
     return F.sqrt(-2 * F.log(_uniform(seed, *cols))) * F.cos(6.283185307179586 * _uniform(seed + 1, *cols))
 
 
-def paired_cluster_bootstrap(df: DataFrame, y: str, a: str, b: str, cluster: str, n: int = 1000, seed: int = 104) -> DataFrame:
-    """Intervals of recall and false-positive-rate differences (b minus a) over cluster replicates; cells are counted per cluster first."""
-    cell = lambda yy, c: F.sum(F.when((F.col(y) == yy) & (F.col(c) == 1), 1).otherwise(0))
-    per = df.groupBy(F.col(cluster).alias("c")).agg(cell(1, a).alias("tpa"), cell(1, b).alias("tpb"), cell(0, a).alias("fpa"), cell(0, b).alias("fpb"), F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    drawn = per.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", poisson_draw(seed, F.col("replicate"), F.col("c")))
-    s = lambda c: F.sum(F.col(c) * F.col("w"))
-    each = drawn.groupBy("replicate").agg(F.when(s("pos") > 0, (s("tpb") - s("tpa")) / s("pos")).alias("recall"), F.when(s("neg") > 0, (s("fpb") - s("fpa")) / s("neg")).alias("fpr"))
-    long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("delta")) for m in ("recall", "fpr")])).alias("x")).select("x.*").where("delta is not null")
-    return long.groupBy("metric").agg(F.count("delta").alias("replicates"), F.avg("delta").alias("mean"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"))
+def paired_cluster_bootstrap(df: DataFrame, y: str, a: str, b: str, score_a: str, score_b: str, cluster: str, n: int = 1000, seed: int = 104) -> DataFrame:
+    """Point values and intervals of six metric differences (b minus a) over cluster replicates: (metric, delta, replicates, mean, low, high, clusters).
+
+    F1, precision, recall and the false-positive rate are of the predictions, counted per cluster first; the two areas are of the scores, counted per
+    (cluster, score) first. Both sides draw the same weights. Replicate 0 has every cluster once and is the point value; replicates in which a metric
+    has no value are left out of its interval. F1 and precision are 0 where nothing is predicted or found."""
+    c = F.col(cluster).alias("c")
+    replicate = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("replicate")
+    w = F.when(F.col("replicate") == 0, 1).otherwise(poisson_draw(seed, F.col("replicate"), F.col("c")))
+
+    def cells(model: str, pred: str) -> DataFrame:
+        hit = lambda yy: F.count_if((F.col(y) == yy) & (F.col(pred) == 1))
+        return df.groupBy(c).agg(F.lit(model).alias("model"), hit(1).alias("tp"), hit(0).alias("fp"), F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+
+    def counts(model: str, score: str) -> DataFrame:
+        return score_counts(df.withColumn("c", c), y, score, ("c",)).withColumns({"model": F.lit(model), "s": F.col("s").cast("double")})
+
+    s = lambda x: F.sum(F.col(x) * F.col("w"))
+    per = cells("a", a).unionByName(cells("b", b)).select("*", replicate).withColumn("w", w)
+    got = per.groupBy("replicate", "model").agg(*[s(x).alias(x) for x in ("tp", "fp", "pos", "neg")])
+    rate = lambda top, bottom: F.when(bottom > 0, top / bottom)
+    tp, fp, pos, neg = (F.col(x) for x in ("tp", "fp", "pos", "neg"))
+    or_zero = lambda x: F.when(pos + neg > 0, F.coalesce(x, F.lit(0.0)))
+    rates = got.select("replicate", "model", or_zero(rate(2.0 * tp, tp + fp + pos)).alias("f1"), or_zero(rate(tp, tp + fp)).alias("precision"), rate(tp, pos).alias("recall"), rate(fp, neg).alias("fpr"))
+    each = counts("a", score_a).unionByName(counts("b", score_b)).select("*", replicate).withColumn("w", w).where("w > 0")
+    merged = each.groupBy("replicate", "model", "s").agg(s("p").alias("p"), s("n").alias("n"))
+    sums = prefix_sums(merged, ("replicate", "model"))
+    p, no, up, down = (F.col(x).cast("double") for x in ("p", "n", "tp", "fp"))
+    both = (F.max("pos") > 0) & (F.max("neg") > 0)
+    roc, pr = F.sum(no * (up - p + p / 2.0)) / (F.max("pos").cast("double") * F.max("neg")), F.sum(F.when(up + down > 0, p * up / (up + down)).otherwise(0.0)) / F.max("pos")
+    areas = sums.groupBy("replicate", "model").agg(F.when(both, roc).alias("roc_auc"), F.when(both, pr).alias("pr_auc"))
+
+    def long(table: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+        value = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")
+        side = lambda model: F.max(F.when(F.col("model") == model, F.col("v")))
+        return table.select("replicate", "model", value).select("replicate", "model", "x.*").groupBy("replicate", "metric").agg((side("b") - side("a")).alias("delta"))
+
+    deltas = long(rates, ("f1", "precision", "recall", "fpr")).union(long(areas, ("roc_auc", "pr_auc")))
+    drawn = F.when(F.col("replicate") > 0, F.col("delta"))
+    out = deltas.groupBy("metric").agg(F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"), F.count(drawn).alias("replicates"), F.avg(drawn).alias("mean"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+    return out.crossJoin(F.broadcast(df.agg(F.count_distinct(cluster).alias("clusters"))))  # one row
 
 
 def ecdf(df: DataFrame, score: str) -> DataFrame:

@@ -446,7 +446,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def paired_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.paired_cluster_bootstrap(views.scores(spark, sf_dir), "y_true", "base_pred", "ebpf_pred", "cluster_key", n=1000)
+    return evaluate.paired_cluster_bootstrap(views.scores(spark, sf_dir), "y_true", "base_pred", "ebpf_pred", "base_score_m", "ebpf_score_m", "cluster_key", n=1000)
 
 
 # Monitoring
