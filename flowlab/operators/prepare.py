@@ -121,11 +121,13 @@ def split_by_day(df: DataFrame, day: str, label: str, quota: int, seed: int, row
     return out
 
 
-def group_split(groups: DataFrame, label: str, size: str, keys: tuple[str, ...], seed: int, ratios: tuple[float, float] = (0.7, 0.15), salts: int = 8) -> DataFrame:
+def group_split(groups: DataFrame, label: str, size: str, keys: tuple[str, ...], seed: int, ratios: tuple[float, float] = (0.7, 0.15), per_task: int = 4096) -> DataFrame:
     """Adds role to a table of groups: by dominant label, the largest group first into the role that is furthest behind its share of rows.
 
-    The rule is sequential, so it runs per (label, salt) on the group table; salts bound what one task holds."""
-    salted = groups.withColumn("__salt", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(salts)).cast("int"))
+    The rule is sequential, so it runs per label on the group table; labels with more than ``per_task`` groups are dealt by hash into parts of about that
+    many, so that neither a rare label is cut up nor does one task's part grow with the table."""
+    parts = groups.groupBy(F.col(label).alias("__l")).agg(F.ceil(F.count(F.lit(1)) / per_task).alias("__parts"))  # one row a label
+    salted = groups.join(F.broadcast(parts), F.col(label).eqNullSafe(F.col("__l"))).withColumn("__salt", F.pmod(F.xxhash64(F.lit(seed), *keys), F.col("__parts")).cast("int")).drop("__l", "__parts")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema) + ", role string"
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from flowlab.operators import evaluate
+from flowlab.operators import evaluate, prepare
 
 
 def metrics(rows, pred, score):
@@ -30,3 +30,15 @@ def test_paired_cluster_bootstrap_has_six_metrics(spark):
         assert r["low"] <= r["mean"] <= r["high"] and r["low"] - 1e-9 <= r["delta"] <= r["high"] + 1e-9
     same = evaluate.paired_cluster_bootstrap(df, "y", "a", "a", "sa", "sa", "c", n=5).collect()
     assert len(same) == 6 and all(r["low"] == r["high"] == r["delta"] == 0 for r in same)
+
+
+def test_group_split_gives_rare_families_every_role(spark):
+    rows = [(f"{fam}-{k}", fam, 100) for fam, n in (("five", 5), ("eight", 8), ("twelve", 12), ("many", 400)) for k in range(n)] + [("odd", None, 100)]
+    groups = spark.createDataFrame(rows, "g string, fam string, n int")
+    for seed in range(3):
+        split = prepare.group_split(groups, "fam", "n", ("g",), seed).groupBy("fam").pivot("role", ["train", "val", "test"]).count().fillna(0, ["train", "val", "test"])
+        got = {r["fam"]: (r["train"], r["val"], r["test"]) for r in split.collect()}
+        assert all(min(got[f]) >= 1 for f in ("five", "eight", "twelve", "many")) and sum(got[None]) == 1
+        assert got["many"] == (280, 60, 60)
+    dealt = prepare.group_split(groups, "fam", "n", ("g",), 1, per_task=50)
+    assert dealt.count() == len(rows) and set(dealt.columns) == {"g", "fam", "n", "role"}
