@@ -23,18 +23,23 @@ def flow_partials(events: DataFrame, time: str = "ts", flush: str = "5 seconds",
     return aggregate_events(rows, F.window(time, flush), at="ts_us", order=("ts_us", "event_id"))
 
 
-def stream_enrich(conn: DataFrame, flows: DataFrame, slop_s: int = 10, delay: str = "10 seconds") -> DataFrame:
+def stream_enrich(conn: DataFrame, flows: DataFrame, slop_s: int = 10, delay: str = "10 seconds", longest_s: int = 120) -> DataFrame:
     """Connections (conn_id, start, end) with the best of the flows (first, last) that overlap them, either way round; left semantics.
 
     Flows stand twice, forward and reversed. The joined rows of a connection are reduced to its best (forward first, then most samples) by
     an aggregate on the connection and its time; watermarks are declared at the sources only. A connection without a flow comes out once the
-    watermark has passed it."""
+    watermark has passed it.
+
+    A stream must forget: there, a flow that ends over ``longest_s`` plus the slop after the connection's start is not matched, so ``longest_s`` is to be the
+    longest connection, at the price of as much state. Tables have no such limit; a pass over the stored rows with this function is exact for longer ones."""
     lag = F.expr(f"interval {slop_s} seconds")
     side = lambda rank, cols: F.struct(F.lit(rank).alias("rank"), *[F.col(dict(zip(cols, TUPLE, strict=True))[c]).cast("string").alias(f"k_{c}") for c in FORWARD])
     both = F.explode(F.array(side(1, FORWARD), side(0, REVERSE)))
     right = flows.withWatermark("last", delay).withColumn("d", both).select("d.*", "first", "last", "samples", "bytes_sent", "bytes_recv")
     left = conn.withWatermark("start", delay)
-    on = [F.col(c).cast("string") == F.col(f"k_{c}") for c in FORWARD] + [F.col("last") >= F.col("start") - lag, F.col("last") <= F.col("start") + F.expr("interval 120 seconds") + lag, F.col("first") <= F.col("end") + lag]
+    on = [F.col(c).cast("string") == F.col(f"k_{c}") for c in FORWARD] + [F.col("last") >= F.col("start") - lag, F.col("first") <= F.col("end") + lag]
+    if conn.isStreaming or flows.isStreaming:
+        on.append(F.col("last") <= F.col("start") + F.expr(f"interval {longest_s} seconds") + lag)
     joined = left.join(right, on, "leftOuter")
     best = F.max_by(F.struct("rank", "samples", "bytes_sent", "bytes_recv"), F.struct(F.coalesce("rank", F.lit(-1)), F.coalesce("samples", F.lit(-1)), F.coalesce("bytes_sent", F.lit(-1))))
     return joined.groupBy("conn_id", "start").agg(best.alias("b")).select("conn_id", "start", F.when(F.col("b.rank") == 1, "fwd").when(F.col("b.rank") == 0, "rev").otherwise("none").alias("match_dir"), "b.samples", "b.bytes_sent", "b.bytes_recv")

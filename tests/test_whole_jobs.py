@@ -4,6 +4,7 @@ import random
 
 import pytest
 from flowlab.operators import evaluate, prepare
+from flowlab.streaming import stream_enrich
 
 
 def metrics(rows, pred, score):
@@ -42,3 +43,11 @@ def test_group_split_gives_rare_families_every_role(spark):
         assert got["many"] == (280, 60, 60)
     dealt = prepare.group_split(groups, "fam", "n", ("g",), 1, per_task=50)
     assert dealt.count() == len(rows) and set(dealt.columns) == {"g", "fam", "n", "role"}
+
+
+def test_long_connections_match_on_tables(spark):
+    at = "timestamp'2024-01-01 00:00:00' + interval {} seconds"
+    key = "'10.0.0.1' as {}, '10.0.1.1' as {}, 1024 as {}, 443 as {}, 6 as {}"
+    conn = spark.sql(f"select 1 as conn_id, {at.format(0)} as start, {at.format(300)} as end, {key.format('orig_h', 'resp_h', 'orig_p', 'resp_p', 'proto_num')}")
+    flows = spark.sql(f"select {key.format('saddr', 'daddr', 'sport', 'dport', 'proto')}, {at.format(5)} as first, {at.format(290)} as last, 7 as samples, 1 as bytes_sent, 2 as bytes_recv")
+    assert [(r["match_dir"], r["samples"]) for r in stream_enrich(conn, flows).collect()] == [("fwd", 7)]
