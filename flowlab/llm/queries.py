@@ -19,6 +19,7 @@ THRESHOLD = 0.7
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal payloads the row with the least page_id is the response, rows with a null id last; of rows that repeat that id, one."""
     path = new_path(spark, "warc")
     warc.write_warc(warc.page_records(table(spark, sf_dir, "pages")), path)
     records = warc.read_warc(spark, path)
@@ -100,9 +101,9 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    from flowlab.llm.pipeline import run  # which uses this module's parameters
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_pack, op3_secrets, op4_shard, op5_token_counts, op6_simhash, op7_byte_bpe, op8_toxicity, op9_exact_dedup, op10_permutation_index, pipeline)}
@@ -111,10 +112,10 @@ ORACLES: dict[str, str] = {
     "op1_warc": r"""
 with p as (select page_id, coalesce(html, '') as body from pages),
 d as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha256(body) as payload_digest from p),
-g as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+g as (select *, min(page_id) over (partition by payload_digest) as first_id, row_number() over (partition by payload_digest order by page_id nulls last) as place from d)
 select page_id, payload_bytes, payload_digest,
- case when payload_bytes >= 100 and first_id <> page_id then 'revisit' else 'response' end as record_type,
- case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to
+ case when payload_bytes >= 100 and place > 1 then 'revisit' else 'response' end as record_type,
+ case when payload_bytes >= 100 and place > 1 then first_id end as refers_to
 from g""",
     "op9_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),

@@ -1,15 +1,18 @@
 """WARC archives: writing captures with revisits, reading records back, and assembling transactions.
 
 A capture is three records: a response (or a revisit of an earlier response with the same payload), and a request and a metadata
-record that name the first by WARC-Concurrent-To. Files are WARC/1.1, written by Spark's text sink: a record is one row,
-and the two line ends that close a record are the sink's separator. They are read as binary files, record by record by their
-content lengths, so payloads may hold any bytes.
+record that name the first by WARC-Concurrent-To. Files are WARC/1.1 with one gzip member per record, so readers can seek to single
+records. Spark's text sink writes them, committed: a row is the bytes of one archive, and what the sink puts after a row is an empty
+gzip member. They are read as binary files and streamed record by record by their content lengths, so payloads may hold any bytes
+and no task holds more than an archive's compressed bytes and one record.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,19 +23,20 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"  # fixed: archives of the same rows are the same
 LEAST_REVISIT = 100  # bytes from which an equal payload is recorded as a revisit
-PER_FILE = 3000  # records
+ARCHIVE = 8_000_000  # compressed bytes after which an archive is closed; a larger record makes one of its own
+NO_MEMBER = gzip.compress(b"", mtime=0)
 RECORD = StructType([StructField(name, StringType()) for name in ("record_type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "header")] + [StructField("payload", BinaryType())])
 FIELDS = {"warc-type": 0, "warc-record-id": 1, "warc-concurrent-to": 2, "warc-refers-to": 3, "warc-target-uri": 4, "warc-payload-digest": 5}
 
 
 def plan_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """The pages (id, seq, payload, ...) with digest (hex SHA-256), n_bytes and first: the (id, seq) of the response that a
-    revisit repeats, null for responses. Of equal payloads the least (id, seq) is the response.
+    """The pages (id, seq, payload, ...) with digest (hex SHA-256), n_bytes and first: the (none, id, seq) of the response that a
+    revisit repeats, null for responses. Of equal payloads the least (id, seq) is the response, null ids last.
 
     Digests are aggregated before the shuffle, and only repeated ones reach the join, which may be split."""
     sized = pages.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    firsts = sized.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min(F.struct("id", "seq")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    own = F.struct("id", "seq")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "seq")
+    firsts = sized.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return sized.join(firsts, "digest", "left").withColumn("first", F.when(~F.col("first").eqNullSafe(own), F.col("first")))
 
 
@@ -54,8 +58,9 @@ def _record(kind: Column, record_id: Column, uri: Column, content_type: str, blo
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """One column ``value``: the three records of every row. Null payloads are empty; line ends in URLs become %0D and %0A; repeated
-    rows are captures of their own, told apart by the row's number in the scan."""
+    """One column ``value``: the three records of every row. Null payloads are empty, null ids have no page-id field, null URLs no target; line ends in
+    URLs become %0D and %0A; repeated rows are captures of their own, told apart by the row's number in the scan. Other columns are not read. An
+    empty table gives no records."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     planned = plan_revisits(rows.withColumn("seq", F.monotonically_increasing_id()))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -76,45 +81,60 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return planned.select(F.explode(F.array(main, request, metadata)).alias("value"))
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Archives of at most ``per_file`` records each, compressed as a whole, by Spark's committed text output."""
-    records.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write_warc(records: DataFrame, path: str, archive: int = ARCHIVE) -> None:
+    """Archives of about ``archive`` compressed bytes, one gzip member per record, by Spark's committed text output. No records: an empty folder."""
 
-
-def parse_warc(data: bytes) -> Iterator[tuple]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                members.append(gzip.compress(record.as_py(), 6, mtime=0))
+                size += len(members[-1])
+                if size >= archive:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+                    members, size = [], 0
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+
+    closed = records.select(F.concat("value", F.lit(END + END)).cast("binary").alias("value")).mapInArrow(archives, "value binary")
+    # Cast without a check of the bytes; the sink writes them as they are, one row a file.
+    out = closed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
+    out.option("lineSep", NO_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+
+def parse_warc(archive: BinaryIO) -> Iterator[tuple]:
     """The records of an archive, as in RECORD. Requests and responses are cut into HTTP header and payload."""
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        head = data.index(b"\r\n\r\n", start)
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # the line ends that close a record
         row: list = [None] * 8
         length = 0
-        for field in data[start:head].split(b"\r\n")[1:]:
-            name, _, value = field.partition(b":")
+        while (line := archive.readline()).strip():
+            name, _, value = line.partition(b":")
             key, text = name.strip().lower().decode("latin-1"), value.strip().decode("utf-8", "replace")
             if key == "content-length":
                 length = int(text)
             elif key in FIELDS:
                 row[FIELDS[key]] = text
-        block = data[head + 4 : head + 4 + length]
+        block = archive.read(length)
         if row[0] in ("response", "revisit", "request"):
             top, _, body = block.partition(b"\r\n\r\n")
             row[6], row[7] = top.decode("utf-8", "replace"), body
         else:
             row[7] = block
         yield tuple(row)
-        at = head + 4 + length
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path`` (schema RECORD). One archive is parsed at a time."""
+    """The records of all archives under ``path`` (schema RECORD), with or without gzip. One archive is streamed at a time."""
     schema = to_arrow_schema(RECORD)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                data = raw.as_py()
+                data = io.BytesIO(raw.as_py())
                 rows, size = [], 0
-                for row in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for row in parse_warc(gzip.GzipFile(fileobj=data) if data.getbuffer()[:2] == b"\x1f\x8b" else data):
                     rows.append(row)
                     size += len(row[7] or b"")
                     if size > 4_000_000:
