@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowlab.llm.common import text_or_empty, written
 
-#: Distinct digests in a bucket, on average: one task's unit of work.
+#: Distinct digests in a bucket, on average, of the history and of new rows at most: one task's unit of work.
 BUCKET = 8192
 INDEX = "bucket long, sizes array<int>, bits binary, digests binary, winners array<long>, counts array<long>"
 ENTRY = "digest binary, keep_id long, group_size long, member boolean"
@@ -111,7 +111,7 @@ def look_up(index: DataFrame, probes: DataFrame, buckets: int) -> DataFrame:
     return index.groupBy("bucket").cogroup(_bucketed(probes, buckets).groupBy("bucket")).applyInPandas(match, ENTRY)
 
 
-def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(id, keep_id, group_size, kept, digest, historical) of every row.
 
     Rows for which ``history`` is true are earlier ones; their ids must be the smaller ones. Of equal texts the smallest
@@ -120,11 +120,11 @@ def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_c
     hot digest is one row per task; only the final join meets all its rows, and that join may be split.
     """
     rows = written(docs.select(F.col(id_col).alias("id"), text_digest(text_or_empty(text_col)).alias("digest"), F.coalesce(history, F.lit(False)).alias("old")), "digests")
-    part = lambda old: rows.where(F.col("old") == old).groupBy("digest").agg(F.min("id").alias("winner"), F.count(F.lit(1)).alias("n"))
-    past = written(part(True), "history")
-    buckets = max(1, -(-past.count() // BUCKET))
+    part = lambda old: written(rows.where(F.col("old") == old).groupBy("digest").agg(F.min("id").alias("winner"), F.count(F.lit(1)).alias("n")), "parts")
+    past, fresh = part(True), part(False)
+    buckets = max(1, -(-max(past.count(), fresh.count()) // bucket))  # a task takes a bucket of both
     index = written(build_index(past, buckets), "mph")
-    entries = look_up(index, part(False), buckets)
+    entries = look_up(index, fresh, buckets)
     out = rows.join(entries, "digest")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", F.col("member").alias("historical"))
 
