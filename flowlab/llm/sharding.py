@@ -68,14 +68,15 @@ def _inline(items: list[dict], fields: str, like: DataFrame) -> DataFrame:
     return like.sparkSession.range(1).select(F.explode(array).alias("x")).select("x.*")
 
 
-def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[tuple[int, int, int], int]]:
+def find_splitters(rows: DataFrame, parts: int, tolerance: float, each: int = 1, loose: float = 0.25) -> list[tuple[tuple[int, int, int], int]]:
     """parts - 1 pairs (greatest key that stays left, rows up to it), by rounds of exact histograms.
 
-    A splitter is settled when its bytes are within ``tolerance`` of a part's size from the goal, or when the interval is one
-    row or equal rows; then the nearer edge is taken. To the driver come at most 2**FIRST bins, later 2**LATER per splitter.
+    Every ``each``-th splitter is settled when its bytes are within ``tolerance`` of a part's size from the goal, the others, which only cut
+    tasks, within ``loose`` of it; or when the interval is one row or equal rows; then the nearer edge is taken. To the driver come at most
+    2**FIRST bins, later 2**LATER per open interval.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
-    slack = tolerance * total / parts
+    slack = lambda k: (loose if k % each else tolerance) * total / parts
     done: dict[int, tuple[tuple[int, int, int], int]] = {}
     opened = [Interval((), BITS, 0, 0, 0, 0, TOP, [(k, total * k // parts) for k in range(1, parts)])]
     if not total:
@@ -100,7 +101,7 @@ def find_splitters(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[
                     k, goal = goals[rest]
                     rest += 1
                     left, right = goal - below, below + size - goal
-                    if min(left, right) <= slack or n == 1 or (low == high and level == len(KEYS) - 1):
+                    if min(left, right) <= slack(k) or n == 1 or (low == high and level == len(KEYS) - 1):
                         done[k] = (_padded(edge), n_below) if left <= right else (_padded(upper), n_below + n)
                     else:
                         inside.append((k, goal))
@@ -119,17 +120,19 @@ def _padded(key: tuple[int, ...]) -> tuple[int, int, int]:
 def histogram_shards(rows: DataFrame, shards: int, key: Column, id_col: str, size_col: str, tolerance: float = 0.002, per_range: int = 200_000) -> DataFrame:
     """The rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
-    Shards differ from the mean size by about ``tolerance`` or one row. ``key`` is any long, equal for rows that should stand
-    together. Null ids come first; repeated rows are split by a row number that is fixed in a written table. Each shard is
-    sorted in several ranges (as many as rows ask for, 4 to 64), so no task has a whole shard. An empty table gives an empty one.
-    Columns k0, k1, k2 and size must not be among the input's.
+    Shards differ from the mean size by about ``tolerance`` of a quarter of a shard, or one row. ``key`` is any long, equal for rows that should
+    stand together. Null ids come first; repeated rows are split by a row number that is fixed in a written table. Each shard is sorted in several ranges (as
+    many as rows ask for, 4 to 1024), so no task has a whole shard. An empty table gives an empty one. The input's columns travel in one
+    struct, so their names cannot clash, but columns named shard or slot give way to the new ones.
     """
-    keyed = rows.select("*", _positive(key).alias("k0"), _positive(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).alias("k1"), F.monotonically_increasing_id().alias("k2"), F.col(size_col).cast("long").alias("__size"))
+    own = [c for c in rows.columns if c not in ("shard", "slot")]
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0))
+    keyed = rows.select(row.alias("row"), _positive(key).alias("k0"), _positive(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).alias("k1"), F.monotonically_increasing_id().alias("k2"), F.col(size_col).cast("long").alias("size"))
     keyed = written(keyed, "shard-keys")
-    narrow = keyed.select(*KEYS, F.col("__size").alias("size"))
-    ranges = min(64, max(4, -(-narrow.count() // (shards * per_range))))
+    narrow = keyed.select(*KEYS, "size")
+    ranges = min(1024, max(4, -(-narrow.count() // (shards * per_range))))
     parts = shards * ranges
-    cuts = find_splitters(narrow, parts, tolerance)
+    cuts = find_splitters(narrow, parts, tolerance * ranges / 4, ranges)
     # Which range: splitters below the row's cell of the key space, plus those in the cell that are smaller than the row.
     cell = lambda c: c[0][0] >> (BITS - FIRST) if c[0][0] >= 0 else -1
     cells = [{"cell": x, "base": 0, "cuts": []} for x in range(1 << FIRST)]
@@ -145,7 +148,7 @@ def histogram_shards(rows: DataFrame, shards: int, key: Column, id_col: str, siz
     at = F.broadcast(grid)  # 2**FIRST rows at any size of the input
     placed = keyed.join(at, F.shiftright("k0", BITS - FIRST).cast("int") == F.col("cell"))
     smaller = F.size(F.filter("cuts", lambda s: s < F.struct(*KEYS)))
-    placed = placed.withColumn("range", F.col("base") + smaller).drop("cell", "base", "cuts", "__size")
+    placed = placed.select("row", *KEYS, (F.col("base") + smaller).alias("range"))
     order = Window.partitionBy("range").orderBy(*KEYS)
-    ranked = placed.withColumn("__rank", F.row_number().over(order).cast("long") - 1).join(F.broadcast(firsts), "range")  # shards * ranges rows
-    return ranked.withColumn("slot", F.col("first") + F.col("__rank")).drop("range", "first", "__rank", *KEYS)
+    ranked = placed.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(F.broadcast(firsts), "range")  # shards * ranges rows
+    return ranked.select(*[F.col("row")[c].alias(c) for c in own], "shard", (F.col("first") + F.col("rank")).alias("slot"))
