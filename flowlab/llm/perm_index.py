@@ -1,11 +1,11 @@
 """Nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order (a prefix of a permutation). The rows of a block are posted in the
-inverted files of the pivots in their prefixes, with the pivot's place. A query walks the files and adds up, for all
-rows of the block at once, Spearman's footrule between its permutation and theirs; the rows with the least footrule are
-reranked by the exact inner product. Blocks are dealt by hash and searched in phases of growing size; from the second
-phase on a row is returned only if it beats the query's worst result so far, so what is shuffled grows in proportion
-to the queries.
+inverted files of the pivots in their prefixes, with the pivot's place. A query visits only the files of its own first
+``visited`` pivots and adds up, for the rows of the block, how far the places differ (Spearman's footrule; a pivot outside
+a row's prefix stands at its end); the rows with the least footrule are reranked by the exact inner product. Blocks are
+dealt by hash and searched in phases of growing size; from the second phase on a row is returned only if it beats the
+query's worst result so far, so what is shuffled grows in proportion to the queries.
 """
 
 from __future__ import annotations
@@ -17,111 +17,116 @@ from pyspark.sql import functions as F
 
 from flowlab.llm.common import written
 
-PIVOTS, PREFIX = 128, 64
-SHARE, LEAST = 0.2, 400  # rows of a block that are reranked: this share, and so many at least
-BLOCK, FEWEST, QUERIES = 16_384, 12, 32_768  # rows in a block at most, blocks at least, queries in a block
+PIVOTS, PREFIX, VISITED = 1024, 128, 48
+SHARE, LEAST = 0.07, 48  # of a block this share and so many rows more are reranked
+BLOCK, FEWEST, QUERIES = 8192, 12, 32_768  # rows in a block at most, blocks at least, queries in a block
 STEP = 16  # growth of the phases
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) with finite, nonzero vectors of the commonest length; an id on several rows counts once, with its least vector."""
+    """(row, id, v) with finite, nonzero vectors as doubles, each row on its own; shorter vectors are filled up with zeros."""
     v = F.col(vec_col)
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = rows.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(finite & F.exists(v, lambda x: x != 0))
-    sizes = good.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    good = good.where(F.size(v) == (sizes[0] if sizes else 0))
-    return good.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v.cast("array<float>")).alias("v"))
+    good = rows.where(F.col(id_col).isNotNull() & v.isNotNull()).where(finite & F.exists(v, lambda x: x != 0))
+    most = good.agg(F.max(F.size(v))).first()[0] or 0
+    filled = F.concat(v.cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(most) - F.size(v)))
+    return good.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), filled.alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     whole = column.combine_chunks()
-    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1) if len(whole) else np.zeros((0, 1), np.float32)
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1) if len(whole) else np.zeros((0, 1))
 
 
-def prefixes(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def _prefixes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
+def prefixes(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each row in order."""
-    near = x.astype(np.float64) @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, : min(PREFIX, len(pivots))].astype(np.uint8)
-
-
-def inverted_files(prefix: np.ndarray, n_pivots: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, places) of each pivot."""
-    flat, m = prefix.reshape(-1), prefix.shape[1]
-    order = np.argsort(flat, kind="stable")
-    cut = np.searchsorted(flat[order], np.arange(n_pivots + 1))
-    return [(order[a:b] // m, order[a:b] % m) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-def footrules(files: list[tuple[np.ndarray, np.ndarray]], n_rows: int, queries: np.ndarray) -> np.ndarray:
-    """Footrule, up to a constant of the prefix length, of every row (first axis) to every query's prefix."""
-    m = queries.shape[1]
-    rank = np.full((len(files), len(queries)), m, np.int16)  # a pivot outside a prefix stands at its end
-    rank[queries.T, np.arange(len(queries))] = np.arange(m)[:, None]
-    total, places = np.zeros((n_rows, len(queries)), np.int16), np.arange(m, dtype=np.int16)[:, None]
-    for p, (rows, at) in enumerate(files):
-        if len(rows):
-            by_place = np.abs(rank[p] - places) - (m - rank[p])
-            total[rows] += by_place[at]
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :length].astype("<u2")
+
+
+def inverted_files(prefix: np.ndarray, n_pivots: int) -> np.ndarray:
+    """Places by pivot (first axis) and row; a row that is not posted in a pivot's file has the place after the prefix."""
+    n, m = prefix.shape
+    out = np.full((n_pivots, n), m, np.int16)
+    out[prefix.T, np.arange(n)] = np.arange(m, dtype=np.int16)[:, None]
+    return out
+
+
+def footrules(files: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Footrule of every row over the pivots of a query's prefix. Only their files are read."""
+    total, apart = np.zeros(files.shape[1], np.int16), np.empty(files.shape[1], np.int16)
+    for place, pivot in enumerate(query.tolist()):
+        np.subtract(files[pivot], place, out=apart)
+        np.abs(apart, out=apart)
+        np.add(total, apart, out=total)
     return total
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, prefix: np.ndarray, n_pivots: int, q: np.ndarray, q_prefix: np.ndarray, floor: np.ndarray, k: int):
+def search_block(ids: np.ndarray, x: np.ndarray, files: np.ndarray, q: np.ndarray, q_prefix: np.ndarray, floor: np.ndarray, k: int, share: float, least: int):
     """(query row, id, score) of the block's best k rows for each query above its floor, by footrule and then exactly."""
-    files, out, x = inverted_files(prefix, n_pivots), [], x.astype(np.float64)
-    keep = min(len(ids), max(LEAST, k, int(np.ceil(SHARE * len(ids)))))
-    for a in range(0, len(q), 128):
-        total = np.ascontiguousarray(footrules(files, len(ids), q_prefix[a : a + 128]).T)
-        for j, row in enumerate(total):
-            near = np.argpartition(row, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
-            exact = x[near] @ q[a + j].astype(np.float64)
-            best = np.lexsort((ids[near], -exact))[:k]
-            best = best[exact[best] >= floor[a + j]]
-            out.append((np.full(len(best), a + j), ids[near[best]], exact[best]))
+    out = []
+    keep = min(len(ids), max(k, int(np.ceil(share * len(ids))) + least))
+    for j, prefix in enumerate(q_prefix):
+        near = np.argpartition(footrules(files, prefix), keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
+        exact = x[near] @ q[j]
+        good = np.flatnonzero(exact >= floor[j])
+        if len(good) > k:
+            good = good[exact[good] >= np.partition(exact[good], -k)[-k]]  # ties at the k-th stay
+        best = good[np.lexsort((ids[near[good]], -exact[good]))[:k]]
+        out.append((np.full(len(best), j), ids[near[best]], exact[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(
+    rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, visited: int = VISITED, share: float = SHARE, least: int = LEAST, block: int = BLOCK,
+    fewest: int = FEWEST, per_group: int = QUERIES, step: int = STEP,
+) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query, among all other rows, ties to the smaller id.
 
-    ``is_query`` is a predicate on a column named id. Equal vectors are searched once: a class carries its k + 1 least ids, which is
-    all that k results can need. Left out: rows with a null id, and null, empty, zero, non-finite vectors or vectors
-    of another length than most. No queries or no rows give an empty result.
+    ``is_query`` is a predicate on a column named id. ``pivots`` rows, the first by a hash, are the bounded sample that the index is fitted on; every row is
+    indexed. ``share`` 1.0 reranks everything and is exact; smaller shares trade recall for time. Equal vectors are searched once: a class carries its
+    k + 1 least ids, which is all that k results can need. Rows that repeat an id are rows of their own. Left out: rows with a null id, and null, empty, zero and
+    non-finite vectors; shorter vectors count as filled up with zeros. Other columns are not read. No queries or no rows give an empty result.
     """
     vectors = written(valid_vectors(rows, id_col, vec_col), "vectors")
-    classes = written(vectors.groupBy("v").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("n")), "classes")
-    copied = vectors.join(classes.where("n > 1").select("v", "cid"), "v").select("cid", "id")
-    everyone = written(copied.union(classes.where("n = 1").select("cid", F.col("cid").alias("id"))), "members")
+    classes = written(vectors.groupBy("v").agg(F.min("row").alias("cid"), F.count(F.lit(1)).alias("n")), "classes")
+    copied = vectors.join(classes.where("n > 1").select("v", "cid"), "v").select("cid", "row", "id")
+    alone = vectors.join(classes.where("n = 1").select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "row", "id")
+    everyone = written(copied.union(alone), "members")
     queries = everyone.where(is_query)
-    order = Window.partitionBy("cid").orderBy("id")
+    order = Window.partitionBy("cid").orderBy("id", "row")
     members = everyone.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
-    # A bounded sample of pivots: the first classes by a hash.
-    pivots = [r["v"] for r in classes.orderBy(F.xxhash64("cid"), "cid").limit(PIVOTS).select("v").collect()]
-    if not pivots:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    table = np.array(pivots, np.float64)
+    sample = [r["v"] for r in classes.orderBy(F.xxhash64("v"), "cid").limit(pivots).select("v").collect()]
+    if not sample:
+        return rows.sparkSession.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    table = np.array(sample, np.float64)
     table /= np.linalg.norm(table, axis=1, keepdims=True)
 
     def index(batches):
         for b in batches:
-            got = prefixes(_matrix(pa.chunked_array([b.column(1)])), table)
+            got = prefixes(_matrix(pa.chunked_array([b.column(1)])), table, prefix)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in got], pa.binary())], names=["cid", "v", "prefix"])
 
-    indexed = written(classes.select("cid", "v").mapInArrow(index, "cid long, v array<float>, prefix binary"), "index")
-    n_blocks = max(FEWEST, -(-indexed.count() // BLOCK))
-    asked = written(indexed.join(queries.select("cid").distinct(), "cid", "left_semi"), "queries")
-    n_groups = max(1, -(-asked.count() // QUERIES))
+    indexed = written(classes.select("cid", "v").mapInArrow(index, "cid long, v array<double>, prefix binary"), "index")
+    n_blocks = max(fewest, -(-indexed.count() // block))
+    asked = indexed.join(queries.select("cid").distinct(), "cid", "left_semi").withColumn("prefix", F.substring("prefix", 1, 2 * visited))
+    asked = written(asked, "queries")
+    n_groups = max(1, -(-asked.count() // per_group))
     posted = indexed.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(n_blocks)).cast("int"))
     asked = asked.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(n_groups)).cast("int"))
 
     def match(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        pre = [np.frombuffer(b"".join(t["prefix"].to_pylist()), np.uint8).reshape(t.num_rows, -1) if t.num_rows else None for t in (left, right)]
         if not left.num_rows or not right.num_rows:
             got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         else:
-            got = search_block(left["cid"].to_numpy(), _matrix(left["v"]), pre[0], len(table), _matrix(right["v"]), pre[1], right["floor"].to_numpy(), k + 1)
+            files = inverted_files(_prefixes(left["prefix"]), len(table))
+            got = search_block(left["cid"].to_numpy(), _matrix(left["v"]), files, _matrix(right["v"]), _prefixes(right["prefix"]), right["floor"].to_numpy(), k + 1, share, least)
         return pa.table({"q": right["cid"].to_numpy()[got[0]], "cid": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
 
-    best, begin, end = None, 0, min(n_blocks, STEP)
+    best, begin, end = None, 0, min(n_blocks, step)
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
     while begin < n_blocks:
         if best is None:
@@ -134,9 +139,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", v
         found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(match, "q long, cid long, score double")
         found = found if best is None else found.union(best)
         best = written(found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r"), "nearest")
-        begin, end = end, min(n_blocks, end * STEP)
+        begin, end = end, min(n_blocks, end * step)
 
-    single = best.join(members, "cid").select("q", "id", "score")
-    pairs = single.join(queries.select(F.col("cid").alias("q"), F.col("id").alias("query_id")), "q").where("id <> query_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    single = best.join(members, "cid").select("q", "row", "id", "score")
+    asker = queries.select(F.col("cid").alias("q"), F.col("row").alias("asker"), F.col("id").alias("query_id"))
+    pairs = single.join(asker, "q").where("row <> asker")
+    final = Window.partitionBy("asker").orderBy(F.desc("score"), "id", "row")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
