@@ -9,9 +9,13 @@ The tokenizer is a cascade of two deterministic transducers.
   vocabulary entry, the token that ends before that suffix. Two tokens may stand side by side in a byte-pair encoding
   exactly if encoding their concatenation gives these two back, so the next state follows from state and byte
   alone. Each transition is annotated with the change of the number of emitted tokens, each final transition with the
-  change at a word's end. States are determinised on first use and kept for later batches, up to ``max_states``.
+  change at a word's end. States are determinised on first use and kept for later batches; beyond ``max_states`` a run goes on
+  with those alone that some word is in. Every word begins in the first state, so a chunk's map is constant from its first
+  word on, and the words of all chunks run side by side.
 
-The result equals the library's for vocabulary files of this kind (byte-level alphabet, end-of-word suffix, NFC and lower case).
+The result equals the library's for vocabulary files of this kind (byte-level alphabet, end-of-word suffix, NFC and lower case). Two things go to the
+library itself: words of more than ``LONG_WORD`` bytes, whose states hardly recur, so that compiling them costs a state a byte; and texts with characters that
+Unicode has got since version 3.2, over whose classes and lower case the library's tables and Python's may differ.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from flowlab.llm.common import keeps_tables, map_texts
@@ -34,6 +39,7 @@ SPACE, LETTER, NUMBER, OTHER, QUOTE, STMD, LET_R, LET_E, LET_V, LET_L = range(10
 FRESH, IN_LETTERS, IN_OTHER, AFTER_QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
 N_STATES, N_CLASSES = 7, 10
 CHUNK = 256
+LONG_WORD = 256
 #: Characters whose lower case depends on their neighbours in Python but not in the library.
 SIGMA = str.maketrans({"Σ": "σ"})
 
@@ -158,16 +164,36 @@ class Merger:
         self.begins = {s[:k] for s in self.by_symbols for k in range(1, len(s))}
         self.fits: dict[tuple[int, int], bool] = {}
         self.max_states = max_states
+        self.columns = np.full(256, -1, np.int32)
+        self.n_columns, self.width = 0, 128
         self.clear()
 
     def clear(self) -> None:
         # A state: for each k whose last k bytes begin some token, (k, last token before them, tokens emitted since), packed.
         self.states = [_packed(b"", [(0, -1, 0)])]
         self.ids = {self.states[0]: 0}
-        self.columns = np.full(256, -1, np.int32)
-        self.n_columns, self.width, self.room = 0, 128, 4096
+        self.room = 4096
         self._allocate()
 
+    def restart(self, live: np.ndarray) -> np.ndarray:
+        """Forgets all states but these; returns their new numbers."""
+        kept = np.unique(live)
+        old = [(self.states[s], int(self.last_token[s])) for s in kept.tolist()]
+        self.clear()
+        return np.array([self.intern(key, token) for key, token in old], np.int32)[np.searchsorted(kept, live)]
+
+    def intern(self, key: bytes, token: int) -> int:
+        """The number of a state; ``token`` is the one that ends there."""
+        new = self.ids.get(key)
+        if new is None:
+            new = self.ids[key] = len(self.states)
+            self.states.append(key)
+            if new >= self.room:
+                self.room *= 2
+                self._allocate()
+            self.last_token[new] = token
+        return new
+
     def _allocate(self) -> None:
         def grown(name: str) -> None:  # unused rows stay untouched, so they take no memory
             new, old = np.zeros((self.room, self.width), np.int32), getattr(self, name, None)
@@ -177,11 +203,10 @@ class Merger:
 
         grown("to")  # next state * 256 + change of the count + 128; 0: not compiled yet
         grown("end")  # the last token of a word that ends with this byte here, likewise
-        for name in ("last_token", "last_length"):
-            new, old = np.zeros(self.room, np.int32), getattr(self, name, None)
-            if old is not None and len(self.states) > 1:
-                new[: len(old)] = old
-            setattr(self, name, new)
+        new, old = np.zeros(self.room, np.int32), getattr(self, "last_token", None)
+        if old is not None and len(self.states) > 1:
+            new[: len(old)] = old
+        self.last_token = new
 
     def encode(self, symbols: tuple[int, ...]) -> list[int]:
         """Plain merging of a short symbol string."""
@@ -212,35 +237,27 @@ class Merger:
                 self.fits.clear()
         return got
 
-    def follow(self, state: int, symbol: int) -> tuple[int, int, int]:
-        """(token that ends with this symbol, its length, change of the count)."""
+    def follow(self, state: int, symbol: int) -> tuple[int, int]:
+        """(token that ends with this symbol, change of the count)."""
         tail, back = _unpacked(self.states[state])
         for k, last, since in reversed(back):  # the longest that fits; there is exactly one
             t = self.by_symbols.get((*tail[len(tail) - k :], symbol))
             if t is not None and self.fit(last, t):
-                return t, k + 1, 1 - since
+                return t, 1 - since
         raise ValueError("the vocabulary lacks a byte")
 
     def compile(self, state: int, byte: int) -> None:
         column = self.columns[byte]
-        token, length, delta = self.follow(state, byte)
+        token, delta = self.follow(state, byte)
         tail, back = _unpacked(self.states[state])
         text = tail + bytes([byte])
         kept = [(0, token, 0)] + [(k + 1, last, since + delta) for k, last, since in back if (*tail[len(tail) - k :], byte) in self.begins]
         text = text[len(text) - kept[-1][0] :] if kept[-1][0] else b""
-        key = _packed(text, kept)
-        new = self.ids.get(key)
-        if new is None:
-            new = self.ids[key] = len(self.states)
-            self.states.append(key)
-            if new >= self.room:
-                self.room *= 2
-                self._allocate()
-            self.last_token[new], self.last_length[new] = token, length
+        new = self.intern(_packed(text, kept), token)
         self.to[state, column] = new * 256 + delta + 128
 
     def compile_end(self, state: int, byte: int) -> None:
-        token, length, delta = self.follow(state, byte + 256)
+        token, delta = self.follow(state, byte + 256)
         self.end[state, self.columns[byte]] = token * 256 + delta + 128
 
     def cols(self, data: np.ndarray) -> np.ndarray:
@@ -257,16 +274,16 @@ class Merger:
 
     def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: bool = False):
         """Token counts of the words data[starts : starts + lengths]; with ``ids``, (counts, all ids in order)."""
-        if len(self.states) > self.max_states:
-            self.clear()
         cols = self.cols(data)
         order = np.argsort(lengths.astype(np.uint16) if len(lengths) and lengths.max() < 65536 else lengths, kind="stable")[::-1]
         at, left = starts[order], lengths[order]
         state, count = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-        trail = np.zeros(len(data), np.int32) if ids else None  # the state after each byte; at a word's end its last token
+        trail = np.zeros(len(data), np.int32) if ids else None  # the token that ends with each byte
         alive, j = len(at), 0
         falling = -left  # ascending
         while alive:
+            if len(self.states) > self.max_states + alive:
+                state[:alive] = self.restart(state[:alive])
             going = int(np.searchsorted(falling, -(j + 1), "left"))  # words longer than j + 1
             for table, lo, hi, make in ((self.end, going, alive, self.compile_end), (self.to, 0, going, self.compile)):
                 if lo == hi:
@@ -279,10 +296,12 @@ class Merger:
                         make(int(k >> 8), int(k & 255))
                     got = (self.end if make == self.compile_end else self.to).reshape(-1)[s * self.width + c]
                 count[lo:hi] += (got & 255) - 128
-                if ids:
-                    trail[where] = got >> 8
+                now = got >> 8
                 if make == self.compile:
-                    state[lo:hi] = got >> 8
+                    state[lo:hi] = now
+                    now = self.last_token[now] if ids else now
+                if ids:
+                    trail[where] = now
             alive, j = going, j + 1
         counts = np.empty(len(at), np.int32)
         counts[order] = count
@@ -301,10 +320,10 @@ class Merger:
         out[first + left] = token
         live = np.flatnonzero(left > 0)
         while len(live):
-            s = trail[pos[live] - 1]
+            token = trail[pos[live] - 1]
             left[live] -= 1
-            out[first[live] + left[live]] = self.last_token[s]
-            pos[live] -= self.last_length[s]
+            out[first[live] + left[live]] = token
+            pos[live] -= size[token]
             live = live[left[live] > 0]
         return out
 
@@ -340,6 +359,25 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
+@lru_cache(maxsize=1)
+def library(path: str) -> tokenizers.Tokenizer:
+    out = tokenizers.Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+@lru_cache(maxsize=1)
+def newer() -> re.Pattern:
+    """Characters of a later Unicode version than 3.2; pictures and currency signs, which are neither letters nor numbers in any, excepted."""
+    old = unicodedata.ucd_3_2_0.category
+    known = np.array([old(chr(c)) != "Cn" for c in range(0x110000)])
+    for a, b in ((0xD800, 0xE000), (0x1F300, 0x1FB00), (0x20A0, 0x20D0)):
+        known[a:b] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], known, [True]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
+
+
 def normalised(text: str) -> str:
     if not text.isascii() and not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
@@ -348,6 +386,43 @@ def normalised(text: str) -> str:
 
 def tokenize(texts: list[str], path: str, ids: bool = False):
     """Token counts of the texts; with ``ids``, (counts, ids of all texts in order)."""
+    odd = [k for k, t in enumerate(texts) if not t.isascii() and newer().search(t)]
+    if not odd:
+        return _tokenize(texts, path, ids)
+    given = [library(path).encode(texts[k], add_special_tokens=False).ids for k in odd]
+    rest = [t for k, t in enumerate(texts) if k not in set(odd)]
+    got = _tokenize(rest, path, ids)
+    counts = np.zeros(len(texts), np.int64)
+    theirs = np.zeros(len(texts), bool)
+    theirs[odd] = True
+    counts[odd] = [len(g) for g in given]
+    counts[~theirs] = got[0] if ids else got
+    return (counts, _mixed(theirs, counts, got[1], given)) if ids else counts
+
+
+def _mixed(theirs: np.ndarray, counts: np.ndarray, ours: np.ndarray, given: list[list[int]]) -> np.ndarray:
+    """All ids in order, of units that were done here and of those that the library did."""
+    at = np.repeat(theirs, counts)
+    out = np.empty(len(at), np.uint32)
+    out[~at] = ours
+    out[at] = [i for g in given for i in g]
+    return out
+
+
+def _words(m: Merger, path: str, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: bool):
+    """Token counts of all words; with ``ids``, (counts, ids)."""
+    long = lengths > LONG_WORD
+    if not long.any():
+        return m.run(data, starts, lengths, ids)
+    given = [library(path).encode(data[a : a + n].tobytes().decode(), add_special_tokens=False).ids for a, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)]
+    got = m.run(data, starts[~long], lengths[~long], ids)
+    counts = np.zeros(len(starts), np.int32)
+    counts[long] = [len(g) for g in given]
+    counts[~long] = got[0] if ids else got
+    return (counts, _mixed(long, counts, got[1], given)) if ids else counts
+
+
+def _tokenize(texts: list[str], path: str, ids: bool):
     m = merger(path)
     special = re.compile("|".join(map(re.escape, sorted(m.special, key=len, reverse=True)))) if m.special else None
     parts, owner, fixed = [], [], []  # fixed: (place among the parts, special token)
@@ -380,7 +455,7 @@ def tokenize(texts: list[str], path: str, ids: bool = False):
         stop[:-1] = np.minimum(stop[:-1], begin[1:])
     starts = at[begin] - width[begin]
     lengths = at[stop] - width[stop] - starts
-    got = m.run(data, starts, lengths, ids)
+    got = _words(m, path, data, starts, lengths, ids)
     counts = got[0] if ids else got
     sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
     edge = np.concatenate([[0], np.searchsorted(begin, np.cumsum(sizes))])
