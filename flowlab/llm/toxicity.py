@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A clause is read as a string of word classes: insult, threat, target, negation, reported speech, other. Three small
-transducers carry what the words before say (reported speech so far; a negation within the last words; a target so far) and are composed
-into one machine whose transitions on insult and threat words emit a match with these marks. A match weighs the word's
-own weight times a factor for its marks, so "not an idiot" or "he said idiot" weighs less than "you idiot". Insult words
-and stems and the factors are learnt from labelled rows; the function words are fixed lists in four languages.
+A clause is read as a string of word classes: insult, threat, target, negation, reported speech, other, and the marks between them. Three small
+transducers carry what the words before say (reported speech so far, which a colon hands on; a negation within the last words; a target so far) and
+are composed into one machine. Two more read from the clause's end (a target within the next words; a reporting verb behind the last comma, as in
+"..., he said") and are composed into another. On insult and threat words both machines' states emit a match with these marks. A match weighs the
+word's own weight times a factor for its marks, so "not an idiot", "he said: idiot" or "idiot, he said" weighs less than "you idiot". Insult words and
+stems, the weights of threats and the factors are learnt from labelled rows; the function words are fixed lists in four languages.
 """
 
 from __future__ import annotations
@@ -27,31 +28,52 @@ TARGET = "you your yours yourself he she they them him her du dich dir ihr euch
 NEGATION = "not no never isn aren wasn don doesn didn nicht kein keine nie niemals pas jamais aucun nunca jamás ningún".split()
 REPORTED = "said says wrote claims claimed quoted called sagte sagt schrieb behauptet dit disait écrit dijo dice escribió".split()
 THREAT = "kill murder hurt destroy strangle töten umbringen vernichten tuer détruire frapper matar destruir golpear".split()
-INSULT_CLASS, THREAT_CLASS, TARGET_CLASS, NEGATION_CLASS, REPORTED_CLASS, OTHER_CLASS = range(6)
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
-ENDS = frozenset(".!?;:\n")
-REACH = 3  # words over which a negation holds
+INSULT_CLASS, THREAT_CLASS, TARGET_CLASS, NEGATION_CLASS, REPORTED_CLASS, OTHER_CLASS, COMMA_CLASS, COLON_CLASS, END_CLASS = range(9)
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
+MARKS = dict.fromkeys(".!?;\n", END_CLASS) | {",": COMMA_CLASS, ":": COLON_CLASS}
+REACH = 3  # words over which a negation holds, and within which a target may follow
+THREAT_WEIGHT = 3.0  # of threat words that the sample lacks
 STEMS = (4, 5, 6)
 N_MARKS = 16  # kind x reported x negated x targeted
 
 
-def compose() -> tuple[list[list[int]], list[list[int]]]:
-    """(next state, emitted match or -1) by state and class: the product of the three context transducers."""
+def before_machine() -> tuple[list[list[int]], list[int]]:
+    """(next state by state and class, mark of each state), read forwards: the product of the transducers for reported speech, negation and target."""
     states = list(product((0, 1), range(REACH + 1), (0, 1)))  # reported, words left under negation, target seen
     index = {s: k for k, s in enumerate(states)}
-    to, emit = [], []
-    for reported, negated, target in states:
-        row, out = [], []
-        for c in range(6):
-            after = (1 if c == REPORTED_CLASS else reported, REACH if c == NEGATION_CLASS else max(0, negated - 1), 1 if c == TARGET_CLASS else target)
-            row.append(index[after])
-            out.append((c == THREAT_CLASS) * 8 + reported * 4 + (negated > 0) * 2 + target if c in (INSULT_CLASS, THREAT_CLASS) else -1)
-        to.append(row)
-        emit.append(out)
-    return to, emit
-
-
-TO, EMIT = compose()
+
+    def after(s: tuple, c: int) -> tuple:
+        reported, negated, target = s
+        if c == END_CLASS:
+            return 0, 0, 0
+        if c == COLON_CLASS:
+            return reported, 0, 0
+        if c == COMMA_CLASS:
+            return reported, 0, target
+        return 1 if c == REPORTED_CLASS else reported, REACH if c == NEGATION_CLASS else max(0, negated - 1), 1 if c == TARGET_CLASS else target
+
+    return [[index[after(s, c)] for c in range(9)] for s in states], [4 * r + 2 * (n > 0) + t for r, n, t in states]
+
+
+def behind_machine() -> tuple[list[list[int]], list[int]]:
+    """The same, read backwards from a clause's end: the product of the transducers for a target that follows and for attribution behind the last comma."""
+    nothing, verb, attributed, closed = range(4)
+    states = list(product(range(REACH + 1), range(4)))  # words left within a target's reach, what has been seen of an attribution
+    index = {s: k for k, s in enumerate(states)}
+
+    def after(s: tuple, c: int) -> tuple:
+        near, tail = s
+        if c in (END_CLASS, COLON_CLASS):
+            return 0, nothing
+        if c == COMMA_CLASS:
+            return 0, {nothing: closed, verb: attributed}.get(tail, tail)
+        return REACH if c == TARGET_CLASS else max(0, near - 1), verb if c == REPORTED_CLASS and tail == nothing else tail
+
+    return [[index[after(s, c)] for c in range(9)] for s in states], [4 * (t == attributed) + (n > 0) for n, t in states]
+
+
+BEFORE, BEFORE_MARK = before_machine()
+BEHIND, BEHIND_MARK = behind_machine()
 #: Factors before training: by reported, negated, targeted.
 PRIOR = np.array([(0.4 if m & 4 else 1.0) * (0.3 if m & 2 else 1.0) * (1.25 if m & 1 else 1.0) for m in range(N_MARKS)])
 
@@ -60,13 +82,13 @@ PRIOR = np.array([(0.4 if m & 4 else 1.0) * (0.3 if m & 2 else 1.0) * (1.25 if m
 class Grammar:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=lambda: dict.fromkeys(THREAT, THREAT_WEIGHT))
     bias: float = -2.0
     factors: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self) -> None:
         self.heads = {w[: STEMS[0]] for w in (*self.words, *self.stems)} | {w[: STEMS[0]] for w in THREAT}
-        self.context = dict.fromkeys(TARGET, TARGET_CLASS) | dict.fromkeys(NEGATION, NEGATION_CLASS) | dict.fromkeys(REPORTED, REPORTED_CLASS)
-        self.threats = frozenset(THREAT)
+        self.context = dict.fromkeys(TARGET, TARGET_CLASS) | dict.fromkeys(NEGATION, NEGATION_CLASS) | dict.fromkeys(REPORTED, REPORTED_CLASS) | MARKS
 
     def weight(self, word: str) -> float:
         return max(self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) if len(word) >= k else 0.0 for k in STEMS))
@@ -76,20 +98,22 @@ class Grammar:
         tokens = TOKEN.findall(text.lower())
         known: dict[str, float] = {}
         for w in set(tokens):
-            if w[: STEMS[0]] in self.heads and (x := 3.0 if w in self.threats else self.weight(w)) > 0:
+            if w[: STEMS[0]] in self.heads and (x := self.threats[w] if w in self.threats else self.weight(w)) > 0:
                 known[w] = x
         if not known:
             return None
+        kinds = self.context | {w: THREAT_CLASS if w in self.threats else INSULT_CLASS for w in known}
+        classes = [kinds.get(w, OTHER_CLASS) for w in tokens]
+        marks, state = {}, 0
+        for k, c in enumerate(classes):
+            if c <= THREAT_CLASS:
+                marks[k] = 8 * c | BEFORE_MARK[state]
+            state = BEFORE[state][c]
         out, state = np.zeros(N_MARKS), 0
-        for w in tokens:
-            if w in ENDS:
-                state = 0
-                continue
-            c = (THREAT_CLASS if w in self.threats else INSULT_CLASS) if w in known else self.context.get(w, OTHER_CLASS)
-            m = EMIT[state][c]
-            if m >= 0:
-                out[m] += known[w]
-            state = TO[state][c]
+        for k in range(len(classes) - 1, min(marks) - 1, -1):
+            if k in marks:
+                out[marks[k] | BEHIND_MARK[state]] += known[tokens[k]]
+            state = BEHIND[state][classes[k]]
         return np.log1p(out)
 
     def score(self, text: str) -> float:
@@ -100,17 +124,17 @@ class Grammar:
 
 def _terms(text: str) -> set[str]:
     """Words, and stems marked by a star."""
-    words = {w for w in TOKEN.findall(text.lower()) if w not in ENDS}
+    words = {w for w in TOKEN.findall(text.lower()) if w not in MARKS}
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) >= k}
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 3000, most_clean: int = 12000, most_terms: int = 5000) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 3000, most_clean: int = 12000) -> Grammar:
     """A grammar from rows of ``docs`` with a label for which ``training`` (on the id) holds.
 
     At most ``most_toxic`` and ``most_clean`` rows are used (which bounds the broadcast of their ids), the first by a hash of the id; null labels are left out, of several labels
     the greatest counts. A word or stem joins the lexicon if its share of toxic rows is too high for chance (Chernoff bound,
-    over as many terms as there are); the ``most_terms`` strongest stay. Without labels of both kinds the lexicon is empty and
-    the fixed factors remain.
+    over as many terms as there are), so the lexicon is bounded by the sample. A threat word weighs what its shares of toxic and clean rows say, nothing if
+    it is no commoner in toxic ones. Without labels of both kinds the lexicon is empty and the fixed factors and weights remain. Other columns are not read.
     """
     labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(training).groupBy(id_col).agg(F.max(label_col).alias("y"))
     ranked = lambda y, n: labelled.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
@@ -129,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
             keys = list(counts[1].keys() | counts[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["term", "a", "b"])
 
-    terms = written(sample.mapInArrow(counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3"), "toxicity-terms")
+    terms = written(sample.mapInArrow(counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where((F.col("a") >= 3) | F.col("term").isin(THREAT)), "toxicity-terms")
     base = n[1] / (n[0] + n[1])
     tests = max(2, terms.count())
     share = F.col("a") / (F.col("a") + F.col("b"))
@@ -137,8 +161,10 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     evidence = F.col("a") * F.log(share / base) + rest
     weight = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
     strong = terms.where(share > base).withColumn("evidence", evidence).withColumn("weight", weight).where((F.col("evidence") >= math.log(tests)) & (F.col("weight") >= 1.5))
-    lexicon = {r["term"]: r["weight"] for r in strong.orderBy(F.desc("evidence"), "term").limit(most_terms).collect()}
-    grammar = Grammar({t: w for t, w in lexicon.items() if t[-1] != "*"}, {t[:-1]: w for t, w in lexicon.items() if t[-1] == "*"})
+    lexicon = {r["term"]: r["weight"] for r in strong.where("a >= 3").collect()}
+    threats = {r["term"]: max(0.0, r["weight"]) for r in terms.where(F.col("term").isin(THREAT)).withColumn("weight", weight).collect()}
+    words, stems = ({t: w for t, w in lexicon.items() if (t[-1] == "*") == star} for star in (False, True))
+    grammar = Grammar(words, {t[:-1]: w for t, w in stems.items()}, dict.fromkeys(THREAT, THREAT_WEIGHT) | threats)
 
     # The factors: logistic regression on the sample's matches, drawn towards the fixed factors. Equal matches are one row.
     def seen(batches):
@@ -171,7 +197,7 @@ def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, pull: float = 1.0) -> tupl
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row. Null and empty texts get the grammar's bias alone; repeated rows stay; other columns are not
-    read. One pass without shuffle; the grammar is bounded by ``most_terms``."""
+    read. One pass without shuffle; the grammar is bounded by the sample that it was learnt from."""
     return map_texts(docs, id_col, text_col, "score double", lambda texts: [[grammar.score(t) for t in texts]])
 
 
