@@ -8,8 +8,7 @@ survives is verified by its own bits. A posting gives a spanning forest of its l
 too long are dealt again by triples of the bits that their members do not share yet; after two such steps at most 2**16
 fingerprints can share a posting, after three 2**8.
 
-Three bits of 64 are a similarity far above 0.8. ``similar_dedup`` links at a similarity that is asked for: fingerprints of
-1024 bits measure it, bands of their bits bring pairs together, the distance tables have members of the posting as references.
+Three bits of 64 are a similarity far above 0.8. Module ``similar`` links at a similarity that is asked for, with longer fingerprints.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +32,7 @@ BLOCKS = 6
 POSTING = 512
 N_PIVOTS = 32
 #: Bits of the fingerprints that measure similarity.
-LONG_BITS = 1024
+LONG_BITS = 512
 WHITE = bytes(range(9, 14))
 TO_SPACES = bytes.maketrans(WHITE, b" " * len(WHITE))
 
@@ -182,9 +180,6 @@ def _named(rows: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str) -
     return rows.join(of_class, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "component_size")
 
 
-# Links by similarity: long fingerprints.
-
-
 def column_counts(words: np.ndarray) -> np.ndarray:
     """How many rows have each bit set, of rows of 64-bit words: full adders turn three rows of a weight into one and one of twice that weight."""
     total, weight = np.zeros(words.shape[1] * 64, np.int64), 1
@@ -201,11 +196,8 @@ def column_counts(words: np.ndarray) -> np.ndarray:
     return total
 
 
-def long_fingerprint(text: str, width: int, bits: int = LONG_BITS) -> bytes:
-    """Like ``fingerprint``, with as many bits as asked for (a multiple of 64): every shingle's hash is mixed anew for each 64 of them."""
-    hashes = shingle_hashes(text, width)
-    if not len(hashes):
-        return bytes(bits // 8)
+def long_fingerprint(hashes: np.ndarray, bits: int = LONG_BITS) -> np.ndarray:
+    """The fingerprint of shingle hashes in 64-bit words, with as many bits as asked for (a multiple of 64): every hash is mixed anew for each 64 of them."""
     ones = np.zeros(bits, np.int64)
     salt = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(0, len(hashes), 8192):
@@ -213,115 +205,14 @@ def long_fingerprint(text: str, width: int, bits: int = LONG_BITS) -> bytes:
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
         ones += column_counts(h ^ (h >> np.uint64(31)))
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """The most bits that may differ for texts of this Jaccard similarity: sets of that similarity have a cosine of 2s/(1+s) or more, an angle that tells the
-    share of bits which differ on average; one standard deviation is allowed on top, so that the estimate's error seldom loses a link."""
+def differing_bits(similarity: float, bits: int = LONG_BITS, deviations: float = 5.0) -> int:
+    """The most bits that may differ for sets of this Jaccard similarity: they have a cosine of 2s/(1+s) or more, an angle that tells the share of bits which
+    differ on average; five standard deviations on top leave out such a pair with a probability of 3e-7."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + math.sqrt(bits * share * (1 - share)))
-
-
-def band_shape(n: int, bits: int, most: int, miss: float = 0.05) -> tuple[int, int]:
-    """(bits of a band, number of bands) for n fingerprints: a band has four times as many values as there are fingerprints, so that few meet by chance as
-    the corpus grows, and all bands miss a pair at the very limit of ``most`` differing bits with probability ``miss`` only, nearer ones less."""
-    wide = min(54, max(16, 2 + math.ceil(math.log2(max(2, n)))))
-    return wide, math.ceil(math.log(miss) / math.log1p(-((1 - most / bits) ** wide)))
-
-
-def _similar_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Positions of edges that connect what links connect. The references are the first members: a posting holds few clusters, so they tell them apart."""
-    n, edges = len(fps), []
-    root = np.arange(n)
-    table = np.stack([np.bitwise_count(fps ^ fps[p]).sum(axis=1, dtype=np.int32) for p in range(min(n, 8))], axis=1)
-    for i in range(n - 1):
-        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        rest = rest[np.abs(table[rest] - table[i]).max(axis=1) <= most]
-        if len(rest):
-            rest = rest[np.bitwise_count(fps[rest] ^ fps[i]).sum(axis=1, dtype=np.int32) <= most]
-        for j in rest.tolist():
-            if root[j] != root[i]:
-                root[root == root[j]] = root[i]
-                edges.append((i, j))
-    return edges
-
-
-def similar_links(classes: DataFrame, most: int, bits: int = LONG_BITS, posting: int = POSTING) -> DataFrame:
-    """Edges (u, v) between nodes (columns node, a long, and fp, binary) that differ in ``most`` bits or fewer and share a band: enough to connect all such pairs.
-
-    Most postings of two members meet by chance: their pair is held against 56 of the bits before the fingerprints move. Of the others, a posting longer
-    than ``posting`` is cut into blocks by hash, and every two of its blocks are a unit of work: no pair is left out, and no task holds more than two blocks.
-    """
-    wide, bands = band_shape(classes.count(), bits, most)
-    rng = np.random.default_rng(SEED)
-    places = np.stack([rng.choice(bits, wide, replace=False) for _ in range(bands)])
-    powers = 1 << np.arange(wide, dtype=np.int64)
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                each = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-                values = np.stack([each[:, at] @ powers + k * (1 << wide) for k, at in enumerate(places)], axis=1)  # the band's number on top
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), bands)), pa.array(values.reshape(-1))], names=["node", "key"])
-
-    keys = classes.select("node", "fp").mapInArrow(banded, "node long, key long")
-    postings = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("u"), F.max("node").alias("v")).where("size > 1"), "postings")
-
-    # A pair within the limit differs in as large a share of 56 bits, give or take five standard deviations.
-    share = most / bits
-    short_most = math.ceil(56 * share + 5 * math.sqrt(56 * share * (1 - share)))
-    short = classes.select("node", F.conv(F.hex(F.substring("fp", 1, 7)), 16, 10).cast("long").alias("short"))
-    first, second = short.toDF("u", "short_u"), short.toDF("v", "short_v")
-    pairs = postings.where("size = 2").select("u", "v").distinct().join(first, "u").join(second, "v")
-    pairs = written(pairs.where(F.bit_count(F.col("short_u").bitwiseXOR(F.col("short_v"))) <= short_most).select("u", "v"), "pairs")
-    fps = classes.select("node", "fp")
-    pairs = pairs.join(fps.toDF("u", "fp_u"), "u").join(fps.toDF("v", "fp_v"), "v").select("u", "v", "fp_u", "fp_v")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int32) <= most
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], names=["u", "v"])
-
-    members = written(keys.join(postings.where("size > 2").select("key", "size"), "key"), "members")
-    blocks = F.ceil(F.col("size") / posting).cast("int")
-    block = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
-    units = members.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("node", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    lists = units.join(fps, "node").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "fp")).alias("found"))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, v = [], []
-            for found in batch.column(0):
-                nodes = found.values.field("node").to_numpy()
-                each = np.frombuffer(b"".join(found.values.field("fp").to_pylist()), np.uint64).reshape(len(nodes), -1)
-                for i, j in _similar_forest(each, most):
-                    u.append(nodes[i])
-                    v.append(nodes[j])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    grouped = lists.where(F.size("found") > 1).select("found").mapInArrow(linked, "u long, v long")
-    return pairs.mapInArrow(verified, "u long, v long").union(grouped)
-
-
-def similar_dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``near_dedup`` for a similarity of word shingles: (id, fp, component_id, component_size) of every row, fp binary.
-
-    Links join texts whose long fingerprints differ in at most ``differing_bits``. The similarity so estimated has an error of about 0.025 near 0.8 (one
-    standard deviation), in favour of links: most pairs a little under it link too, few at it or above do not. Null, empty and short texts, null ids and repeated rows are as in ``near_dedup``.
-    """
-    rows = written(long_fingerprints(docs, width, id_col, text_col).select(F.col(id_col).alias("id"), "fp"), "fingerprints")
-    # Numbers of a written table: one for each class, and the same whenever they are read.
-    classes = written(_classes(rows).withColumn("node", F.monotonically_increasing_id()), "classes")
-    return _named(rows, classes, similar_links(classes, differing_bits(similarity, LONG_BITS)), id_col)
-
-
-def long_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row, fp binary. One pass without shuffle."""
-    return map_texts(docs, id_col, text_col, "fp binary", lambda texts: [[long_fingerprint(t, width) for t in texts]])
+    return math.ceil(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def as_hex(fp: Column) -> Column:
