@@ -121,5 +121,5 @@ from g""",
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select doc_id, sha256(t) as text_sha256 from n)
 select doc_id, min(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size,
- doc_id = min(doc_id) over (partition by text_sha256) as kept, text_sha256 from g""",
+ doc_id is not distinct from min(doc_id) over (partition by text_sha256) as kept, text_sha256 from g""",
 }
