@@ -162,10 +162,10 @@ class Merger:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.begins = {s[:k] for s in self.by_symbols for k in range(1, len(s))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.max_states = max_states
         self.columns = np.full(256, -1, np.int32)
-        self.n_columns, self.width = 0, 128
+        self.n_columns, self.width = 0, 64
         self.clear()
 
     def clear(self) -> None:
@@ -189,7 +189,7 @@ class Merger:
             new = self.ids[key] = len(self.states)
             self.states.append(key)
             if new >= self.room:
-                self.room *= 2
+                self.room += max(4096, self.room // 4)
                 self._allocate()
             self.last_token[new] = token
         return new
@@ -230,9 +230,10 @@ class Merger:
     def fit(self, a: int, b: int) -> bool:
         if a < 0:
             return True
-        got = self.fits.get((a, b))
+        pair = a << 32 | b
+        got = self.fits.get(pair)
         if got is None:
-            got = self.fits[a, b] = self.encode(self.symbols[a] + self.symbols[b]) == [a, b]
+            got = self.fits[pair] = self.encode(self.symbols[a] + self.symbols[b]) == [a, b]
             if len(self.fits) > 300_000:
                 self.fits.clear()
         return got
@@ -267,7 +268,7 @@ class Merger:
                 self.columns[b] = self.n_columns
                 self.n_columns += 1
             while self.n_columns > self.width:
-                self.width *= 2
+                self.width += 32
                 self._allocate()
             got = self.columns[data]
         return got
