@@ -141,6 +141,11 @@ def bucket_seconds(window_s: int) -> int:
     return 900
 
 
+def bucket_label(bucket_s: Column, window_s: int) -> Column:
+    """A bucket's label on a chart: the time of day in windows up to an hour, else day and minute; in the session's zone."""
+    return F.date_format(F.timestamp_seconds(bucket_s), "HH:mm:ss" if window_s <= 3600 else "MM-dd HH:mm")
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of k of n; null without rows."""
     p, nn = k / n, n.cast("double")

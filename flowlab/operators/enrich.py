@@ -71,10 +71,18 @@ def in_window(matched: DataFrame, slop_us: int, on_miss: str = "drop") -> DataFr
     return matched.select(*[F.when(good, F.col(c)).alias(c) if c.startswith("ebpf_") else F.when(good, F.col(c)).otherwise("none").alias(c) if c == "match_dir" else F.col(c) for c in matched.columns])
 
 
-def match_interval(conn: DataFrame, flows: DataFrame, slop_us: int) -> DataFrame:
-    """All partials of a connection's 5-tuple, either way round, that overlap it: (connection, partial) rows, inner."""
-    both = [conn.join(flows, [F.col(c) == F.col(k) for c, k in zip(cols, TUPLE, strict=True)] + [F.col("first_us") <= F.col("end_us") + slop_us, F.col("last_us") >= F.col("start_us") - slop_us]).withColumn("match_dir", F.lit(name)) for name, cols in (("fwd", FORWARD), ("rev", REVERSE))]
-    return both[0].unionByName(both[1])
+def match_interval(conn: DataFrame, flows: DataFrame, slop_us: int, bin_us: int = 600_000_000) -> DataFrame:
+    """All partials of a connection's 5-tuple, either way round, that overlap it: (connection, partial) rows, inner.
+
+    Both stand in every time bin that they touch, and meet in the first that they share, so a hot tuple is dealt by time and only neighbours are compared. Rows of
+    which an interval ends before it begins match nothing."""
+    bin_of = lambda c: F.floor(c / F.lit(bin_us)).cast("long")
+    begin, end = F.col("start_us") - slop_us, F.col("end_us") + slop_us
+    left = conn.where(begin <= end).withColumn("__b", F.explode(F.sequence(bin_of(begin), bin_of(end))))
+    right = flows.where("first_us <= last_us").withColumn("__c", F.explode(F.sequence(bin_of(F.col("first_us")), bin_of(F.col("last_us")))))
+    within = [F.col("__b") == F.col("__c"), F.col("first_us") <= end, F.col("last_us") >= begin, F.col("__b") == F.greatest(bin_of(begin), bin_of(F.col("first_us")))]
+    both = [left.join(right, [F.col(c) == F.col(k) for c, k in zip(cols, TUPLE, strict=True)] + within).withColumn("match_dir", F.lit(name)) for name, cols in (("fwd", FORWARD), ("rev", REVERSE))]
+    return both[0].unionByName(both[1]).drop("__b", "__c")
 
 
 def replay_scenario(conn: DataFrame, flows: DataFrame) -> DataFrame:
@@ -101,9 +109,10 @@ def enrichment_stats(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def occurrence(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """A stable row identity: a hash of the natural key and the number of the occurrence."""
+    """A stable row identity: 60 bits of a hash of the natural key (null: empty) and the number of the occurrence, which other engines can repeat."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("flow_id", F.xxhash64(*keys, F.row_number().over(w)))
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.row_number().over(w).cast("string"))
+    return df.withColumn("flow_id", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"))
 
 
 def newest_keys(flows: DataFrame, order: list[str], n: int = 50_000) -> DataFrame:

@@ -175,7 +175,7 @@ def bootstrap_ci(df: DataFrame, y: str, score: str, metric: str = "roc_auc", clu
             many = F.greatest(F.round(F.col(c) + F.sqrt(F.col(c).cast("double")) * normal_draw(seed, F.col("replicate"), F.col("s"), F.lit(c))), F.lit(0.0)).cast("long")
             drawn = drawn.withColumn(c, F.when(F.col(c) == 0, 0).when(F.col(c) <= 32, few.cast("long")).otherwise(many))
     merged = drawn.groupBy("replicate", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    sums = prefix_sums(merged, ("replicate",))
+    sums = prefix_sums(merged, ("replicate",), ranged=True)
     if metric == "roc_auc":
         value = F.sum(F.col("n").cast("double") * (F.col("tp") - F.col("p") + F.col("p") / 2.0)) / (F.max("pos").cast("double") * F.max("neg"))
     else:

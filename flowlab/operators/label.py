@@ -65,11 +65,10 @@ def choose_shift(flows: DataFrame, labels: DataFrame, by: str, tolerance: int, m
     """(shift_s, ord, attacks, known, overlap_us, chosen) of the three half-day candidates; the best is the greatest by (attacks, known, overlap), the first
     candidate winning ties. In mode ``reported`` the shift cancels out of the alignment and moves only the overlap; in mode ``effective`` it moves the labels."""
     spans = flows.agg(F.min("start_us").alias("f0"), F.max("end_us").alias("f1")).crossJoin(F.broadcast(labels.agg(F.min("ts_us").alias("l0"), F.max("ts_us").alias("l1"))))
-    out = None
+    count = lambda got: got.agg(F.count_if(~F.col("label_family").isin("Unknown", "BENIGN")).alias("attacks"), F.count_if(F.col("label_family") != "Unknown").alias("known"))
+    out, same = None, count(label_two_pass(flows, labels, by, tolerance)) if mode != "effective" else None  # one plan, which its three uses share
     for k, shift in enumerate((0, half_day_us, -half_day_us)):
-        moved = labels.withColumn("ts_us", F.col("ts_us") + (shift if mode == "effective" else 0))
-        got = label_two_pass(flows, moved, by, tolerance)
-        counts = got.agg(F.count_if(~F.col("label_family").isin("Unknown", "BENIGN")).alias("attacks"), F.count_if(F.col("label_family") != "Unknown").alias("known"))
+        counts = same if same is not None else count(label_two_pass(flows, labels.withColumn("ts_us", F.col("ts_us") + shift), by, tolerance))
         overlap = F.greatest(F.lit(0), F.least("f1", F.col("l1") + shift) - F.greatest("f0", F.col("l0") + shift))
         row = counts.crossJoin(F.broadcast(spans)).select(F.lit(shift // 1_000_000).cast("long").alias("shift_s"), F.lit(k).alias("ord"), "attacks", "known", overlap.cast("long").alias("overlap_us"))
         out = row if out is None else out.unionByName(row)

@@ -25,8 +25,8 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
     return df.join(F.broadcast(counts.crossJoin(total)), y).withColumn("weight", F.col("__n") / (2.0 * F.col("__c"))).drop("__c", "__n")  # two classes
 
 
-def candidate(kind: str, features: list[str], y: str, seed: int, size: int | None = None) -> Pipeline:
-    """Imputation by the median, assembly, scaling for the linear model, and the classifier. ``size``: trees or iterations."""
+def candidate(kind: str, features: list[str], y: str, seed: int, size: int | None = None, centre: bool = False) -> Pipeline:
+    """Imputation by the median, assembly, scaling for the linear model (with ``centre`` about the mean), and the classifier. ``size``: trees or iterations."""
     filled = [f"{f}__f" for f in features]
     steps = [Imputer(inputCols=features, outputCols=filled, strategy="median", relativeError=1e-4), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep")]
     common = {"labelCol": y, "weightCol": "weight", "featuresCol": "raw"}
@@ -35,7 +35,7 @@ def candidate(kind: str, features: list[str], y: str, seed: int, size: int | Non
     elif kind in ("rf", "extra"):
         steps.append(RandomForestClassifier(numTrees=size or (200 if kind == "rf" else 500), maxDepth=20 if kind == "rf" else 24, seed=seed, bootstrap=kind == "rf", **common))
     else:
-        steps += [StandardScaler(inputCol="raw", outputCol="scaled", withMean=False), LogisticRegression(maxIter=size or 100, **(common | {"featuresCol": "scaled"}))]
+        steps += [StandardScaler(inputCol="raw", outputCol="scaled", withMean=centre), LogisticRegression(maxIter=size or 100, **(common | {"featuresCol": "scaled"}))]
     return Pipeline(stages=steps)
 
 
@@ -43,6 +43,13 @@ def score_rows(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
 
 
+def margin_scores(scored: DataFrame, margin: str = "margin") -> DataFrame:
+    """Scores of a model that gives margins but no probabilities: the margin between its least (0) and greatest (1) value; 0 where all are alike."""
+    ends = scored.agg(F.min(margin).alias("__lo"), F.max(margin).alias("__hi"))
+    width = F.col("__hi") - F.col("__lo")
+    return scored.crossJoin(F.broadcast(ends)).withColumn("score", F.when(width > 0, (F.col(margin) - F.col("__lo")) / width).otherwise(0.0)).drop("__lo", "__hi")  # one row
+
+
 def fit_and_score(rows: DataFrame, kind: str, y: str = "is_attack", row_id: str = "flow_id", seed: int = 104, size: int | None = None) -> DataFrame:
     """Fits on role train, takes the threshold of the best F1 on val, and returns (row id, y, score, pred) of test. ``size``: as in ``candidate``, by default in full."""
     typed = rows.withColumns({f: F.col(f).cast("double") for f in FEATURES})
@@ -59,9 +66,11 @@ def isolation_forest(rows: DataFrame, features: list[str], row_id: str, trees: i
     A row enters a tree's candidates by a hash cut-off that keeps a few times the sample, so no tree sees the table."""
     total = max(1, rows.count())
     share = min(1.0, 4.0 * sample / total)
-    each = rows.select(row_id, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    h = F.pmod(F.xxhash64(F.lit(seed), "tree", row_id), F.lit(1 << 40))
-    near = each.withColumn("__h", h).where(F.col("__h") < int(share * (1 << 40)))
+    gate = min(1.0, trees * share)  # of large tables most rows are in no tree and go by one hash
+    some = rows.select(row_id, *[F.col(f).cast("double").alias(f) for f in features]).where(F.pmod(F.xxhash64(F.lit(seed + 1), row_id), F.lit(1 << 40)) < int(gate * (1 << 40)))
+    h = lambda tree: F.pmod(F.xxhash64(F.lit(seed), tree, row_id), F.lit(1 << 40))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: h(t) < int(share / gate * (1 << 40)))
+    near = some.withColumn("tree", F.explode(chosen)).withColumn("__h", h(F.col("tree")))
     picked = near.withColumn("__r", F.row_number().over(Window.partitionBy("tree").orderBy("__h", row_id))).where(F.col("__r") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -53,8 +53,8 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def class_targets(counts: DataFrame, label: str, quota: int, equal: bool = False, benign_ratio: float | None = None, benign: str = "BENIGN") -> DataFrame:
-    """(label, n, target) from the class counts: the quota or what there is; with ``equal`` the smallest attack class for all; with ``benign_ratio`` a
-    share of the attack target for the benign class."""
+    """(label, n, target) from the class counts: the quota or what there is; with ``equal`` the smallest class (with ``benign_ratio`` attack class) for all; with
+    ``benign_ratio`` a share of the attack target for the benign class."""
     attack = F.col(label) != benign if benign_ratio is not None else F.lit(True)
     totals = counts.agg(F.min(F.when(attack, F.least("n", F.lit(quota)))).alias("smallest"))
     each = counts.crossJoin(F.broadcast(totals)).withColumn("target", F.col("smallest") if equal else F.least(F.col("n"), F.lit(quota))).drop("smallest")
@@ -78,13 +78,15 @@ def quota_sample(df: DataFrame, label: str, quota: int, seed: int, row_id: str,
     return sample_classes(df, label, class_targets(label_counts(df, label), label, quota, equal, benign_ratio), seed, row_id)
 
 
-def stratified_split(df: DataFrame, label: str, seed: int, row_id: str, ratios: tuple[float, float] = (0.7, 0.15), rare: int = 2, salts: int = 16) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, seed: int, row_id: str, ratios: tuple[float, float] = (0.7, 0.15), rare: int = 2, per_bucket: int = 1_000_000) -> DataFrame:
     """Adds role. Classes with fewer than ``rare`` rows form one stratum. Rows are ranked in hashed order inside (stratum, hash bucket), so no
     stratum is one task; a bucket's exact cut is its own rank against the stratum's rows before it."""
-    counts = label_counts(df, label).withColumn("stratum", F.when(F.col("n") < rare, "RARE").otherwise(F.col(label))).select(F.col(label).alias("__l"), "stratum")
+    counts = label_counts(df, label).withColumn("stratum", F.when(F.col("n") < rare, "RARE").otherwise(F.col(label))).select(F.col(label).alias("__l"), "stratum", "n")
+    most = counts.agg(F.max("n")).first()[0] or 0
+    digits = next(d for d in range(1, 5) if d == 4 or 16**d * per_bucket >= most)  # of the hash: 16 to 65,536 buckets per stratum
     h = order_hash(seed, row_id)
-    rows = df.join(F.broadcast(counts), F.col(label) == F.col("__l")).drop("__l").withColumn("__h", h).withColumn("__b", F.substring("__h", 1, 1))
-    sizes = rows.groupBy("stratum", "__b").agg(F.count(F.lit(1)).alias("__n"))  # 16 buckets per stratum
+    rows = df.join(F.broadcast(counts.drop("n")), F.col(label) == F.col("__l")).drop("__l").withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
+    sizes = rows.groupBy("stratum", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("stratum").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("stratum", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"), F.sum("__n").over(Window.partitionBy("stratum")).alias("__t"))
     rank = F.row_number().over(Window.partitionBy("stratum", "__b").orderBy("__h", row_id))
@@ -94,21 +96,41 @@ def stratified_split(df: DataFrame, label: str, seed: int, row_id: str, ratios:
     return out.withColumn("role", role).drop("__h", "__b", "__r", "__o", "__t")
 
 
-def rebalance(train: DataFrame, label: str, target: int, seed: int, row_id: str) -> DataFrame:
-    """Families up to the target are repeated in hashed order to exactly the target; larger ones are sampled down. Adds copy (from 0)."""
-    counts = label_counts(train, label).select(F.col(label).alias("__l"), "n")
-    kept = sample_classes(train, label, class_targets(label_counts(train, label), label, target), seed, row_id)
-    w = Window.partitionBy(label).orderBy(order_hash(seed, row_id), row_id)  # at most ``target`` rows per family
-    ranked = kept.withColumn("__r", F.row_number().over(w)).join(F.broadcast(counts), F.col(label) == F.col("__l")).drop("__l")
-    copies = F.when(F.col("n") >= target, 1).otherwise(F.floor(F.lit(target) / F.col("n")) + (F.col("__r") <= F.lit(target) % F.col("n")).cast("int")).cast("int")
-    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__r", "n")
-
-
-def split_by_day(df: DataFrame, day: str, label: str, quota: int, seed: int, row_id: str, days: dict[str, list] | None = None) -> DataFrame:
-    """(row, role): test_balanced is an equal quota sample of all days; train, val and test_realistic are days, and train leaves
-    out sampled rows. A row may stand in test_balanced and in val or test_realistic."""
+def rebalance(train: DataFrame, label: str, target: int, seed: int, row_id: str, benign_ratio: float = 3.0, mode: str = "cycle", benign: str = "BENIGN") -> DataFrame:
+    """Attack families with ``target`` rows or fewer grow to exactly the target, larger ones are sampled down; benign rows are capped at ``benign_ratio`` times what all
+    families come to, and never repeated. Adds copy (from 0).
+
+    ``cycle`` repeats a family's rows in hashed order; ``draw`` draws with replacement, by a hash of the draw's number. A null label is no family and goes."""
+    counts = label_counts(train, label).where(F.col(label).isNotNull())
+    attack = F.col(label) != benign
+    cap = counts.agg(F.floor(F.count_if(attack) * target * F.lit(benign_ratio)).alias("__cap"))
+    targets = counts.crossJoin(F.broadcast(cap)).withColumn("target", F.when(attack, F.least("n", F.lit(target))).otherwise(F.least("n", "__cap"))).drop("__cap")  # one row
+    kept = sample_classes(train, label, targets, seed, row_id)
+    w = Window.partitionBy(label).orderBy(order_hash(seed, row_id), row_id)  # at most the target's rows per family
+    ranked = kept.withColumn("__r", F.row_number().over(w)).join(F.broadcast(counts.select(F.col(label).alias("__l"), "n")), F.col(label) == F.col("__l")).drop("__l")
+    grows = (F.col(label) != benign) & (F.col("n") < target)
+    if mode == "cycle":
+        copies = F.when(~grows, 1).otherwise(F.floor(F.lit(target) / F.col("n")) + (F.col("__r") <= F.lit(target) % F.col("n")).cast("int")).cast("int")
+        return ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__r", "n")
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__l"), F.col("__d").cast("string"))), 1, 12), 16, 10).cast("long")
+    small = counts.where(attack & (F.col("n") < target)).select(F.col(label).alias("__l"), "n")
+    draws = small.withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(target)))).select("__l", (number % F.col("n") + 1).alias("__pick"))
+    times = draws.groupBy("__l", "__pick").agg(F.count(F.lit(1)).cast("int").alias("__times"))  # at most the target's rows per family
+    drawn = ranked.join(times, (F.col(label) == F.col("__l")) & (F.col("__r") == F.col("__pick")), "left")
+    often = F.when(grows, F.coalesce("__times", F.lit(0))).otherwise(1)
+    return drawn.withColumn("__often", often).where("__often > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__often") - 1))).drop("__r", "n", "__l", "__pick", "__times", "__often")
+
+
+def split_by_day(df: DataFrame, day: str, label: str, quota: int, seed: int, row_id: str, days: dict[str, list] | None = None, min_quota: int = 1, benign_ratio: float = 1.0) -> DataFrame:
+    """(row, role): test_balanced is a sample of all days with as many rows of every attack family as the smallest has (the quota at most) and ``benign_ratio`` times
+    that many benign ones; train, val and test_realistic are days, and train leaves out sampled rows. A row may stand in test_balanced and in val or test_realistic.
+
+    Raises ValueError without attack families, or if the smallest family has fewer than ``min_quota`` rows."""
     days = days or {"train": [0, 1, 2], "val": [3], "test_realistic": [4]}
-    balanced = quota_sample(df, label, quota, seed, row_id, equal=True)
+    least = label_counts(df, label).where(F.col(label) != "BENIGN").agg(F.min("n")).first()[0]
+    if least is None or min(least, quota) < min_quota:
+        raise ValueError(f"the smallest attack family has {least or 0} rows, fewer than the quota of {min_quota} that is asked for")
+    balanced = quota_sample(df, label, quota, seed, row_id, equal=True, benign_ratio=benign_ratio)
     parts = [balanced.withColumn("role", F.lit("test_balanced"))]
     for role, which in days.items():
         rows = df.where(F.col(day).isin(which))
@@ -203,14 +225,18 @@ def unseen_families(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
     return test.select(label).distinct().join(train.select(label).distinct(), label, "left_anti")
 
 
-# Columns that carry identity or labels, and hints by which kernel columns are known.
+# Columns that carry identity or labels, parts of names by which kernel columns are known, and columns that are never features.
 META = ("ts", "t_end", "start_ts", "end_ts", "orig_h", "resp_h", "src_ip", "dst_ip", "k", "day", "run_id", "label_family", "label_raw", "is_attack", "label_time_offset_sec", "label_halfday_shift_sec", "label_window_pre_slop_sec", "label_window_post_slop_sec")
-KERNEL_HINT = "ebpf_"
+KERNEL_HINTS = ("ebpf", "bpf", "pid", "ppid", "uid", "gid", "comm", "exe", "cmd", "cgroup", "sock", "sk_", "tcp_", "udp_", "netns", "inode", "tgid", "task", "ns_", "mount")
+NEVER = ("label_family", "day")
 
 
-def split_feature_columns(columns: list[str]) -> tuple[list[str], list[str]]:
-    """(baseline, enhanced) columns: the enhanced set has the kernel's columns too."""
-    return [c for c in columns if not c.startswith(KERNEL_HINT)], list(columns)
+def split_feature_columns(columns: list[str], never: tuple[str, ...] = NEVER) -> tuple[list[str], list[str]]:
+    """(baseline, enhanced) columns by their names: the kernel's columns follow the others in the enhanced set; label and day are in neither."""
+    kernel = lambda c: any(h in c.lower() for h in KERNEL_HINTS)
+    usable = [c for c in columns if c not in never]
+    base = [c for c in usable if not kernel(c)]
+    return base, base + [c for c in usable if kernel(c)]
 
 
 def select_features(df: DataFrame) -> list[str]:

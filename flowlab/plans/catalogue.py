@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import enrich, evaluate, label, models, monitor, prepare
 from flowlab.plans import views
-from flowlab.streaming import flow_partials, stream_enrich
+from flowlab.streaming import flow_partials, run_to_end, stream_enrich, with_final_pass
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,12 +244,25 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.stratified_split(views.flows(spark, sf_dir), "label_family", SEED, "flow_id").select("flow_id", "stratum", "role")
 
 
-@query(RANKED + ", k as (select flow_id, label_family, rn, n, case when n >= 1000 then 1 else 1000 // n + case when rn <= 1000 % n then 1 else 0 end end as copies from r where rn <= 1000)\nselect flow_id, label_family, cast(unnest(range(copies)) as integer) as copy from k")
+CAP = "(select floor(count(distinct label_family) filter (where label_family <> 'BENIGN') * 1000 * 3.0) as cap from r)"
+KEPT = f", kept as (select r.* from r, {CAP} where rn <= case when label_family = 'BENIGN' then least(n, cap) else 1000 end)\n"
+
+
+@query(RANKED + KEPT + ", k as (select flow_id, label_family, case when n >= 1000 or label_family = 'BENIGN' then 1 else 1000 // n + case when rn <= 1000 % n then 1 else 0 end end as copies from kept)\nselect flow_id, label_family, cast(unnest(range(copies)) as integer) as copy from k")
 def rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.rebalance(views.flows(spark, sf_dir), "label_family", 1000, SEED, "flow_id").select("flow_id", "label_family", "copy")
 
 
-BALANCED = f", s as (select flow_id from r where rn <= (select min(least(n, {QUOTA})) from r))\n"
+@query(RANKED + KEPT + f""", d as (select label_family, ('0x' || substr(md5(concat_ws('|', '{SEED}', label_family, d)), 1, 12))::bigint % n + 1 as pick, count(*) as times from (select distinct label_family, n from kept where n < 1000 and label_family <> 'BENIGN'), range(1, 1001) t(d) group by all),
+k as (select flow_id, kept.label_family, case when n >= 1000 or kept.label_family = 'BENIGN' then 1 else coalesce(times, 0) end as copies from kept left join d on d.label_family = kept.label_family and pick = rn)
+select flow_id, label_family, cast(unnest(range(copies)) as integer) as copy from k""")
+def rebalance_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.rebalance(views.flows(spark, sf_dir), "label_family", 1000, SEED, "flow_id", mode="draw").select("flow_id", "label_family", "copy")
+
+
+BALANCED = f""", q as (select min(least(n, {QUOTA})) as q, count(distinct label_family) as f from r where label_family <> 'BENIGN'),
+s as (select flow_id from r, q where rn <= case when label_family = 'BENIGN' then least(n, q * f) else q end)
+"""
 
 
 @query(RANKED + BALANCED + """select flow_id, 'test_balanced' as role from s union all select flow_id, 'val' from v_flows where day_ix = 3 union all select flow_id, 'test_realistic' from v_flows where day_ix = 4
@@ -265,11 +278,18 @@ def group_split_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.stratified_split(g, "dom_label", SEED, "gid", rare=1).select("orig_h", "resp_h", "dom_label", "role")
 
 
-@query()
+@query(GROUPS + """, h as (select *, row_number() over (partition by dom_label order by n_rows desc, orig_h, resp_h) as rn, sum(n_rows) over (partition by dom_label)::bigint as total from g),
+w as (select dom_label, 0::bigint as rn, round_even(total * 0.7::double, 0)::bigint as a, round_even(total * 0.15::double, 0)::bigint as b, total - round_even(total * 0.7::double, 0)::bigint - round_even(total * 0.15::double, 0)::bigint as c, ''::varchar as orig_h, ''::varchar as resp_h, ''::varchar as role from h where rn = 1
+ union all select x.dom_label, x.rn, a - case when role = 'train' then n_rows else 0 end, b - case when role = 'val' then n_rows else 0 end, c - case when role = 'test' then n_rows else 0 end, x.orig_h, x.resp_h, role from
+ (select h.dom_label, h.rn, h.orig_h, h.resp_h, h.n_rows, w.a, w.b, w.c, case when w.a >= w.b and w.a >= w.c then 'train' when w.b >= w.c then 'val' else 'test' end as role from w join h on h.dom_label = w.dom_label and h.rn = w.rn + 1) x)
+select g.*, w.role from g join w using (orig_h, resp_h)""")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.group_split(groups(spark, sf_dir), "dom_label", "n_rows", ("orig_h", "resp_h"), SEED)
 
 
+ORACLES["group_split"] = ORACLES["group_split"].replace("with v_flows", "with recursive v_flows", 1)
+
+
 @query(GROUPS + f""", m as (select min(c) as rarest from (select count(*) as c from g group by dom_label)),
 f as (select orig_h, resp_h, repeat, (row_number() over (partition by repeat, case when rarest >= 5 then dom_label end order by md5(concat_ws('|', '{SEED}', repeat, orig_h, resp_h)), orig_h, resp_h) - 1) % 5 as fold from g, m, range(3) t(repeat)),
 t as (select label_family, count(*) as all_n, sum(is_attack) as all_a from v_flows group by 1),
@@ -380,9 +400,13 @@ def paired_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got, "a_rate", "b_rate", "a_low", "a_high", "b_low", "b_high", "delta")
 
 
-@query()
+@query("""with c as (select label_family, count(*) filter (where base_pred = 1 and ebpf_pred = 0) as only_a, count(*) filter (where base_pred = 0 and ebpf_pred = 1) as only_b from v_scores where y_true = 1 group by 1),
+t as (select label_family, only_a, only_b, sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) as tail from (select *, unnest(range(least(only_a, only_b) + 1)) as i from c) group by all),
+p as (select *, case when only_a + only_b = 0 then 1.0 else least(1.0, 2 * tail) end as p from t),
+r as (select *, (count(*) over () - row_number() over (order by p) + 1) * p as s from p)
+select label_family, only_a, only_b, round(p, 6) as p_exact, round(least(1.0, max(s) over (order by p rows unbounded preceding)), 6) as p_holm from r""")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.paired_family(views.scores(spark, sf_dir), "label_family", "y_true", "base_pred", "ebpf_pred").select("label_family", "only_a", "only_b", "p_exact", "p_holm")
+    return evaluate.paired_family(views.scores(spark, sf_dir), "label_family", "y_true", "base_pred", "ebpf_pred").select("label_family", "only_a", "only_b", F.round("p_exact", 6).alias("p_exact"), F.round("p_holm", 6).alias("p_holm"))
 
 
 @query("""with t as (select orig_h as test, avg(is_attack) as p from v_flows group by 1), r as (select *, (count(p) over () - row_number() over (order by p, test) + 1) * p as s from t)
@@ -503,27 +527,71 @@ def path_is_dir(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory()
 
 
-@query()
-def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flush-window partials of a stream; the last windows wait for a later event and so stay in the state."""
-    ev = stream_source(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+EPOCH = "timestampdiff(microsecond, timestamp_ntz '1970-01-01 00:00:00', ts)"  # the same instant in any session zone
+
+
+def packet_events(ev: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as socket events."""
     kind = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 4).otherwise(5)
-    rows = ev.select("ts", "event_id", F.unix_micros("ts").alias("ts_us"), F.concat(F.lit("10.0.0."), (F.col("user_id") % 20).cast("string")).alias("saddr"), F.concat(F.lit("10.0.1."), (F.col("event_id") * 7 % 16).cast("string")).alias("daddr"), (F.col("user_id") + 1024).alias("sport"), (F.col("event_id") % 4).alias("dport"), F.lit(6).alias("proto"), kind.alias("evtype"), F.floor(F.col("value") * 100).alias("bytes"), F.col("user_id").alias("pid"), (F.col("event_id") % 2 == 0).alias("outgoing"))
-    return streamed(spark, flow_partials(rows).select(F.col("flush.start").alias("flush_start"), *enrich.TUPLE, "first_us", "last_us", "bytes_sent", "bytes_recv", "samples", "pid"))
+    rows = ev.withColumn("ts_us", F.expr(EPOCH)).withColumn("ts", F.timestamp_micros("ts_us"))
+    return rows.select("ts", "event_id", "ts_us", F.concat(F.lit("10.0.0."), (F.col("user_id") % 20).cast("string")).alias("saddr"), F.concat(F.lit("10.0.1."), (F.col("event_id") * 7 % 16).cast("string")).alias("daddr"), (F.col("user_id") + 1024).alias("sport"), (F.col("event_id") % 4).alias("dport"), F.lit(6).alias("proto"), kind.alias("evtype"), F.floor(F.col("value") * 100).alias("bytes"), F.col("user_id").alias("pid"), (F.col("event_id") % 2 == 0).alias("outgoing"))
 
 
-@query()
-def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connections of a stream with the best overlapping flow; those behind the last watermark wait in the state."""
-    ev = stream_source(spark, sf_dir).withColumn("start", F.col("ts").cast("timestamp"))
+def flushed(rows: DataFrame) -> DataFrame:
+    return flow_partials(rows).select(F.unix_micros("flush.start").alias("flush_us"), *enrich.TUPLE, "first_us", "last_us", "bytes_sent", "bytes_recv", "samples", "pid")
+
+
+STREAMED = """with s as (select event_id, epoch_us(ts) as us, concat('10.0.0.', user_id % 20) as a, concat('10.0.1.', event_id * 7 % 16) as b, user_id + 1024 as port, event_id % 4 as dport, cast(floor(value * 100) as bigint) as bytes, value, user_id as pid,
+ case event_type when 'click' then 1 when 'error' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end as evtype from events)
+"""
+
+
+@query(STREAMED + """select cast(floor(us / 5000000.0) as bigint) * 5000000 as flush_us, a as saddr, b as daddr, port as sport, dport, 6 as proto, min(us) as first_us, max(us) as last_us,
+ sum(case when evtype = 2 or (evtype = 5 and event_id % 2 = 0) then bytes else 0 end) as bytes_sent, sum(case when evtype = 3 or (evtype = 5 and event_id % 2 = 1) then bytes else 0 end) as bytes_recv, count(*) as samples, arg_max(pid, row(us, event_id)) as pid
+from s where evtype <> 3 or bytes > 0 group by all""")
+def stream_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flush-window partials of a stream; windows that were open when it stopped come from the final pass."""
+    given = streamed(spark, flushed(packet_events(stream_source(spark, sf_dir))))
+    return with_final_pass(given, flushed(packet_events(views.events(spark, sf_dir))), ("flush_us", *enrich.TUPLE))
+
+
+def both_sides(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events, of a table or a stream, as connections and as flows of two thirds of them, some the other way round."""
+    ev = ev.withColumn("us", F.expr(EPOCH)).withColumn("start", F.timestamp_micros("us"))
     host = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     a, b, port = host("10.0.0.", F.col("user_id") % 20), host("10.0.1.", F.col("event_id") * 7 % 16), F.col("event_id") % 4
-    end = F.timestamp_micros(F.unix_micros("start") + F.floor(F.col("value") * 100000))
+    end = F.timestamp_micros(F.col("us") + F.floor(F.col("value") * 100000))
     conn = ev.select(F.col("event_id").alias("conn_id"), "start", end.alias("end"), a.alias("orig_h"), b.alias("resp_h"), (F.col("user_id") + 1024).alias("orig_p"), port.alias("resp_p"), F.lit(6).alias("proto_num"))
     back = F.col("event_id") % 5 == 0
     either = lambda x, y: F.when(back, y).otherwise(x)
     flows = ev.where(F.col("event_id") % 3 != 2).select(either(a, b).alias("saddr"), either(b, a).alias("daddr"), either(F.col("user_id") + 1024, port).alias("sport"), either(port, F.col("user_id") + 1024).alias("dport"), F.lit(6).alias("proto"), F.col("start").alias("first"), end.alias("last"), (F.col("event_id") % 50 + 1).alias("samples"), F.floor(F.col("value") * 100).alias("bytes_sent"), F.floor(F.col("value") * 37).alias("bytes_recv"))
-    return streamed(spark, stream_enrich(conn, flows))
+    return conn, flows
+
+
+@query(STREAMED + """, c as (select event_id as conn_id, us as start_us, us + cast(floor(value * 100000) as bigint) as end_us, a, b, port, dport, value from s),
+f as (select *, conn_id % 50 + 1 as samples, cast(floor(value * 100) as bigint) as bytes_sent, cast(floor(value * 37) as bigint) as bytes_recv, conn_id % 5 = 0 as back from c where conn_id % 3 <> 2),
+k as (select case when back then b else a end as sa, case when back then a else b end as da, case when back then dport else port end as sp, case when back then port else dport end as dp, start_us, end_us, samples, bytes_sent, bytes_recv from f),
+j as (select c.conn_id, c.start_us, 1 as rank, samples, bytes_sent, bytes_recv from c join k on a = sa and b = da and port = sp and dport = dp and k.end_us >= c.start_us - 10000000 and k.start_us <= c.end_us + 10000000
+ union all select c.conn_id, c.start_us, 0, samples, bytes_sent, bytes_recv from c join k on b = sa and a = da and dport = sp and port = dp and k.end_us >= c.start_us - 10000000 and k.start_us <= c.end_us + 10000000),
+t as (select *, row_number() over (partition by conn_id order by rank desc, samples desc, bytes_sent desc) as rn from j)
+select c.conn_id, c.start_us, case rank when 1 then 'fwd' when 0 then 'rev' else 'none' end as match_dir, samples, bytes_sent, bytes_recv from c left join t on t.conn_id = c.conn_id and rn = 1""")
+def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of a stream with the best overlapping flow; those behind the last watermark come from the final pass."""
+    shown = lambda df: df.select("conn_id", F.unix_micros("start").alias("start_us"), "match_dir", "samples", "bytes_sent", "bytes_recv")
+    given = streamed(spark, shown(stream_enrich(*both_sides(stream_source(spark, sf_dir)))))
+    return with_final_pass(given, shown(stream_enrich(*both_sides(views.events(spark, sf_dir)))), ("conn_id",))
+
+
+@query("select count(*) as \"connections.rows\", count(*) as \"scored.rows\", cast(sum(ebpf_pred) as bigint) as \"scored.alerts\", 0 as late from v_scores")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream counts on its way: connections read, rows scored, alerts, rows after their watermark."""
+    from flowlab.plans.shared import shared_dir
+
+    source = views.flows(spark, sf_dir, stream_source(spark, sf_dir)).observe("connections", F.count(F.lit(1)).alias("rows"))
+    scored = spark.sql(views.SCORES, v_flows=source).observe("scored", F.count(F.lit(1)).alias("rows"), F.sum("ebpf_pred").alias("alerts"))
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counts = run_to_end(scored, f"{base}/out", f"{base}/state")
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"`{c}` long" for c in counts))
 
 
 # Models

@@ -98,10 +98,16 @@ def pack_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted pack on the stream of connections, at half its threshold as for live traffic."""
-    p = experiments.fit(by_day(spark, sf_dir), "logreg", CORE, Y, SEED)
-    halved = experiments.Pack(p.model, p.features, p.threshold * 0.5, p.kind, p.seed)
-    return streamed(spark, experiments.score(halved, views.flows(spark, sf_dir, stream_source(spark, sf_dir))).select(ROW, Y, "score", "pred"))
+    """Two fitted packs on the stream of connections, each at half its threshold as for live traffic: without and with the ports."""
+    rows = written(by_day(spark, sf_dir), "days")
+    out, names = views.flows(spark, sf_dir, stream_source(spark, sf_dir)), {"small": CORE[:2], "full": CORE}
+    for name, features in names.items():
+        p = experiments.fit(rows, "logreg", features, Y, SEED)
+        halved = experiments.Pack(p.model, p.features, p.threshold * 0.5, p.kind, p.seed)
+        kept = [c for c in out.columns if c.endswith(("_score", "_pred"))]
+        scored = experiments.score(halved, out)
+        out = scored.select(*views.flows(spark, sf_dir).columns, *kept, F.col("score").alias(f"{name}_score"), F.col("pred").alias(f"{name}_pred"))
+    return streamed(spark, out.select(ROW, Y, *[f"{n}_{c}" for n in names for c in ("score", "pred")]))
 
 
 GRID = "(values " + ", ".join(f"({c}::double)" for c in experiments.CONTAMINATION) + ") g(contamination)"
@@ -238,7 +244,7 @@ def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(known.select(*base), "resp_p_freq").select("flow_id", "resp_p_freq")
 
 
-@query()
+@query("""select ('0x' || substr(md5(concat_ws('|', orig_h, resp_h, orig_p, resp_p, proto_num, start_us, row_number() over (partition by orig_h, resp_h, orig_p, resp_p, proto_num, start_us order by flow_id))), 1, 15))::bigint as flow_id, flow_id as source_id from v_flows""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row identities from content: the tuple, the start and the number of the occurrence."""
     rows = views.flows(spark, sf_dir).withColumnRenamed("flow_id", "source_id")

@@ -45,6 +45,26 @@ def stream_enrich(conn: DataFrame, flows: DataFrame, slop_s: int = 10, delay: st
     return joined.groupBy("conn_id", "start").agg(best.alias("b")).select("conn_id", "start", F.when(F.col("b.rank") == 1, "fwd").when(F.col("b.rank") == 0, "rev").otherwise("none").alias("match_dir"), "b.samples", "b.bytes_sent", "b.bytes_recv")
 
 
+def with_final_pass(streamed: DataFrame, whole: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """What a stream has given, and from a last pass over the stored history (the same function on tables) the rows whose keys it has not: those of the windows
+    that were still open when it stopped. One anti-join on the keys."""
+    return streamed.unionByName(whole.join(streamed.select(*keys).distinct(), list(keys), "left_anti"))
+
+
+def run_to_end(out: DataFrame, path: str, state: str) -> dict[str, int]:
+    """Appends what a stream gives over the files there are, and returns its counters: the sums over all micro-batches of what ``observe`` counted on the way (as
+    observation.column), and late, the rows that came after their watermark."""
+    query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    counts: dict[str, int] = {"late": 0}
+    for step in query.recentProgress:
+        counts["late"] += sum(s["numRowsDroppedByWatermark"] for s in step["stateOperators"])
+        for name, row in step["observedMetrics"].items():
+            for column, value in row.asDict().items():
+                counts[f"{name}.{column}"] = counts.get(f"{name}.{column}", 0) + int(value or 0)
+    return counts
+
+
 CACHED = ("samples", "last_us", "part_id", "first_us", "bytes_sent", "bytes_recv")
 
 
