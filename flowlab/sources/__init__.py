@@ -85,7 +85,7 @@ def read_labels(spark: SparkSession, path: str, day: str) -> DataFrame:
     if lacking:
         raise ValueError(f"label files lack {lacking['x']}")
     body = lines.join(F.broadcast(judged.select("path", F.struct("head", "utf8").alias("j"))), "path")  # files
-    body = body.where(F.col("b") != F.col("j.head")).where(F.trim(F.col("b").cast("string")) != "").select("path", "file", F.col("j.utf8").alias("utf8"), "b")
+    body = body.where(F.col("b") != F.col("j.head")).where(F.col("b").cast("string").rlike(r"\S")).select("path", "file", F.col("j.utf8").alias("utf8"), "b")
     parsed = body.join(F.broadcast(named.select("path", "names")), "path").withColumn("row", cells(F.regexp_replace(text("b"), "\r$", "")))
     values = F.array(*[F.col("row")[f"c{k}"] for k in range(CELLS)])
     at = lambda c: F.trim(F.element_at(values, F.array_position("names", c).cast("int")))
