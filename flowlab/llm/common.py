@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,7 +67,17 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def slices(batch: pa.RecordBatch, text_at: int, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere the allocator's own ways do
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow and the C heap keep of earlier batches."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def slices(batch: pa.RecordBatch, text_at: int, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``limit`` bytes of text: what a task holds of a batch is bounded but for single texts."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
     begin = 0
@@ -75,7 +86,7 @@ def slices(batch: pa.RecordBatch, text_at: int, limit: int = 1_000_000) -> Itera
         end = max(begin + 1, int(np.searchsorted(upto, before + limit, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
-    pa.default_memory_pool().release_unused()  # what Arrow keeps of earlier batches
+        give_back()
 
 
 _kept: list = []

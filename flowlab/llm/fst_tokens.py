@@ -142,7 +142,7 @@ def word_starts(cls: np.ndarray) -> np.ndarray:
 class Merger:
     """The byte transducer of one vocabulary file, determinised as words come."""
 
-    def __init__(self, path: str, max_states: int = 160_000):
+    def __init__(self, path: str, max_states: int = 120_000):
         spec = json.load(open(path, encoding="utf-8"))
         self.suffix = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -268,7 +268,7 @@ class Merger:
                 self.columns[b] = self.n_columns
                 self.n_columns += 1
             while self.n_columns > self.width:
-                self.width += 32
+                self.width += 8
                 self._allocate()
             got = self.columns[data]
         return got
