@@ -139,6 +139,60 @@ def word_starts(cls: np.ndarray) -> np.ndarray:
     return out[: len(cls)]
 
 
+class Transitions:
+    """Compiled transitions by state and byte, in a hash table with open places: few of a state's 256 ever occur."""
+
+    FACTOR = 0x9E3779B97F4A7C15
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(self.FACTOR)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of these keys; 0: not compiled yet."""
+        at = self._place(keys)
+        found, out = self.keys[at], self.values[at]
+        other = np.flatnonzero(found != keys)
+        out[other] = 0
+        other = other[found[other] >= 0]
+        while len(other):
+            at[other] = (at[other] + 1) & (len(self.keys) - 1)
+            here = at[other]
+            found = self.keys[here]
+            same = found == keys[other]
+            out[other[same]] = self.values[here[same]]
+            other = other[~same & (found >= 0)]
+        return out
+
+    def put(self, key: int, value: int) -> None:
+        """``key`` must be new."""
+        if 2 * self.used >= len(self.keys):
+            self._grow()
+        at = (key * self.FACTOR & (1 << 64) - 1) >> (64 - self.bits)
+        while self.keys[at] >= 0:
+            at = (at + 1) & (len(self.keys) - 1)
+        self.keys[at], self.values[at] = key, value
+        self.used += 1
+
+    def _grow(self) -> None:
+        had = self.keys >= 0
+        keys, values = self.keys[had], self.values[had]
+        self.bits += 1
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            _, first = np.unique(at, return_index=True)
+            first = first[free[first]]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & (len(self.keys) - 1)
+
+
 class Merger:
     """The byte transducer of one vocabulary file, determinised as words come."""
 
@@ -164,16 +218,15 @@ class Merger:
         self.begins = {s[:k] for s in self.by_symbols for k in range(1, len(s))}
         self.fits: dict[int, bool] = {}
         self.max_states = max_states
-        self.columns = np.full(256, -1, np.int32)
-        self.n_columns, self.width = 0, 64
         self.clear()
 
     def clear(self) -> None:
         # A state: for each k whose last k bytes begin some token, (k, last token before them, tokens emitted since), packed.
         self.states = [_packed(b"", [(0, -1, 0)])]
         self.ids = {self.states[0]: 0}
-        self.room = 4096
-        self._allocate()
+        self.last_token = np.zeros(4096, np.int32)
+        self.to = Transitions()  # next state * 256 + change of the count + 128
+        self.end = Transitions()  # the last token of a word that ends with this byte here, likewise
 
     def restart(self, live: np.ndarray) -> np.ndarray:
         """Forgets all states but these; returns their new numbers."""
@@ -188,26 +241,11 @@ class Merger:
         if new is None:
             new = self.ids[key] = len(self.states)
             self.states.append(key)
-            if new >= self.room:
-                self.room += max(4096, self.room // 4)
-                self._allocate()
+            if new >= len(self.last_token):
+                self.last_token = np.concatenate([self.last_token, np.zeros(len(self.last_token) // 2, np.int32)])
             self.last_token[new] = token
         return new
 
-    def _allocate(self) -> None:
-        def grown(name: str) -> None:  # unused rows stay untouched, so they take no memory
-            new, old = np.zeros((self.room, self.width), np.int32), getattr(self, name, None)
-            if old is not None and len(self.states) > 1:
-                new[: old.shape[0], : old.shape[1]] = old
-            setattr(self, name, new)
-
-        grown("to")  # next state * 256 + change of the count + 128; 0: not compiled yet
-        grown("end")  # the last token of a word that ends with this byte here, likewise
-        new, old = np.zeros(self.room, np.int32), getattr(self, "last_token", None)
-        if old is not None and len(self.states) > 1:
-            new[: len(old)] = old
-        self.last_token = new
-
     def encode(self, symbols: tuple[int, ...]) -> list[int]:
         """Plain merging of a short symbol string."""
         ids = [self.by_symbols[(s,)] for s in symbols]
@@ -248,34 +286,20 @@ class Merger:
         raise ValueError("the vocabulary lacks a byte")
 
     def compile(self, state: int, byte: int) -> None:
-        column = self.columns[byte]
         token, delta = self.follow(state, byte)
         tail, back = _unpacked(self.states[state])
         text = tail + bytes([byte])
         kept = [(0, token, 0)] + [(k + 1, last, since + delta) for k, last, since in back if (*tail[len(tail) - k :], byte) in self.begins]
         text = text[len(text) - kept[-1][0] :] if kept[-1][0] else b""
         new = self.intern(_packed(text, kept), token)
-        self.to[state, column] = new * 256 + delta + 128
+        self.to.put(state * 256 + byte, new * 256 + delta + 128)
 
     def compile_end(self, state: int, byte: int) -> None:
         token, delta = self.follow(state, byte + 256)
-        self.end[state, self.columns[byte]] = token * 256 + delta + 128
-
-    def cols(self, data: np.ndarray) -> np.ndarray:
-        got = self.columns[data]
-        if (got < 0).any():
-            for b in np.unique(data[got < 0]):
-                self.columns[b] = self.n_columns
-                self.n_columns += 1
-            while self.n_columns > self.width:
-                self.width += 8
-                self._allocate()
-            got = self.columns[data]
-        return got
+        self.end.put(state * 256 + byte, token * 256 + delta + 128)
 
     def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: bool = False):
         """Token counts of the words data[starts : starts + lengths]; with ``ids``, (counts, all ids in order)."""
-        cols = self.cols(data)
         order = np.argsort(lengths.astype(np.uint16) if len(lengths) and lengths.max() < 65536 else lengths, kind="stable")[::-1]
         at, left = starts[order], lengths[order]
         state, count = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
@@ -289,13 +313,14 @@ class Merger:
             for table, lo, hi, make in ((self.end, going, alive, self.compile_end), (self.to, 0, going, self.compile)):
                 if lo == hi:
                     continue
-                s, where = state[lo:hi], at[lo:hi] + j
-                c = cols[where]
-                got = table.reshape(-1)[s * self.width + c]
+                where = at[lo:hi] + j
+                keys = state[lo:hi].astype(np.int64) * 256 + data[where]
+                got = table.get(keys)
                 if not got.all():
-                    for k in np.unique(s[got == 0].astype(np.int64) * 256 + data[where[got == 0]]):
-                        make(int(k >> 8), int(k & 255))
-                    got = (self.end if make == self.compile_end else self.to).reshape(-1)[s * self.width + c]
+                    for k in np.unique(keys[got == 0]).tolist():
+                        make(k >> 8, k & 255)
+                    new = np.flatnonzero(got == 0)
+                    got[new] = table.get(keys[new])
                 count[lo:hi] += (got & 255) - 128
                 now = got >> 8
                 if make == self.compile:
