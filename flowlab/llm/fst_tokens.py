@@ -196,7 +196,7 @@ class Transitions:
 class Merger:
     """The byte transducer of one vocabulary file, determinised as words come."""
 
-    def __init__(self, path: str, max_states: int = 120_000):
+    def __init__(self, path: str, max_states: int = 240_000):
         spec = json.load(open(path, encoding="utf-8"))
         self.suffix = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -272,7 +272,7 @@ class Merger:
         got = self.fits.get(pair)
         if got is None:
             got = self.fits[pair] = self.encode(self.symbols[a] + self.symbols[b]) == [a, b]
-            if len(self.fits) > 300_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
         return got
 
