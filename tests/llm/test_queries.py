@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -210,6 +211,89 @@ def test_op10(spark, tmp_path):
             assert np.allclose([s for _, _, s in found], [-s for s, _ in want], rtol=0, atol=1e-9)
 
 
+def brute_runs(w):
+    """(start, length, period) of all runs: every period up to a quarter of the words, the least one of each stretch."""
+    n, out = len(w), {}
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i < n - p:
+            a = i
+            while i < n - p and w[i] == w[i + p]:
+                i += 1
+            if i - a + p >= max(6, 4 * p):
+                out.setdefault((a, i + p), p)
+            i += 1
+    return sorted((a, e - a, p) for (a, e), p in out.items())
+
+
+def test_op11(spark, case):
+    rows = [(k, "again and " * 9 + "end " * 7 + " ".join(RND.choice("ab") for _ in range(k % 50))) for k in range(3000, 3040)]
+    extra = spark.createDataFrame([(i, t) for i, t in rows] if case[1] else [], "doc_id long, text string")
+    docs = spark.read.parquet(f"{case[0]}/documents.parquet")
+    where = f"{case[0]}-runs"
+    docs.unionByName(extra, allowMissingColumns=True).write.mode("overwrite").parquet(f"{where}/documents.parquet")
+    want = []
+    for i, t in case[1] + (rows if case[1] else []):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        h = 1 if i is None else zlib.crc32(str(i).encode())
+        if h % 10 == 0 and w:
+            g, n = h // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        found = [(0, 27_000, 3)] if len(w) == 27_000 and h % 10 else brute_runs(w)
+        gone = {k for a, n, p in found for k in range(a + p, a + n)}
+        best = min(found, key=lambda r: (Fraction(-r[1], r[2]), r[0], r[2])) if found else (None,) * 3
+        want.append((i, len(found), *best, best[1] and 1000 * best[1] // best[2], sha("".join(f"{a},{n},{p}\n" for a, n, p in found)), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    got = run(spark, (where,), "op11_runs")
+    same(got, want)
+    assert not case[1] or max(r[1] for r in got) > 1 and any(r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 == 0 and r[1] for r in got)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, 0, "user", "lost"), (None, 1, "assistant", "found"), (1, 0, "user", "a"), (1, 1, "assistant", "<|user|> \\\\ </s> <\\/s> [\\\\/INST] [INST] < [ <<s> ü🎉"), (1, 1, "assistant", "tie"), (1, 1, "assistant", "tie"), (1, None, "user", None), (1, 7, None, ""), (2, 0, "assistant", "x" * 300_000), (3, 5, "a|b </s>\n", "odd role")], [(9, k, ("user", "assistant")[k % 2], f"t{k} " * (k % 5)) for k in range(700)]])
+def test_op12(spark, tmp_path, rows):
+    spark.createDataFrame([(*r, 1, "clash", 2) for r in rows], "conv_id long, turn long, role string, text string, node long, tree string, up int").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    against_sql(spark, (str(tmp_path),), "op12_reply_trees", "conversations")
+    by = defaultdict(list)
+    for c, turn, role, text in [*rows, (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        by[c].append((-1 if turn is None else turn, role or "", text or ""))
+    want = []
+    for c, turns in by.items():
+        lost = "".join(t for _, r, t in sorted(turns) if r == "assistant")
+        want.append((c, len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in sorted(turns))), len(lost), sha(lost)))
+    same([r[:5] for r in run(spark, (str(tmp_path),), "op12_reply_trees")], want)
+
+
+def test_op13(spark, case, tmp_path):
+    words = [w for s in ("colour", "color", "colours", "collour", "naïveté", "naiveté", "häuser", "hauser", "abcdef", "abcdeg", "abcdeh", "bcdef", "aabcdef", "ÄRGER", "ärger") for w in [s] * RND.choice([2, 3, 5, 20, 60])]
+    rows = [(5000 + k, " ".join(RND.sample(words, 30)) + "-×÷_" + RND.choice(words)) for k in range(40)]
+    spark.read.parquet(f"{case[0]}/documents.parquet").unionByName(spark.createDataFrame(rows if case[1] else [], "doc_id long, text string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = Counter()
+    for i, t in case[1] + (rows if case[1] else []):
+        for w in re.findall(r"[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+            if i is not None and (h := zlib.crc32(f"{i}:{w}".encode())) % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] += 1
+    n = {w: k for w, k in counts.items() if len(w) >= 5 and k >= 3}
+    near = {w: brute_near(w, n) for w in n}
+    form = {w: f for w in n if near[w] and n[f := min(near[w], key=lambda x: (-n[x], x))] >= 2 * n[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    same(run(spark, (str(tmp_path),), "op13_spelling"), [(w, form.get(w), root(w), k, len(near[w]), n.get(form.get(w))) for w, k in n.items()])
+    assert not n or len(form) > 3
+
+
+def brute_near(w, words):
+    """The words that one edit away gives, tried out."""
+    letters = sorted({x for v in words for x in v})
+    return {v for k in range(len(w) + 1) for v in (w[:k] + w[k + 1 :], *(w[:k] + x + w[k:] for x in letters), *(w[:k] + x + w[k + 1 :] for x in letters)) if v != w and v in words} if len(w) < 100 else set()
+
+
 def test_pipeline_of_an_empty_table(spark, case):
     got = run(spark, case, "pipeline")
     assert bool(got) == bool(case[1])
