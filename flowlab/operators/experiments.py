@@ -9,14 +9,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlab.operators import evaluate, models, prepare
+from flowlab.operators import evaluate, models, prepare, trees
 
 
 @dataclass(frozen=True)
 class Pack:
     """A fitted detector with its features and threshold."""
 
-    model: PipelineModel
+    model: PipelineModel | trees.Boosted | trees.ExtraTrees
     features: list[str]
     threshold: float
     kind: str
@@ -28,12 +28,9 @@ def typed(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit(rows: DataFrame, kind: str, features: list[str], y: str, seed: int = 104, size: int | None = None, depth: int | None = None, mode: str = "f1", target: float = 0.0) -> Pack:
-    """Fits on role train and takes the threshold on val. ``size`` and ``depth`` are the trees or iterations and the trees' depth, by default those of ``models.candidate``."""
+    """Fits on role train and takes the threshold on val. ``size`` and ``depth`` are the trees or iterations and the trees' depth, by default those of ``models.fit_model``."""
     ready = typed(rows, features)
-    steps = models.candidate(kind, features, y, seed, size)
-    if kind != "logreg" and depth:
-        steps.getStages()[-1].setMaxDepth(depth)
-    model = steps.fit(models.balanced_weights(ready.where("role = 'train'"), y))
+    model = models.fit_model(ready.where("role = 'train'"), kind, features, y, seed, size, depth)
     threshold = evaluate.select_threshold(models.score_rows(model, ready.where("role = 'val'")), y, "score", mode, target).first()["threshold"]
     return Pack(model, list(features), float(threshold), kind, seed)
 
@@ -182,7 +179,9 @@ def permutation_importance(pack: Pack, rows: DataFrame, y: str, row_id: str, rep
 
 
 def medians(pack: Pack) -> dict[str, float]:
-    """What the pack's imputer fills in."""
+    """What the pack fills in for missing values."""
+    if isinstance(pack.model, trees.Boosted | trees.ExtraTrees):
+        return pack.model.fill
     return pack.model.stages[0].surrogateDF.first().asDict()
 
 
@@ -234,7 +233,10 @@ def contamination_grid(benign: DataFrame, val: DataFrame, y: str, score_: str, g
 
 def save_pack(spark: SparkSession, pack: Pack, path: str) -> None:
     """The model and a one-row JSON table beside it."""
-    pack.model.write().overwrite().save(f"{path}/model")
+    if isinstance(pack.model, PipelineModel):
+        pack.model.write().overwrite().save(f"{path}/model")
+    else:
+        pack.model.save(spark, f"{path}/model")
     row = [(pack.features, pack.threshold, pack.kind, pack.seed)]
     spark.createDataFrame(row, "features array<string>, threshold double, kind string, seed int").coalesce(1).write.mode("overwrite").json(f"{path}/pack")
 
@@ -246,7 +248,9 @@ def load_pack(spark: SparkSession, paths: list[str]) -> Pack:
             row = spark.read.schema("features array<string>, threshold double, kind string, seed int").json(f"{path}/pack").first()
         except AnalysisException:  # no such folder
             continue
-        return Pack(PipelineModel.load(f"{path}/model"), row["features"], row["threshold"], row["kind"], row["seed"])
+        loaders = {"gbt": trees.Boosted, "extra": trees.ExtraTrees}
+        model = loaders[row["kind"]].load(spark, f"{path}/model") if row["kind"] in loaders else PipelineModel.load(f"{path}/model")
+        return Pack(model, row["features"], row["threshold"], row["kind"], row["seed"])
     raise FileNotFoundError(f"no pack at {paths}")
 
 

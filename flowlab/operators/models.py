@@ -1,4 +1,4 @@
-"""Detectors on pyspark.ml, and an isolation forest that grows its trees in parallel."""
+"""Detectors: pyspark.ml pipelines, the tree ensembles of ``trees``, and an isolation forest that grows its trees in parallel."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.operators import trees
 from flowlab.operators.evaluate import select_threshold
 
 FEATURES = ["orig_bytes", "resp_bytes", "orig_p", "resp_p", "proto_num"]
@@ -26,21 +27,36 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
 
 
 def candidate(kind: str, features: list[str], y: str, seed: int, size: int | None = None, centre: bool = False) -> Pipeline:
-    """Imputation by the median, assembly, scaling for the linear model (with ``centre`` about the mean), and the classifier. ``size``: trees or iterations."""
+    """A pipeline for the forest or the linear model: imputation by the median, assembly, scaling for the linear model (with ``centre`` about the mean), and the
+    classifier. ``size``: trees or iterations. The forest keeps each row's node between levels, so no task carries the forest."""
     filled = [f"{f}__f" for f in features]
     steps = [Imputer(inputCols=features, outputCols=filled, strategy="median", relativeError=1e-4), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep")]
     common = {"labelCol": y, "weightCol": "weight", "featuresCol": "raw"}
-    if kind == "gbt":
-        steps.append(GBTClassifier(maxIter=size or 300, maxDepth=8, stepSize=0.05, seed=seed, **common))
-    elif kind in ("rf", "extra"):
-        steps.append(RandomForestClassifier(numTrees=size or (200 if kind == "rf" else 500), maxDepth=20 if kind == "rf" else 24, seed=seed, bootstrap=kind == "rf", **common))
+    if kind == "rf":
+        steps.append(RandomForestClassifier(numTrees=size or 200, maxDepth=20, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **common))
     else:
         steps += [StandardScaler(inputCol="raw", outputCol="scaled", withMean=centre), LogisticRegression(maxIter=size or 100, **(common | {"featuresCol": "scaled"}))]
     return Pipeline(stages=steps)
 
 
+def fit_model(train: DataFrame, kind: str, features: list[str], y: str, seed: int, size: int | None = None, depth: int | None = None):
+    """The fitted detector of a kind on rows with balanced weights: gbt, extra (``trees``), rf, logreg (``candidate``). ``size``: rounds, trees or
+    iterations, ``depth`` of the trees; by default the reference's 300 rounds of depth 8 with early stopping, 500 trees of 24, 200 of 20, 100 iterations."""
+    rows = balanced_weights(train, y)
+    if kind == "gbt":
+        return trees.boost(rows, features, y, rounds=size or 300, depth=depth or 8, seed=seed)
+    if kind == "extra":
+        return trees.extra_trees(rows, features, y, trees=size or 500, depth=depth or 24, seed=seed)
+    steps = candidate(kind, features, y, seed, size)
+    if kind == "rf" and depth:
+        steps.getStages()[-1].setMaxDepth(depth)
+    return steps.fit(rows)
+
+
 def score_rows(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("score", vector_to_array("probability")[1])
+    """The rows with score, the probability of the second class."""
+    out = model.transform(rows)
+    return out.withColumn("score", vector_to_array("probability")[1]) if "probability" in out.columns else out
 
 
 def margin_scores(scored: DataFrame, margin: str = "margin") -> DataFrame:
@@ -53,8 +69,7 @@ def margin_scores(scored: DataFrame, margin: str = "margin") -> DataFrame:
 def fit_and_score(rows: DataFrame, kind: str, y: str = "is_attack", row_id: str = "flow_id", seed: int = 104, size: int | None = None) -> DataFrame:
     """Fits on role train, takes the threshold of the best F1 on val, and returns (row id, y, score, pred) of test. ``size``: as in ``candidate``, by default in full."""
     typed = rows.withColumns({f: F.col(f).cast("double") for f in FEATURES})
-    train = balanced_weights(typed.where("role = 'train'"), y)
-    model = candidate(kind, FEATURES, y, seed, size).fit(train)
+    model = fit_model(typed.where("role = 'train'"), kind, FEATURES, y, seed, size)
     threshold = select_threshold(score_rows(model, typed.where("role = 'val'")), y, "score", "f1").select("threshold")
     scored = score_rows(model, typed.where("role = 'test'"))
     return scored.crossJoin(F.broadcast(threshold)).select(row_id, y, "score", (F.col("score") >= F.col("threshold")).cast("int").alias("pred"))  # one row

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlab.operators import enrich, evaluate, label, models, monitor, prepare
 from flowlab.plans import views
+from flowlab.shared import shared_dir
 from flowlab.streaming import flow_partials, run_to_end, stream_enrich, with_final_pass
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -508,8 +509,6 @@ def moving_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, out: DataFrame) -> DataFrame:
     """All that a stream gives over the files there are, written by its own sink and read back."""
-    from flowlab.plans.shared import shared_dir
-
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
@@ -585,8 +584,6 @@ def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as \"connections.rows\", count(*) as \"scored.rows\", cast(sum(ebpf_pred) as bigint) as \"scored.alerts\", 0 as late from v_scores")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream counts on its way: connections read, rows scored, alerts, rows after their watermark."""
-    from flowlab.plans.shared import shared_dir
-
     source = views.flows(spark, sf_dir, stream_source(spark, sf_dir)).observe("connections", F.count(F.lit(1)).alias("rows"))
     scored = spark.sql(views.SCORES, v_flows=source).observe("scored", F.count(F.lit(1)).alias("rows"), F.sum("ebpf_pred").alias("alerts"))
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

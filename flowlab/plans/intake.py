@@ -12,7 +12,7 @@ from flowlab import sources
 from flowlab.operators import clean, label, models, monitor
 from flowlab.plans import views
 from flowlab.plans.catalogue import query, raw_events, rounded
-from flowlab.plans.shared import shared_dir
+from flowlab.shared import shared_dir
 
 
 @query("""select flow_id, orig_h as src_ip, resp_h as dst_ip, cast(orig_p as varchar) as src_port, cast(resp_p as varchar) as dst_port, case flow_id % 4 when 0 then '' when 2 then 'curl' else 'sshd' end as exe,

@@ -11,7 +11,7 @@ from flowlab import functions as fn
 from flowlab.operators import enrich, evaluate, experiments, label, models, monitor, prepare
 from flowlab.plans import views
 from flowlab.plans.catalogue import LIVE, ORACLES, SEED, SUMS, TUPLE, WINDOWED, best_flows, by_day, kfold_meta, live, matched_sql, query, rounded, stream_source, streamed
-from flowlab.plans.shared import shared_dir, written
+from flowlab.shared import shared_dir, written
 from flowlab.streaming import CACHED, flow_state
 
 CORE = models.FEATURES

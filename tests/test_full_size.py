@@ -1,16 +1,20 @@
 """Registered model queries ask for the reference's sizes."""
 
 import pytest
-from flowlab.operators import evaluate, experiments, models
+from flowlab.operators import evaluate, experiments, models, trees
 from flowlab.plans import catalogue, protocols
 
-FULL = {"gbt": ("maxIter", 300, 8), "rf": ("numTrees", 200, 20), "extra": ("numTrees", 500, 24), "logreg": ("maxIter", 100, None)}
+FULL = {"rf": ("numTrees", 200, 20), "logreg": ("maxIter", 100, None)}
 
 
 class Asked(Exception):
     pass
 
 
+def fits(rows, kind):
+    return (lambda: models.fit_and_score(rows, kind), lambda: experiments.fit(rows, kind, models.FEATURES, "is_attack"), lambda: experiments.rank_candidates(rows, [kind], models.FEATURES, "is_attack"))
+
+
 def test_fits_have_the_full_size(spark, sf_dir, monkeypatch):
     """What is about to be fitted, without fitting it."""
     seen = []
@@ -22,7 +26,7 @@ def test_fits_have_the_full_size(spark, sf_dir, monkeypatch):
     monkeypatch.setattr("pyspark.ml.Pipeline.fit", stop)
     rows = catalogue.by_day(spark, sf_dir)
     for kind, (name, size, depth) in FULL.items():
-        for run in (lambda: models.fit_and_score(rows, kind), lambda: experiments.fit(rows, kind, models.FEATURES, "is_attack"), lambda: experiments.rank_candidates(rows, [kind], models.FEATURES, "is_attack")):  # noqa: B023
+        for run in fits(rows, kind):
             with pytest.raises(Asked):
                 run()
             last = seen[-1]
@@ -33,6 +37,22 @@ def test_fits_have_the_full_size(spark, sf_dir, monkeypatch):
         assert seen[-1].getOrDefault("maxIter") == 100
 
 
+def test_tree_ensembles_have_the_full_size(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def stop(rows, features, y, **sizes):
+        asked.append((sizes.get("rounds") or sizes["trees"], sizes["depth"]))
+        raise Asked
+
+    monkeypatch.setattr(trees, "boost", stop)
+    monkeypatch.setattr(trees, "extra_trees", stop)
+    for kind, want in (("gbt", (300, 8)), ("extra", (500, 24))):
+        for run in fits(catalogue.by_day(spark, sf_dir), kind):
+            with pytest.raises(Asked):
+                run()
+            assert asked[-1] == want
+
+
 def test_forest_and_replicates_in_full(spark, sf_dir, monkeypatch):
     asked = []
     grow, draw = models.isolation_forest, evaluate.bootstrap_ci
