@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowlab.operators import enrich, evaluate, label, models, monitor, prepare
 from flowlab.plans import views
 from flowlab.shared import shared_dir
-from flowlab.streaming import flow_partials, run_to_end, stream_enrich, with_final_pass
+from flowlab.streaming import flow_partials, matching, stream_enrich, with_final_pass
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -567,28 +567,28 @@ def both_sides(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     return conn, flows
 
 
-@query(STREAMED + """, c as (select event_id as conn_id, us as start_us, us + cast(floor(value * 100000) as bigint) as end_us, a, b, port, dport, value from s),
+OVERLAPS = STREAMED + """, c as (select event_id as conn_id, us as start_us, us + cast(floor(value * 100000) as bigint) as end_us, a, b, port, dport, value from s),
 f as (select *, conn_id % 50 + 1 as samples, cast(floor(value * 100) as bigint) as bytes_sent, cast(floor(value * 37) as bigint) as bytes_recv, conn_id % 5 = 0 as back from c where conn_id % 3 <> 2),
 k as (select case when back then b else a end as sa, case when back then a else b end as da, case when back then dport else port end as sp, case when back then port else dport end as dp, start_us, end_us, samples, bytes_sent, bytes_recv from f),
 j as (select c.conn_id, c.start_us, 1 as rank, samples, bytes_sent, bytes_recv from c join k on a = sa and b = da and port = sp and dport = dp and k.end_us >= c.start_us - 10000000 and k.start_us <= c.end_us + 10000000
  union all select c.conn_id, c.start_us, 0, samples, bytes_sent, bytes_recv from c join k on b = sa and a = da and dport = sp and port = dp and k.end_us >= c.start_us - 10000000 and k.start_us <= c.end_us + 10000000),
-t as (select *, row_number() over (partition by conn_id order by rank desc, samples desc, bytes_sent desc) as rn from j)
+t as (select *, row_number() over (partition by conn_id order by rank desc, samples desc, bytes_sent desc) as rn from j)"""
+
+
+@query(OVERLAPS + """
 select c.conn_id, c.start_us, case rank when 1 then 'fwd' when 0 then 'rev' else 'none' end as match_dir, samples, bytes_sent, bytes_recv from c left join t on t.conn_id = c.conn_id and rn = 1""")
 def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections of a stream with the best overlapping flow; those behind the last watermark come from the final pass."""
-    shown = lambda df: df.select("conn_id", F.unix_micros("start").alias("start_us"), "match_dir", "samples", "bytes_sent", "bytes_recv")
-    given = streamed(spark, shown(stream_enrich(*both_sides(stream_source(spark, sf_dir)))))
-    return with_final_pass(given, shown(stream_enrich(*both_sides(views.events(spark, sf_dir)))), ("conn_id",))
+    whole = stream_enrich(*both_sides(views.events(spark, sf_dir)))
+    return with_final_pass(streamed_enrichment(spark, sf_dir), whole.select("conn_id", F.unix_micros("start").alias("start_us"), "match_dir", "samples", "bytes_sent", "bytes_recv"), ("conn_id",))
 
 
-@query("select count(*) as \"connections.rows\", count(*) as \"scored.rows\", cast(sum(ebpf_pred) as bigint) as \"scored.alerts\", 0 as late from v_scores")
-def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stream counts on its way: connections read, rows scored, alerts, rows after their watermark."""
-    source = views.flows(spark, sf_dir, stream_source(spark, sf_dir)).observe("connections", F.count(F.lit(1)).alias("rows"))
-    scored = spark.sql(views.SCORES, v_flows=source).observe("scored", F.count(F.lit(1)).alias("rows"), F.sum("ebpf_pred").alias("alerts"))
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    counts = run_to_end(scored, f"{base}/out", f"{base}/state")
-    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"`{c}` long" for c in counts))
+@query(OVERLAPS + """, z as (select least(max(us), max(us) filter (where event_id % 3 <> 2)) // 1000 - 10000 as mark from s)
+select c.conn_id, c.start_us, case rank when 1 then 'fwd' when 0 then 'rev' else 'none' end as match_dir, samples, bytes_sent, bytes_recv from c left join t on t.conn_id = c.conn_id and rn = 1, z where (end_us + 10000000) // 1000 + 1 <= mark""")
+def streamed_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connections that the stream itself gives: those whose end and slop its watermark has passed."""
+    with matching.rocks(spark):
+        return streamed(spark, matching.stream_match(*both_sides(stream_source(spark, sf_dir))))
 
 
 # Models

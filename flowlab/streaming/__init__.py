@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowlab.operators.enrich import FORWARD, REVERSE, TUPLE, aggregate_events
+from flowlab.streaming import counters
 
 
 def stream_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -46,23 +47,16 @@ def stream_enrich(conn: DataFrame, flows: DataFrame, slop_s: int = 10, delay: st
 
 
 def with_final_pass(streamed: DataFrame, whole: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """What a stream has given, and from a last pass over the stored history (the same function on tables) the rows whose keys it has not: those of the windows
-    that were still open when it stopped. One anti-join on the keys."""
-    return streamed.unionByName(whole.join(streamed.select(*keys).distinct(), list(keys), "left_anti"))
+    """What a last pass over the stored history gives (the same function on tables), which stands for what the stream gave of the same keys, right or wrong;
+    of other keys the stream's rows stay. One anti-join on the keys."""
+    return whole.unionByName(streamed.join(whole.select(*keys).distinct(), list(keys), "left_anti"))
 
 
 def run_to_end(out: DataFrame, path: str, state: str) -> dict[str, int]:
-    """Appends what a stream gives over the files there are, and returns its counters: the sums over all micro-batches of what ``observe`` counted on the way (as
-    observation.column), and late, the rows that came after their watermark."""
-    query = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    counts: dict[str, int] = {"late": 0}
-    for step in query.recentProgress:
-        counts["late"] += sum(s["numRowsDroppedByWatermark"] for s in step["stateOperators"])
-        for name, row in step["observedMetrics"].items():
-            for column, value in row.asDict().items():
-                counts[f"{name}.{column}"] = counts.get(f"{name}.{column}", 0) + int(value or 0)
-    return counts
+    """Appends what a stream gives over what there is, and returns this run's counters: the sums over all its micro-batches of what ``observe`` counted on the way (as
+    observation.column), and late, the rows that came after their watermark. ``counters.totals`` has those of all runs with this checkpoint."""
+    counts = counters.totals(out.sparkSession, state, counters.run_counted(out, path, state))
+    return {"late": counts.pop("late", 0), **{k: v for k, v in counts.items() if k != "input"}}
 
 
 CACHED = ("samples", "last_us", "part_id", "first_us", "bytes_sent", "bytes_recv")

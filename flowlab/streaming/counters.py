@@ -54,9 +54,11 @@ def totals(spark: SparkSession, state: str, after: int = -1) -> dict[str, int]:
 
 
 def missing_batches(spark: SparkSession, state: str) -> list[int]:
-    """Batches that the checkpoint has as committed and nobody has counted, as when the driver died between the two. Empty: the sums are exact."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(f"{state}/commits").select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("batch"))
-    return sorted(r["batch"] for r in names.join(batch_counts(spark, state).select("batch").distinct(), "batch", "left_anti").collect())
+    """Batches up to the last that the checkpoint has as committed which nobody has counted, as when the driver died between the two. Empty: the sums are exact."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(f"{state}/commits")  # the checkpoint keeps the last ones only
+    last = names.agg(F.max(F.regexp_extract("path", r"(\d+)$", 1).cast("long"))).first()[0]
+    every = spark.range(0 if last is None else last + 1).withColumnRenamed("id", "batch")
+    return sorted(r["batch"] for r in every.join(batch_counts(spark, state), "batch", "left_anti").collect())
 
 
 def ledger_path(state: str) -> str:
