@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlab.functions import BENIGN_LIKE, mcnemar_p, wilson
+from flowlab.operators import resample
+from flowlab.operators.scans import percentiles, prefix_sums
+from flowlab.shared import written
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -31,29 +34,6 @@ def score_counts(df: DataFrame, y: str, score: str, by: tuple[str, ...] = (), we
     return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(w)).alias("n"))
 
 
-def prefix_sums(counts: DataFrame, by: tuple[str, ...] = (), ranged: bool = False) -> DataFrame:
-    """tp, fp at or above every distinct score, and pos, neg in all.
-
-    Without groups, or with ``ranged``, scores are dealt into ranges: a window adds up inside each range, and the ranges' totals, 32 at most per
-    group, are added before. Otherwise a window per group (replicate) does."""
-    if by and not ranged:
-        down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = Window.partitionBy(*by)
-        return counts.select(*by, "s", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
-    # Cut points by a sketch over the counts; the number of ranges is fixed, so the offsets are one small row.
-    cuts = counts.agg(F.percentile_approx("s", [k / 32 for k in range(1, 32)], 1000).alias("cuts"))
-    ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
-    totals = ranged.groupBy(*by, "range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"))
-    every = totals.groupBy(*by).agg(F.collect_list(F.struct("range", "rp", "rn")).alias("all"))  # 32 ranges at most
-    down = Window.partitionBy(*by, "range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.select(*by, "s", "p", "n", "range", F.sum("p").over(down).alias("lp"), F.sum("n").over(down).alias("ln"))
-    local = local.join(every, list(by)) if by else local.crossJoin(F.broadcast(every))
-    zero = F.lit(0).cast(local.schema["lp"].dataType)
-    above = lambda field: F.aggregate(F.filter("all", lambda x: x["range"] > F.col("range")), zero, lambda a, x: a + x[field])
-    total = lambda field: F.aggregate("all", zero, lambda a, x: a + x[field])
-    return local.select(*by, "s", "p", "n", (F.col("lp") + above("rp")).alias("tp"), (F.col("ln") + above("rn")).alias("fp"), total("rp").alias("pos"), total("rn").alias("neg"))
-
-
 def roc_auc(df: DataFrame, y: str, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Exact area with ties at one half; null with one class."""
     sums = prefix_sums(score_counts(df, y, score, by, weight), by)
@@ -73,8 +53,14 @@ def pr_points(df: DataFrame, y: str, score: str) -> DataFrame:
     return prefix_sums(score_counts(df, y, score)).select(F.col("s").alias("threshold"), "tp", "fp", (tp / (tp + fp)).alias("precision"), ratio(tp, F.col("pos")).alias("recall"))
 
 
-def roc_points(df: DataFrame, y: str, score: str) -> DataFrame:
-    return prefix_sums(score_counts(df, y, score)).select(F.col("s").alias("threshold"), ratio(F.col("tp"), F.col("pos")).alias("tpr"), ratio(F.col("fp"), F.col("neg")).alias("fpr"))
+def roc_points(df: DataFrame, y: str, score: str, drop_collinear: bool = False) -> DataFrame:
+    """One point for each distinct score. With ``drop_collinear`` only the first, the last, and those at which the curve's step changes: where the next lower score adds other
+    numbers of positives or negatives."""
+    sums = prefix_sums(score_counts(df, y, score))
+    if drop_collinear:
+        first, last = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n")), F.col("next_p").isNull()
+        sums = sums.where(first | last | (F.col("p") != F.col("next_p")) | (F.col("n") != F.col("next_n")))
+    return sums.select(F.col("s").alias("threshold"), ratio(F.col("tp"), F.col("pos")).alias("tpr"), ratio(F.col("fp"), F.col("neg")).alias("fpr"))
 
 
 def select_threshold(df: DataFrame, y: str, score: str, mode: str, target: float = 0.0) -> DataFrame:
@@ -123,7 +109,10 @@ def coverage_pivot(df: DataFrame, family: str, role: str, roles: list[str]) -> D
 
 
 def score_summary(df: DataFrame, score: str, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.percentile(score, F.array(F.lit(0.5), F.lit(0.95))).alias("__q")).select(by, "n", "mean", F.col("__q")[0].alias("p50"), F.col("__q")[1].alias("p95"))
+    """n, mean and exact p50 and p95 by class; a class of any size is spread over tasks."""
+    means = df.groupBy(F.col(by).alias("__by")).agg(F.count(score).alias("n"), F.avg(score).alias("mean"))
+    q = percentiles(df, score, [0.5, 0.95], (by,))
+    return means.join(q.drop("n"), F.col("__by").eqNullSafe(F.col(by)), "left").select(F.col("__by").alias(by), "n", "mean", F.col("q0").alias("p50"), F.col("q1").alias("p95"))  # a row per class
 
 
 def histogram(df: DataFrame, score: str, low: float, high: float, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -161,88 +150,60 @@ def pair_predictions(a: DataFrame, b: DataFrame, key: str, y: str) -> DataFrame:
 def bootstrap_ci(df: DataFrame, y: str, score: str, metric: str = "roc_auc", cluster: str | None = None, n: int = 300, seed: int = 104, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile interval of a ranking metric over Poisson replicates, of rows or of clusters; replicates with one class are left out.
 
-    Rows are counted by (cluster, score) first, so what is replicated does not grow with repeated scores."""
-    counts = score_counts(df, y, score, (cluster,) if cluster else ())
-    reps = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    if cluster:
-        w = poisson_draw(seed, F.col("replicate"), F.col(cluster))
-        drawn = reps.withColumns({"p": F.col("p") * w, "n": F.col("n") * w})
-    else:  # k rows with the same score and label draw a sum of k Poisson weights: normal for the many, exact draws row by row for the few
-        drawn = reps
-        for c in ("p", "n"):
-            unit = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.col(c), F.lit(32)), F.lit(1))), lambda i, c=c: poisson_draw(seed, F.col("replicate"), F.col("s"), F.lit(c), i))
-            few = F.aggregate(unit, F.lit(0), lambda a, x: a + x)
-            many = F.greatest(F.round(F.col(c) + F.sqrt(F.col(c).cast("double")) * normal_draw(seed, F.col("replicate"), F.col("s"), F.lit(c))), F.lit(0.0)).cast("long")
-            drawn = drawn.withColumn(c, F.when(F.col(c) == 0, 0).when(F.col(c) <= 32, few.cast("long")).otherwise(many))
-    merged = drawn.groupBy("replicate", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    sums = prefix_sums(merged, ("replicate",), ranged=True)
-    if metric == "roc_auc":
-        value = F.sum(F.col("n").cast("double") * (F.col("tp") - F.col("p") + F.col("p") / 2.0)) / (F.max("pos").cast("double") * F.max("neg"))
-    else:
-        value = F.sum(F.when(F.col("tp") + F.col("fp") > 0, F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)) / F.max("pos")
-    each = sums.groupBy("replicate").agg(F.when((F.max("pos") > 0) & (F.max("neg") > 0), value).alias("v")).where(F.col("v").isNotNull())
-    return each.agg(F.lit(metric).alias("metric"), F.count("v").alias("replicates"), F.avg("v").alias("mean"), F.percentile("v", low).alias("low"), F.percentile("v", high).alias("high"))
-
-
-def _uniform(seed: int, *cols: Column) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    Rows are counted by (cluster, score) first; each count's weights in all replicates are drawn in the task that holds it (``resample``)."""
+    rows = df.withColumn("c", F.col(cluster).cast("string")) if cluster else df
+    counts = score_counts(rows, y, score, ("c",) if cluster else ()).withColumn("model", F.lit("one"))
+    each = resample.areas(resample.ranked_counts(counts, ("model",), bool(cluster)), n, seed)
+    v = F.col("roc_auc" if metric == "roc_auc" else "pr_auc")
+    drawn = each.where((F.col("replicate") > 0) & v.isNotNull()).select(v.alias("v"))
+    return drawn.agg(F.lit(metric).alias("metric"), F.count("v").alias("replicates"), F.avg("v").alias("mean"), F.percentile("v", low).alias("low"), F.percentile("v", high).alias("high"))  # n rows
 
 
-def poisson_draw(seed: int, *cols: Column) -> Column:
-    """A Poisson(1) draw from a hash, so a replicate is the same wherever and whenever a row is read."""
-    u, out, mass, total = _uniform(seed, *cols), F.lit(0), 0.36787944117144233, 0.0
-    for k in range(8):
-        total += mass
-        out = F.when(u >= total, k + 1).otherwise(out)
-        mass /= k + 1
-    return out
+#: Columns that may name what is drawn together, tried in this order.
+CLUSTERS = ("run_id", "k", "day", "orig_h", "src_ip")
 
 
-def normal_draw(seed: int, *cols: Column) -> Column:
-    return F.sqrt(-2 * F.log(_uniform(seed, *cols))) * F.cos(6.283185307179586 * _uniform(seed + 1, *cols))
+def cluster_key(df: DataFrame, candidates: tuple[str, ...] = CLUSTERS) -> str | None:
+    """The first of these columns that is there with more than one value, null counting as one; None: rows are drawn one by one."""
+    there = [c for c in candidates if c in df.columns]
+    ends = df.agg(*[(F.min(F.coalesce(F.col(c).cast("string"), F.lit("nan"))) < F.max(F.coalesce(F.col(c).cast("string"), F.lit("nan")))).alias(c) for c in there]).first() if there else {}
+    return next((c for c in there if ends[c]), None)
 
 
-def paired_cluster_bootstrap(df: DataFrame, y: str, a: str, b: str, score_a: str, score_b: str, cluster: str, n: int = 1000, seed: int = 104) -> DataFrame:
+def paired_cluster_bootstrap(df: DataFrame, y: str, a: str, b: str, score_a: str, score_b: str, cluster: str | None = None, n: int = 1000, seed: int = 104) -> DataFrame:
     """Point values and intervals of six metric differences (b minus a) over cluster replicates: (metric, delta, replicates, mean, low, high, clusters).
 
-    F1, precision, recall and the false-positive rate are of the predictions, counted per cluster first; the two areas are of the scores, counted per
-    (cluster, score) first. Both sides draw the same weights. Replicate 0 has every cluster once and is the point value; replicates in which a metric
-    has no value are left out of its interval. F1 and precision are 0 where nothing is predicted or found."""
-    c = F.col(cluster).alias("c")
-    replicate = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("replicate")
-    w = F.when(F.col("replicate") == 0, 1).otherwise(poisson_draw(seed, F.col("replicate"), F.col("c")))
+    ``cluster``: by default that of ``cluster_key``; where no column has several values each row is a cluster. F1, precision, recall and the false-positive rate
+    are of the predictions, counted per cluster first; the two areas are of the scores, counted per (cluster, score) first. Both sides draw the same weights
+    (``resample.cluster_weights``). Replicate 0 has every cluster once and is the point value; replicates in which a metric has no value are left out of its
+    interval. F1 and precision are 0 where nothing is predicted or found."""
+    cluster = cluster or cluster_key(df)
+    c = F.col(cluster).cast("string") if cluster else F.monotonically_increasing_id().cast("string")
+    rows = written(df.select(c.alias("c"), *[F.col(x).alias(k) for k, x in (("y", y), ("a", a), ("b", b), ("sa", score_a), ("sb", score_b))]), "paired")
 
-    def cells(model: str, pred: str) -> DataFrame:
-        hit = lambda yy: F.count_if((F.col(y) == yy) & (F.col(pred) == 1))
-        return df.groupBy(c).agg(F.lit(model).alias("model"), hit(1).alias("tp"), hit(0).alias("fp"), F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    def cells(model: str) -> DataFrame:
+        hit = lambda yy: F.count_if((F.col("y") == yy) & (F.col(model) == 1))
+        return rows.groupBy("c").agg(F.lit(model).alias("model"), hit(1).alias("tp"), hit(0).alias("fp"), F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
 
-    def counts(model: str, score: str) -> DataFrame:
-        return score_counts(df.withColumn("c", c), y, score, ("c",)).withColumns({"model": F.lit(model), "s": F.col("s").cast("double")})
+    def counts(model: str) -> DataFrame:
+        return score_counts(rows, "y", f"s{model}", ("c",)).withColumns({"model": F.lit(model), "s": F.col("s").cast("double")})
 
-    s = lambda x: F.sum(F.col(x) * F.col("w"))
-    per = cells("a", a).unionByName(cells("b", b)).select("*", replicate).withColumn("w", w)
-    got = per.groupBy("replicate", "model").agg(*[s(x).alias(x) for x in ("tp", "fp", "pos", "neg")])
+    got = resample.weighted_cells(cells("a").unionByName(cells("b")), ["tp", "fp", "pos", "neg"], n, seed)
     rate = lambda top, bottom: F.when(bottom > 0, top / bottom)
     tp, fp, pos, neg = (F.col(x) for x in ("tp", "fp", "pos", "neg"))
     or_zero = lambda x: F.when(pos + neg > 0, F.coalesce(x, F.lit(0.0)))
     rates = got.select("replicate", "model", or_zero(rate(2.0 * tp, tp + fp + pos)).alias("f1"), or_zero(rate(tp, tp + fp)).alias("precision"), rate(tp, pos).alias("recall"), rate(fp, neg).alias("fpr"))
-    each = counts("a", score_a).unionByName(counts("b", score_b)).select("*", replicate).withColumn("w", w).where("w > 0")
-    merged = each.groupBy("replicate", "model", "s").agg(s("p").alias("p"), s("n").alias("n"))
-    sums = prefix_sums(merged, ("replicate", "model"))
-    p, no, up, down = (F.col(x).cast("double") for x in ("p", "n", "tp", "fp"))
-    both = (F.max("pos") > 0) & (F.max("neg") > 0)
-    roc, pr = F.sum(no * (up - p + p / 2.0)) / (F.max("pos").cast("double") * F.max("neg")), F.sum(F.when(up + down > 0, p * up / (up + down)).otherwise(0.0)) / F.max("pos")
-    areas = sums.groupBy("replicate", "model").agg(F.when(both, roc).alias("roc_auc"), F.when(both, pr).alias("pr_auc"))
+    both = resample.areas(resample.ranked_counts(counts("a").unionByName(counts("b")), ("model",), True), n, seed)
 
     def long(table: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
         value = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")
         side = lambda model: F.max(F.when(F.col("model") == model, F.col("v")))
         return table.select("replicate", "model", value).select("replicate", "model", "x.*").groupBy("replicate", "metric").agg((side("b") - side("a")).alias("delta"))
 
-    deltas = long(rates, ("f1", "precision", "recall", "fpr")).union(long(areas, ("roc_auc", "pr_auc")))
+    deltas = long(rates, ("f1", "precision", "recall", "fpr")).union(long(both, ("roc_auc", "pr_auc")))
     drawn = F.when(F.col("replicate") > 0, F.col("delta"))
-    out = deltas.groupBy("metric").agg(F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"), F.count(drawn).alias("replicates"), F.avg(drawn).alias("mean"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
-    return out.crossJoin(F.broadcast(df.agg(F.count_distinct(cluster).alias("clusters"))))  # one row
+    out = deltas.groupBy("metric").agg(F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"), F.count(drawn).alias("replicates"), F.avg(drawn).alias("mean"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))  # n values a metric
+    return out.crossJoin(F.broadcast(rows.agg(F.count_distinct("c").alias("clusters"))))  # one row
 
 
 def ecdf(df: DataFrame, score: str) -> DataFrame:

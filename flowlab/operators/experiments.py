@@ -43,7 +43,7 @@ def score(pack: Pack, rows: DataFrame) -> DataFrame:
 
 def summary(scored: DataFrame, y: str, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Ranking metrics and rates at a threshold from one pass over the counts per distinct score."""
-    sums = evaluate.prefix_sums(evaluate.score_counts(scored, y, "score", by), by, ranged=True)
+    sums = evaluate.prefix_sums(evaluate.score_counts(scored, y, "score", by), by)
     p, n, tp, fp = (F.col(c).cast("double") for c in ("p", "n", "tp", "fp"))
     pos, neg, flagged = F.max("pos").cast("double"), F.max("neg").cast("double"), F.col("s") >= threshold
     hit, false = F.sum(F.when(flagged, p).otherwise(0.0)), F.sum(F.when(flagged, n).otherwise(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlab.operators.scans import percentiles, trailing_rows
+
 
 def kpis(events: DataFrame, score: str, pred: str) -> DataFrame:
     n = F.count(F.lit(1))
@@ -24,7 +26,10 @@ def score_buckets(events: DataFrame, time: str, score: str, step: int) -> DataFr
 
 
 def moving_avg(df: DataFrame, value: str, order: list[str], by: list[str], rows: int = 5) -> DataFrame:
-    return df.withColumn("moving_avg", F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - rows, 0)))
+    """The mean of the row's value and the ``rows`` - 1 before it in its group. Ranges of the order are windows of their own, with the last rows before them: a hot group is spread over tasks."""
+    ranged, copied = trailing_rows(df, by, order, rows - 1)
+    mean = F.avg(value).over(Window.partitionBy(*by, "part").orderBy(*order).rowsBetween(1 - rows, 0))
+    return ranged.withColumn("moving_avg", mean).where(~F.col(copied)).drop("part", copied)
 
 
 def recent(events: DataFrame, time: str, tie: str, n: int = 300) -> DataFrame:
@@ -41,7 +46,10 @@ def anomalies(events: DataFrame, score: str, threshold: float) -> DataFrame:
 
 def resource_summary(samples: DataFrame, run: str, values: list[str]) -> DataFrame:
     """Mean and 95th percentile per run, then mean, deviation and range over runs."""
-    per = samples.groupBy(run).agg(*[x for v in values for x in (F.avg(v).alias(f"{v}_mean"), F.percentile(v, 0.95).alias(f"{v}_p95"))])
+    per = samples.groupBy(run).agg(*[F.avg(v).alias(f"{v}_mean") for v in values])
+    for v in values:  # exact, with no run's samples in one task
+        q = percentiles(samples, v, [0.95], (run,)).select(F.col(run).alias("__run"), F.col("q0").alias(f"{v}_p95"))
+        per = per.join(q, F.col(run).eqNullSafe(F.col("__run")), "left").drop("__run")
     return per.agg(*[x for v in values for c in (f"{v}_mean", f"{v}_p95") for x in (F.avg(c).alias(f"{c}_avg"), F.stddev_samp(c).alias(f"{c}_std"), (F.max(c) - F.min(c)).alias(f"{c}_range"))])
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlab.operators import enrich, evaluate, label, models, monitor, prepare
+from flowlab.operators import enrich, evaluate, label, models, monitor, prepare, resample
 from flowlab.plans import views
 from flowlab.shared import shared_dir
 from flowlab.streaming import flow_partials, matching, stream_enrich, with_final_pass
@@ -469,9 +469,23 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap_ci(s, "y_true", "ebpf_score_m", "roc_auc").unionByName(evaluate.bootstrap_ci(s, "y_true", "ebpf_score_m", "average_precision", cluster="cluster_key"))
 
 
-@query()
+WEIGHT = " + ".join(f"(u >= {t})::int" for t in resample.STEPS)
+METRICS = ("f1", "precision", "recall", "fpr", "roc_auc", "pr_auc")
+
+
+@query(f"""with w as (select c, r, case when r = 0 then 1 else {WEIGHT} end as w from (select c, r, ('0x' || substr(md5(concat_ws('|', '{SEED}', r // 8, c)), 1 + 4 * (r % 8)::int, 4))::bigint as u from (select distinct cluster_key as c from v_scores), range(0, 1001) t(r))),
+x as (select 'a' as model, cluster_key as c, y_true as y, base_pred as pred, base_score_m as s from v_scores union all select 'b', cluster_key, y_true, ebpf_pred, ebpf_score_m from v_scores),
+e as (select model, c, count(*) filter (where y = 1 and pred = 1) as tp, count(*) filter (where y = 0 and pred = 1) as fp, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from x group by all),
+g as (select model, r, sum(tp * w)::double as tp, sum(fp * w)::double as fp, sum(pos * w)::double as pos, sum(neg * w)::double as neg from e join w using (c) group by all),
+q as (select model, r, case when pos + neg > 0 then case when tp + fp + pos > 0 then 2 * tp / (tp + fp + pos) else 0 end end as f1, case when pos + neg > 0 then case when tp + fp > 0 then tp / (tp + fp) else 0 end end as precision, case when pos > 0 then tp / pos end as recall, case when neg > 0 then fp / neg end as fpr from g),
+k as (select model, c, s, sum(y) as p, sum(1 - y) as n from x group by all), m as (select model, r, s, sum(p * w)::double as p, sum(n * w)::double as n from k join w using (c) group by all),
+z as (select *, sum(p) over d as tp, sum(n) over d as fp, sum(p) over a as pos, sum(n) over a as neg from m window d as (partition by model, r order by s desc), a as (partition by model, r)),
+o as (select model, r, case when max(pos) > 0 and max(neg) > 0 then sum(n * (tp - p / 2)) / (max(pos) * max(neg)) end as roc_auc, case when max(pos) > 0 and max(neg) > 0 then sum(case when tp + fp > 0 then p * tp / (tp + fp) else 0 end) / max(pos) end as pr_auc from z group by all),
+l as ({" union all ".join(f"select '{m}' as metric, r, max({m}) filter (where model = 'b') - max({m}) filter (where model = 'a') as delta from q join o using (model, r) group by r" for m in METRICS)})
+select metric, round(max(delta) filter (where r = 0), 6) as delta, count(delta) filter (where r > 0) as replicates, round(avg(delta) filter (where r > 0), 6) as mean, round(quantile_cont(delta, 0.025) filter (where r > 0), 6) as low, round(quantile_cont(delta, 0.975) filter (where r > 0), 6) as high, (select count(distinct cluster_key) from v_scores) as clusters from l group by 1""")
 def paired_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.paired_cluster_bootstrap(views.scores(spark, sf_dir), "y_true", "base_pred", "ebpf_pred", "base_score_m", "ebpf_score_m", "cluster_key", n=1000)
+    got = evaluate.paired_cluster_bootstrap(views.scores(spark, sf_dir), "y_true", "base_pred", "ebpf_pred", "base_score_m", "ebpf_score_m", "cluster_key", n=1000, seed=SEED)
+    return rounded(got, "delta", "mean", "low", "high")
 
 
 # Monitoring

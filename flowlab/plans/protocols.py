@@ -208,6 +208,13 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.roc_points(views.scores(spark, sf_dir), "y_true", "ebpf_score_m"), "tpr", "fpr")
 
 
+@query(SUMS + """, k as (select *, row_number() over (order by s desc) as i, lead(p) over (order by s desc) as np, lead(n) over (order by s desc) as nn from x)
+select s as threshold, round(tp / pos::double, 6) as tpr, round(fp / neg::double, 6) as fpr from k where i = 1 or np is null or p <> np or n <> nn""")
+def roc_curve_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the curve at which its step changes."""
+    return rounded(evaluate.roc_points(views.scores(spark, sf_dir), "y_true", "ebpf_score_m", drop_collinear=True), "tpr", "fpr")
+
+
 @query("select distinct ebpf_score_m as score, round(cume_dist() over (order by ebpf_score_m), 6) as share from v_scores")
 def score_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.ecdf(views.scores(spark, sf_dir), "ebpf_score_m"), "share")
