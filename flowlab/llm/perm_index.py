@@ -50,14 +50,16 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 def inverted_files(prefix: np.ndarray, n_pivots: int) -> np.ndarray:
     """Places by pivot (first axis) and row; a row that is not posted in a pivot's file has the place after the prefix."""
     n, m = prefix.shape
-    out = np.full((n_pivots, n), m, np.int16)
-    out[prefix.T, np.arange(n)] = np.arange(m, dtype=np.int16)[:, None]
+    out = np.full((n_pivots, n), m, np.int16 if m < 1 << 15 else np.int32)
+    out[prefix.T, np.arange(n)] = np.arange(m, dtype=out.dtype)[:, None]
     return out
 
 
 def footrules(files: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Footrule of every row over the pivots of a query's prefix. Only their files are read."""
-    total, apart = np.zeros(files.shape[1], np.int16), np.empty(files.shape[1], np.int16)
+    """Footrule of every row over the pivots of a query's prefix. Only their files are read. 16 bits do as long as the greatest sum fits in them."""
+    farthest = int(files.max(initial=0)) + len(query)
+    kind = np.int16 if farthest * len(query) < 1 << 15 else np.int64
+    total, apart = np.zeros(files.shape[1], kind), np.empty(files.shape[1], kind)
     for place, pivot in enumerate(query.tolist()):
         np.subtract(files[pivot], place, out=apart)
         np.abs(apart, out=apart)
@@ -65,8 +67,8 @@ def footrules(files: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, files: np.ndarray, q: np.ndarray, q_prefix: np.ndarray, floor: np.ndarray, k: int, share: float, least: int):
-    """(query row, id, score) of the block's best k rows for each query above its floor, by footrule and then exactly."""
+def search_block(ids: np.ndarray, least_ids: np.ndarray, x: np.ndarray, files: np.ndarray, q: np.ndarray, q_prefix: np.ndarray, floor: np.ndarray, k: int, share: float, least: int):
+    """(query row, row of the block, score) of the block's best k rows for each query above its floor, by footrule and then exactly; ties to the smaller of ``least_ids``."""
     out = []
     keep = min(len(ids), max(k, int(np.ceil(share * len(ids))) + least))
     for j, prefix in enumerate(q_prefix):
@@ -75,8 +77,8 @@ def search_block(ids: np.ndarray, x: np.ndarray, files: np.ndarray, q: np.ndarra
         good = np.flatnonzero(exact >= floor[j])
         if len(good) > k:
             good = good[exact[good] >= np.partition(exact[good], -k)[-k]]  # ties at the k-th stay
-        best = good[np.lexsort((ids[near[good]], -exact[good]))[:k]]
-        out.append((np.full(len(best), j), ids[near[best]], exact[best]))
+        best = good[np.lexsort((least_ids[near[good]], -exact[good]))[:k]]
+        out.append((np.full(len(best), j), near[best], exact[best]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
@@ -92,7 +94,7 @@ def nearest(
     non-finite vectors; shorter vectors count as filled up with zeros. Other columns are not read. No queries or no rows give an empty result.
     """
     vectors = written(valid_vectors(rows, id_col, vec_col), "vectors")
-    classes = written(vectors.groupBy("v").agg(F.min("row").alias("cid"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = written(vectors.groupBy("v").agg(F.min("row").alias("cid"), F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
     copied = vectors.join(classes.where("n > 1").select("v", "cid"), "v").select("cid", "row", "id")
     alone = vectors.join(classes.where("n = 1").select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), "row", "id")
     everyone = written(copied.union(alone), "members")
@@ -108,9 +110,9 @@ def nearest(
     def index(batches):
         for b in batches:
             got = prefixes(_matrix(pa.chunked_array([b.column(1)])), table, prefix)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in got], pa.binary())], names=["cid", "v", "prefix"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in got], pa.binary())], names=["cid", "v", "low", "prefix"])
 
-    indexed = written(classes.select("cid", "v").mapInArrow(index, "cid long, v array<double>, prefix binary"), "index")
+    indexed = written(classes.select("cid", "v", "low").mapInArrow(index, "cid long, v array<double>, low long, prefix binary"), "index")
     n_blocks = max(fewest, -(-indexed.count() // block))
     asked = indexed.join(queries.select("cid").distinct(), "cid", "left_semi").withColumn("prefix", F.substring("prefix", 1, 2 * visited))
     asked = written(asked, "queries")
@@ -119,15 +121,16 @@ def nearest(
     asked = asked.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(n_groups)).cast("int"))
 
     def match(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        cids, low = left["cid"].to_numpy(), left["low"].to_numpy()
         if not left.num_rows or not right.num_rows:
             got = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         else:
             files = inverted_files(_prefixes(left["prefix"]), len(table))
-            got = search_block(left["cid"].to_numpy(), _matrix(left["v"]), files, _matrix(right["v"]), _prefixes(right["prefix"]), right["floor"].to_numpy(), k + 1, share, least)
-        return pa.table({"q": right["cid"].to_numpy()[got[0]], "cid": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
+            got = search_block(cids, low, _matrix(left["v"]), files, _matrix(right["v"]), _prefixes(right["prefix"]), right["floor"].to_numpy(), k + 1, share, least)
+        return pa.table({"q": right["cid"].to_numpy()[got[0]], "cid": pa.array(cids[got[1]], pa.int64()), "low": pa.array(low[got[1]], pa.int64()), "score": pa.array(got[2], pa.float64())})
 
     best, begin, end = None, 0, min(n_blocks, step)
-    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "cid")
+    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "low")  # the classes with the least ids have the k rows of least id among equals
     while begin < n_blocks:
         if best is None:
             floored = asked.withColumn("floor", F.lit(float("-inf")))
@@ -136,7 +139,7 @@ def nearest(
             floored = asked.join(floor, "cid")
         left = posted.where((F.col("block") >= begin) & (F.col("block") < end)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
         right = floored.withColumn("block", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))))
-        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(match, "q long, cid long, score double")
+        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(match, "q long, cid long, low long, score double")
         found = found if best is None else found.union(best)
         best = written(found.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).drop("r"), "nearest")
         begin, end = end, min(n_blocks, end * step)
