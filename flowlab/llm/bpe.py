@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from flowlab.llm.common import map_texts
+from flowlab.llm.common import map_texts, slices
 
 PIECE = 100_000
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -63,12 +63,13 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
 
 def decode_ids(rows: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """The rows with the raw bytes of their ids in a new column ``out_col`` (null ids: empty)."""
+    """The rows with the raw bytes of their ids in a new column ``out_col`` (null ids: empty), some 500 KB of ids at a time."""
     schema = StructType(list(rows.schema)).add(out_col, "binary")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
-        for batch in batches:
+        at = schema.names.index(ids_col)
+        for batch in (part for b in batches for part in slices(b, at)):
             raw = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=schema.names)
 
