@@ -664,3 +664,45 @@ def test_pipeline_odd_rows(spark, odd, empty, sf_dir):
             assert out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert corpus_pipeline.pack(spark, docs, sf_dir).count() >= docs.count()
+
+
+@pytest.mark.parametrize("share", [None, 1.0])
+def test_nearest_ties_between_unlike_vectors(spark, share):
+    """Sixty unlike vectors of one inner product, ids falling in the order of rows and repeated: the smallest ids win, by default and exactly."""
+    from flowlab.llm import perm_index
+
+    rows = [(1000 + k, [0.5, float(k)]) for k in range(200)] + [(101 - n, [1.0, float(n)]) for n in range(60)] + [(42, [1.0, -3.0]), (0, [1.0, 0.0]), (7, [1.0, 500.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = perm_index.nearest(df, F.col("id") == 0, 20, **({} if share is None else {"share": share})).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == sorted([7, 42, *range(42, 102)])[:20] and {r["score"] for r in got} == {1.0}
+
+
+def test_footrules_of_wide_prefixes():
+    """Sums beyond 16 bits."""
+    import numpy as np
+    from flowlab.llm import perm_index
+
+    rng = np.random.default_rng(3)
+    prefix = np.array([rng.permutation(1024) for _ in range(5)]).astype("<u2")
+    query = rng.permutation(1024)[:900]
+    places = np.argsort(prefix, 1)
+    want = [sum(abs(int(p[pivot]) - k) for k, pivot in enumerate(query.tolist())) for p in places]
+    assert perm_index.footrules(perm_index.inverted_files(prefix, 1024), query).tolist() == want and max(want) > 40_000
+
+
+def test_one_text_of_a_third_of_all_rows_in_many_ranges(spark):
+    from flowlab.llm import sharding
+
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 77).otherwise(F.xxhash64("id")).alias("k"), F.lit(50).cast("long").alias("bytes"))
+    got = sharding.histogram_shards(rows, 40, F.col("k"), "doc_id", "bytes", per_range=1).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots")).collect()
+    assert len(got) == 40 and all(r["slots"] == r["n"] == r["last"] + 1 and abs(r["n"] - 150) <= 2 for r in got)
+
+
+def test_decoding_many_ids_at_once(spark):
+    import public_tokenizers
+    from flowlab.llm import bpe
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(k, "long text of words " * (40_000 if k < 3 else 1)) for k in range(40)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    back = bpe.decode_ids(bpe.encode_texts(docs, ranks, pattern), ranks, pattern).select("doc_id", F.col("decoded").cast("string").alias("t"))
+    assert back.join(docs, "doc_id").where(F.col("t") == F.coalesce("text", F.lit(""))).count() == 41
