@@ -44,11 +44,27 @@ def dedup_first(flows: DataFrame, order: Column, keys: tuple[str, ...] = TUPLE)
 def match(conn: DataFrame, flows: DataFrame, keys: tuple[str, ...] = TUPLE) -> DataFrame:
     """Each connection with the flow of its 5-tuple, else of the reversed 5-tuple (counters as they are), else none.
 
-    ``flows`` has one row per key. Adds ebpf_ columns and match_dir (fwd, rev, none). Left joins on columns; the optimiser chooses how."""
+    ``flows`` has one row per key. Adds ebpf_ columns and match_dir (fwd, rev, none). Both directions of a 5-tuple are one key, its ends in order, so flows and connections
+    are shuffled once: a key's flows, two at most, become one row with either direction's values, and one left join on columns brings them to the connections."""
     values = [c for c in flows.columns if c not in keys]
-    side = lambda name: flows.select(*[F.col(k).alias(f"__{name}_{k}") for k in keys], F.struct(*values).alias(name))
-    on = lambda name, cols: [F.col(c) == F.col(f"__{name}_{k}") for c, k in zip(cols, keys, strict=True)]
-    out = conn.join(side("fwd"), on("fwd", FORWARD), "left").join(side("rev"), on("rev", REVERSE), "left")
+    ends = lambda a, b, p, q: (F.struct(F.col(a).alias("h"), F.col(p).cast("long").alias("p")), F.struct(F.col(b).alias("h"), F.col(q).cast("long").alias("p")))
+
+    def keyed(df: DataFrame, a: str, b: str, p: str, q: str, proto: str) -> tuple[list[Column], Column]:
+        x, y = ends(a, b, p, q)
+        low, high = F.least(x, y), F.greatest(x, y)
+        return [low["h"].alias("__h"), low["p"].alias("__p"), high["h"].alias("__g"), high["p"].alias("__q"), F.col(proto).alias("__t")], x <= y
+
+    names = ["__h", "__p", "__g", "__q", "__t"]
+    cols, way = keyed(flows, keys[0], keys[1], keys[2], keys[3], keys[4])
+    complete = flows.where(" and ".join(f"`{k}` is not null" for k in keys))
+    side = lambda is_way: F.max(F.when(F.col("__way") == is_way, F.struct(*values)))
+    both = complete.select(*cols, way.alias("__way"), *values).groupBy(*names).agg(side(True).alias("__a"), side(False).alias("__b"))
+    own, way = keyed(conn, FORWARD[0], FORWARD[1], FORWARD[2], FORWARD[3], FORWARD[4])
+    whole = F.lit(True)
+    for c in FORWARD:
+        whole = whole & F.col(c).isNotNull()
+    asked = conn.select(F.struct(*conn.columns).alias("__c"), *[F.when(whole, c).alias(n) for c, n in zip(own, names, strict=True)], way.alias("__way"))
+    out = asked.join(both, names, "left").select("__c.*", F.when(F.col("__way"), F.col("__a")).otherwise(F.col("__b")).alias("fwd"), F.when(F.col("__way"), F.col("__b")).otherwise(F.col("__a")).alias("rev"))
     hit = F.coalesce("fwd", "rev")
     direction = F.when(F.col("fwd").isNotNull(), "fwd").when(F.col("rev").isNotNull(), "rev").otherwise("none")
     return out.select(*conn.columns, direction.alias("match_dir"), *[hit[v].alias(f"ebpf_{v}") for v in values])

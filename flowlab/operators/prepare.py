@@ -172,9 +172,9 @@ def assign_roles(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame
     return df.join(groups.select(*keys, "role"), keys, "left").fillna("train", ["role"])
 
 
-def kfold(groups: DataFrame, keys: tuple[str, ...], k: int, repeats: int, seed: int, label: str | None = None) -> DataFrame:
+def kfold(groups: DataFrame, keys: tuple[str, ...], k: int, repeats: int, seed: int, label: str | None = None, per_bucket: int = 1_000_000) -> DataFrame:
     """(keys, repeat, fold): every group in one test fold per repeat. Stratified by the dominant label where its rarest class has k groups; k is at
-    most the number of groups."""
+    most the number of groups. Groups are ranked in hashed order inside hash buckets, so neither a repeat nor a stratum is one task."""
     n = groups.count()
     k = max(1, min(k, n))
     strata: tuple[str, ...] = ()
@@ -182,8 +182,14 @@ def kfold(groups: DataFrame, keys: tuple[str, ...], k: int, repeats: int, seed:
         strata = (label,)
     each = groups.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), *[F.col(c).cast("string") for c in keys]))
-    w = Window.partitionBy("repeat", *strata).orderBy(h, *keys)
-    return each.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int")).select(*keys, "repeat", "fold")
+    digits = next(d for d in range(1, 5) if d == 4 or 16**d * per_bucket >= n)
+    rows = each.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits)).withColumn("__s", F.struct("repeat", *strata))
+    sizes = rows.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("__s").alias("__t"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", *keys)))
+    placed = ranked.join(offsets, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__b") == F.col("__c")))  # at most 65,536 buckets a stratum
+    return placed.withColumn("fold", ((F.col("__r") + F.col("__o") - 1) % k).cast("int")).select(*keys, "repeat", "fold")
 
 
 def kfold_meta(df: DataFrame, folds: DataFrame, keys: list[str], label: str, attack: str) -> DataFrame:
@@ -226,7 +232,7 @@ def unseen_families(train: DataFrame, test: DataFrame, label: str) -> DataFrame:
 
 
 # Columns that carry identity or labels, parts of names by which kernel columns are known, and columns that are never features.
-META = ("ts", "t_end", "start_ts", "end_ts", "orig_h", "resp_h", "src_ip", "dst_ip", "k", "day", "run_id", "label_family", "label_raw", "is_attack", "label_time_offset_sec", "label_halfday_shift_sec", "label_window_pre_slop_sec", "label_window_post_slop_sec")
+META = ("label_family", "is_attack", "day", "label_raw", "run_id", "ts", "start_ts", "end_ts", "t_end", "orig_h", "resp_h", "src_ip", "dst_ip", "k", "label_time_offset_sec", "label_halfday_shift_sec", "label_window_pre_slop_sec", "label_window_post_slop_sec")
 KERNEL_HINTS = ("ebpf", "bpf", "pid", "ppid", "uid", "gid", "comm", "exe", "cmd", "cgroup", "sock", "sk_", "tcp_", "udp_", "netns", "inode", "tgid", "task", "ns_", "mount")
 NEVER = ("label_family", "day")
 

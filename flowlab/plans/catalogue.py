@@ -328,9 +328,10 @@ def session_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.session_overlap(d.where("role = 'train'"), d.where("role = 'test'"), ["orig_h", "resp_h", "proto_num"])
 
 
-@query("select distinct concat(label_family, orig_h) as label_family from v_flows where day_ix = 4 except select concat(label_family, orig_h) from v_flows where day_ix = 3")
+@query("select distinct concat_ws('|', label_family, orig_h, resp_h, resp_p) as label_family from v_flows where day_ix = 4 except select concat_ws('|', label_family, orig_h, resp_h, resp_p) from v_flows where day_ix = 3")
 def unseen_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.flows(spark, sf_dir).withColumn("label_family", F.concat("label_family", "orig_h"))
+    """Kinds of traffic, finer than families, that a day has and the day before has not."""
+    d = views.flows(spark, sf_dir).withColumn("label_family", F.concat_ws("|", "label_family", "orig_h", "resp_h", "resp_p"))
     return prepare.unseen_families(d.where("day_ix = 3"), d.where("day_ix = 4"), "label_family")
 
 

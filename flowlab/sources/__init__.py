@@ -15,8 +15,6 @@ EVENT_DDL = "ts_ns long, ts_s double, pid long, uid long, comm string, saddr lon
 FLOW_DDL = "first_ts_ns long, last_ts_ns long, first_ts_s double, last_ts_s double, flush_ts_s double, saddr long, daddr long, sport int, dport int, proto int, saddr_str string, daddr_str string, bytes_sent long, bytes_recv long, retransmits long, state_changes long, samples long, pid_mode long, uid_mode long, comm_mode string"
 #: What windows-1252 has in the place of control characters.
 CONTROLS = {chr(k): bytes([k]).decode("cp1252", "replace").replace("\ufffd", chr(k)) for k in range(0x80, 0xA0)}
-#: Columns of a label file at most; the published ones have 85.
-CELLS = 128
 LABEL_COLUMNS = ("Source IP", "Source Port", "Destination IP", "Destination Port", "Protocol", "Timestamp", "Label")
 
 
@@ -78,28 +76,31 @@ def read_labels(spark: SparkSession, path: str, day: str) -> DataFrame:
     valid = F.try_validate_utf8(F.col("b").cast("string"))
     judged = lines.groupBy("path").agg(F.bool_and(valid.isNotNull()).alias("utf8"), F.min_by("b", F.struct("at", "n")).alias("head"))  # one row per file
     text = lambda c: F.when(F.col("utf8"), F.col(c).cast("string")).otherwise(F.translate(F.decode(c, "iso-8859-1"), "".join(CONTROLS), "".join(CONTROLS.values())))
-    cells = lambda line: F.from_csv(line, F.lit(", ".join(f"c{k} string" for k in range(CELLS))))
     heads = judged.select("path", "utf8", F.regexp_replace(text("head"), "^\ufeff|\r$", "").alias("head"))
-    named = heads.select("path", "utf8", F.transform(F.array(*[cells(F.col("head"))[f"c{k}"] for k in range(CELLS)]), lambda x: F.trim(x)).alias("names"))
+    # As wide as the widest header; commas inside quotes only make it wider.
+    width = heads.agg(F.max(F.size(F.split("head", ",")))).first()[0] or len(LABEL_COLUMNS)
+    cells = lambda line: F.from_csv(line, F.lit(", ".join(f"c{k} string" for k in range(width))))
+    named = heads.select("path", "utf8", F.transform(F.array(*[cells(F.col("head"))[f"c{k}"] for k in range(width)]), lambda x: F.trim(x)).alias("names"))
     lacking = named.select(F.array_except(F.array(*[F.lit(c) for c in LABEL_COLUMNS]), "names").alias("x")).where(F.size("x") > 0).first()
     if lacking:
         raise ValueError(f"label files lack {lacking['x']}")
     body = lines.join(F.broadcast(judged.select("path", F.struct("head", "utf8").alias("j"))), "path")  # files
     body = body.where(F.col("b") != F.col("j.head")).where(F.col("b").cast("string").rlike(r"\S")).select("path", "file", F.col("j.utf8").alias("utf8"), "b")
     parsed = body.join(F.broadcast(named.select("path", "names")), "path").withColumn("row", cells(F.regexp_replace(text("b"), "\r$", "")))
-    values = F.array(*[F.col("row")[f"c{k}"] for k in range(CELLS)])
+    values = F.array(*[F.col("row")[f"c{k}"] for k in range(width)])
     at = lambda c: F.trim(F.element_at(values, F.array_position("names", c).cast("int")))
     return parsed.select(*[at(c).alias(c.lower().replace(" ", "_")) for c in LABEL_COLUMNS], "file")
 
 
 def infer_day(spark: SparkSession, run: str, recorded: str | None = None, override: str | None = None) -> str:
-    """The weekday of a run's folder: the given one, else the first that is found in the recorded capture's name, in the names of *.pcap files, in a line of *.log files."""
+    """The weekday of a run's folder: the given one, else the one in the recorded capture's name, else that of the least name of a *.pcap file which has one, else of the first line that has one in the least named *.log file with such a line."""
     if override:
         return override
-    named = spark.createDataFrame([(recorded,)], "p string").select(day_from_path(F.col("p")).alias("d"))
-    known = lambda df: df.where("d <> 'Unknown'").agg(F.min("d")).first()[0]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(run).select(day_from_path(F.col("path")).alias("d"))
-    logs = spark.read.option("pathGlobFilter", "*.log").text(run).select(day_from_path(F.col("value")).alias("d"))
+    named = spark.createDataFrame([(recorded,)], "p string").select(F.lit(0).alias("at"), day_from_path(F.col("p")).alias("d"))
+    known = lambda df: df.where("d <> 'Unknown'").agg(F.min_by("d", "at")).first()[0]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(run).select(F.col("path").alias("at"), day_from_path(F.regexp_extract("path", "[^/]*$", 0)).alias("d"))
+    lines = spark.read.option("pathGlobFilter", "*.log").text(run)
+    logs = lines.select(F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), day_from_path(F.col("value")).alias("d"))
     for source in (named, files, logs):
         if day := known(source):
             return day

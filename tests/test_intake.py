@@ -40,6 +40,9 @@ def test_label_files_with_other_columns_and_encodings(spark, tmp_path):
     (tmp_path / "friday-a.csv").write_bytes(a.encode("cp1252"))
     (tmp_path / "Friday-b.csv").write_bytes(b"\xef\xbb\xbf" + b.encode())
     (tmp_path / "Monday-c.csv").write_text("nothing\n")
+    wide = [f"f{k}" for k in range(300)]
+    (tmp_path / "Tuesday-d.csv").write_text(",".join([*wide, *sources.LABEL_COLUMNS]) + "\n" + ",".join(["0"] * 300 + ["5.5.5.5", "1", "6.6.6.6", "2", "6", "3/7/2017 9:00", "Bot"]) + "\n")
+    assert rows(sources.read_labels(spark, str(tmp_path), "Tuesday").select("source_ip", "label")) == [("5.5.5.5", "Bot")]
     got = sources.read_labels(spark, str(tmp_path), "Friday").orderBy("source_ip")
     assert rows(got.select("source_ip", "destination_port", "protocol", "label", "file")) == [("1.1.1.1", "2", "6", "Web Attack – XSS", "friday-a.csv"), ("3.3.3.3", "4", "17", "BENIGN", "Friday-b.csv")]
     with pytest.raises(ValueError, match="Label"):
@@ -52,6 +55,13 @@ def test_weekday_of_a_run(spark, tmp_path):
     assert sources.infer_day(spark, run) == "Tuesday"
     (tmp_path / "thursday.pcap").write_text("x")
     assert sources.infer_day(spark, run) == "Thursday"
+    (tmp_path / "two").mkdir()
+    for name in ("a-Monday.pcap", "b-Friday.pcap", "0.pcap"):
+        (tmp_path / "two" / name).write_text("x")
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("nothing\nWednesday.pcap then\nFriday.pcap\n")
+    (tmp_path / "logs" / "b.log").write_text("Friday.pcap\n")
+    assert sources.infer_day(spark, str(tmp_path / "two")) == "Monday" and sources.infer_day(spark, str(tmp_path / "logs")) == "Wednesday"
     assert sources.infer_day(spark, run, "a/friday.pcap") == "Friday" and sources.infer_day(spark, run, None, "Monday") == "Monday"
     (tmp_path / "none").mkdir()
     with pytest.raises(ValueError, match="no weekday"):
