@@ -16,7 +16,7 @@ from flowlab.operators import evaluate, models, prepare, trees
 class Pack:
     """A fitted detector with its features and threshold."""
 
-    model: PipelineModel | trees.Boosted | trees.ExtraTrees
+    model: PipelineModel | trees.Boosted | trees.ExtraTrees | models.Linear
     features: list[str]
     threshold: float
     kind: str
@@ -180,7 +180,7 @@ def permutation_importance(pack: Pack, rows: DataFrame, y: str, row_id: str, rep
 
 def medians(pack: Pack) -> dict[str, float]:
     """What the pack fills in for missing values."""
-    if isinstance(pack.model, trees.Boosted | trees.ExtraTrees):
+    if not isinstance(pack.model, PipelineModel):
         return pack.model.fill
     return pack.model.stages[0].surrogateDF.first().asDict()
 

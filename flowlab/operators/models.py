@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -53,8 +54,20 @@ def fit_model(train: DataFrame, kind: str, features: list[str], y: str, seed: in
     return steps.fit(rows)
 
 
+@dataclass(frozen=True)
+class Linear:
+    """A given linear score: the sum of weights times features, missing ones as ``fill`` has them."""
+
+    weights: dict[str, float]
+    fill: dict[str, float]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        terms = [F.coalesce(F.col(f).cast("double"), F.lit(self.fill[f])) * F.lit(w) for f, w in self.weights.items()]
+        return rows.withColumn("score", sum(terms[1:], terms[0]))
+
+
 def score_rows(model, rows: DataFrame) -> DataFrame:
-    """The rows with score, the probability of the second class."""
+    """The rows with score: the probability of the second class, or what a given model says."""
     out = model.transform(rows)
     return out.withColumn("score", vector_to_array("probability")[1]) if "probability" in out.columns else out
 

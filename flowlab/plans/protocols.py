@@ -110,6 +110,74 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, out.select(ROW, Y, *[f"{n}_{c}" for n in names for c in ("score", "pred")]))
 
 
+# The protocols on given scores, which SQL can follow
+
+
+FIXED = {"orig_bytes": 2.0, "resp_p": 3.0, "ebpf_samples": 400.0}
+FILLED = {"orig_bytes": 2000.0, "resp_p": 80.0, "ebpf_samples": 25.0}
+
+
+def fixed_pack(weights: dict[str, float], threshold: float) -> experiments.Pack:
+    return experiments.Pack(models.Linear(weights, {f: FILLED[f] for f in weights}), list(weights), threshold, "given")
+
+
+def fixed_score(kept: set[str], masks: dict[str, float] | None = None, weights: dict[str, float] = FIXED) -> str:
+    """The score in SQL, with only these features left; others have a constant."""
+    return " + ".join(f"coalesce({f}::double, {FILLED[f]}) * {w}::double" if f in kept else f"{(masks or FILLED)[f]}::double * {w}::double" for f, w in weights.items())
+
+
+def metrics_sql(variants: dict[str, str], threshold: float, day: str = "day_ix = 4") -> str:
+    """CTE f: variant and its metrics; variants: name to score."""
+    each = " union all ".join(f"select {name} as variant, is_attack as y, {score} as s from m where {WINDOWED} and {day}" for name, score in variants.items())
+    return f"""{matched_sql(LIVE)}, v as ({each}), g as (select variant, s, sum(y) as p, sum(1 - y) as n from v group by all),
+x as (select *, sum(p) over d as tp, sum(n) over d as fp, sum(p) over a as pos, sum(n) over a as neg from g window d as (partition by variant order by s desc), a as (partition by variant)),
+h as (select variant, sum(n * (tp - p + p / 2.0)) / (max(pos) * max(neg))::double as roc_auc, sum(p * tp / (tp + fp)::double) / max(pos) as pr_auc, sum(p) filter (where s >= {threshold}) as hit, sum(n) filter (where s >= {threshold}) as bad, max(pos) as pos, max(neg) as neg from x group by 1),
+f as (select variant, roc_auc, pr_auc, 2.0::double * coalesce(hit, 0) / (coalesce(hit, 0) + coalesce(bad, 0) + pos) as f1, coalesce(hit, 0) / pos::double as recall, coalesce(hit / (hit + bad)::double, 0) as precision, coalesce(bad, 0) / neg::double as fpr from h)
+"""
+
+
+MASKS = {"'all_features'": set(FIXED), "'core_only'": {"orig_bytes", "resp_p"}, "'kernel_only'": {"ebpf_samples"}}
+SHOWN = ("roc_auc", "pr_auc", "f1", "recall", "precision")
+
+
+@query(metrics_sql({n: fixed_score(kept) for n, kept in MASKS.items()}, 15_000) + f"""select variant, case variant when 'all_features' then 3 when 'core_only' then 2 else 1 end as n_features, {', '.join(f'round({c}, 6) as {c}, round({c} - (select {c} from f where variant = {chr(39)}all_features{chr(39)}), 6) as delta_{c}' for c in SHOWN)} from f""")
+def mask_ablation_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masking on a given score."""
+    test = enriched(spark, sf_dir).where("role = 'test'")
+    got = experiments.mask_ablation(fixed_pack(FIXED, 15_000.0), test, Y, {"core_only": ["orig_bytes", "resp_p"], "kernel_only": ["ebpf_samples"]})
+    return rounded(got, *SHOWN, *[f"delta_{c}" for c in SHOWN])
+
+
+ORDER = ["ebpf_samples", "orig_bytes", "resp_p"]
+
+
+@query(metrics_sql({str(k): fixed_score({f for f in FIXED if f not in ORDER[k:]}, dict.fromkeys(FIXED, 0.0)) for k in range(4)}, 15_000) + f"""select variant::integer as step, ['(none)', {', '.join(f"'{f}'" for f in ORDER)}][variant + 1] as feature_added, round(roc_auc, 6) as test_auc from f""")
+def progressive_ablation_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a given score restored one by one."""
+    return rounded(experiments.progressive_ablation(fixed_pack(FIXED, 15_000.0), enriched(spark, sf_dir).where("role = 'test'"), Y, ORDER), "test_auc")
+
+
+PAIR = {"baseline": ({"orig_bytes": 2.0}, 5_000.0), "enhanced": (FIXED, 15_000.0)}
+
+
+@query(f"""{matched_sql(LIVE)}, v as ({" union all ".join(f"select '{n}' as model, {t} as own, day_ix, is_attack as y, {fixed_score(set(w), weights=w)} as s from m where {WINDOWED} and day_ix > 2" for n, (w, t) in PAIR.items())}),
+r as (select min(recall) as target from (select count(*) filter (where y = 1 and s >= own) / count(*) filter (where y = 1)::double as recall from v where day_ix = 3 group by model)),
+g as (select model, s, sum(y) as p, sum(1 - y) as n from v where day_ix = 3 group by all), x as (select *, sum(p) over (partition by model order by s desc) as tp, sum(p) over (partition by model) as pos from g),
+c as (select model, max(s) as cut from x, r where tp >= target * pos group by 1),
+t as (select model, cut, count(*) filter (where y = 1 and s >= cut) as hit, count(*) filter (where y = 0 and s >= cut) as bad, sum(y) as pos, sum(1 - y) as neg from v join c using (model) where day_ix = 4 group by all)
+select model, round(target, 6) as target_recall, cut as threshold, round(hit / pos::double, 6) as recall, round(hit / (hit + bad)::double, 6) as precision, round(bad / neg::double, 6) as fpr, round(2.0 * hit / (hit + bad + pos)::double, 6) as f1 from t, r""")
+def matched_recall_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two given scores compared at one recall."""
+    got = experiments.matched_recall({n: fixed_pack(w, t) for n, (w, t) in PAIR.items()}, enriched(spark, sf_dir), Y)
+    return rounded(got, "target_recall", "recall", "precision", "fpr", "f1")
+
+
+@query(f"""{matched_sql(LIVE)}, v as (select flow_id, is_attack, {fixed_score(set(FIXED))} as s from m where {WINDOWED} and day_ix = 4) select flow_id, is_attack, s as score, (s >= 15000)::integer as pred from v""")
+def given_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test rows scored by a given pack."""
+    return experiments.score(fixed_pack(FIXED, 15_000.0), enriched(spark, sf_dir).where("role = 'test'")).select(ROW, Y, "score", "pred")
+
+
 GRID = "(values " + ", ".join(f"({c}::double)" for c in experiments.CONTAMINATION) + ") g(contamination)"
 
 
