@@ -44,16 +44,16 @@ def test_boosting_by_passes_is_the_same(rows):
 @pytest.mark.parametrize("local", [100, 20_000])
 def test_extra_trees(rows, local):
     train, test = models.balanced_weights(rows.where("role <> 'test'"), "y"), rows.where("role = 'test'")
-    model = trees.extra_trees(train, FEATURES, "y", trees=60, local=local)
+    model = trees.extra_trees(train, FEATURES, "y", trees=25, local=local)
     nodes = model.nodes
     assert 0.86 < area(model, test) < 0.93
-    assert nodes.select("tree").distinct().count() == 60 and nodes.count() == nodes.select("tree", "node").distinct().count()
+    assert nodes.select("tree").distinct().count() == 25 and nodes.count() == nodes.select("tree", "node").distinct().count()
     inner = nodes.where("feature >= 0").select("tree", F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1)).alias("node"))
     root = nodes.select("tree").distinct().withColumn("node", F.lit(1).cast("long"))
     assert inner.union(root).exceptAll(nodes.select("tree", "node")).count() == nodes.select("tree", "node").exceptAll(inner.union(root)).count() == 0  # whole binary trees
     cuts = nodes.where("node = 1").agg(F.count_distinct("cut")).first()[0]
-    assert cuts == 60  # random ones
-    few = trees.ExtraTrees(model.features, model.fill, nodes, 60, per_pass=3000)
+    assert cuts == 25  # random ones
+    few = trees.ExtraTrees(model.features, model.fill, nodes, 25, per_pass=3000)
     assert area(few, test) == pytest.approx(area(model, test))
 
 
