@@ -6,6 +6,7 @@ sums per node, so what moves depends on nodes and features, not on rows. Nodes a
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -120,7 +121,8 @@ def boost(rows: DataFrame, features: list[str], y: str, weight: str = "weight",
     make, with ``least`` rows a leaf. A share ``held_out`` of the rows (by a hash of the row) only measures the loss; growth ends when ``patience`` rounds bring no lower
     one. Without held-out rows all rounds are made. Null features are their median. One class or no rows: a model without trees.
 
-    Of up to ``local`` rows one task makes all rounds, with the same sums and cuts, as jobs of so few rows would be waiting only."""
+    Rows that agree in all bins, class, weight and share are one unit with a count (``units``). Of up to ``local`` units one task makes all rounds, with the same sums and
+    cuts, as jobs of so few would be waiting only."""
     fill = medians(rows, features)
     names = [f"__x{k}" for k in range(len(features))]
     hashed = F.xxhash64(F.lit(seed), *[c for c, kind in rows.dtypes if "map<" not in kind])
@@ -128,15 +130,16 @@ def boost(rows: DataFrame, features: list[str], y: str, weight: str = "weight",
     plain = rows.select(*_filled(features, fill), F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w"), held)
     plain = written(plain, "boost")
     cuts = _quantile_cuts(plain.where("not held"), names, bins)
-    first = plain.agg(F.sum(F.when(~F.col("held"), F.col("w") * F.col("y"))).alias("p"), F.sum(F.when(~F.col("held"), F.col("w"))).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    first = plain.agg(F.sum(F.when(~F.col("held"), F.col("w") * F.col("y"))).alias("p"), F.sum(F.when(~F.col("held"), F.col("w"))).alias("w")).first()
     if not first["w"] or not 0 < first["p"] < first["w"]:
         share = min(1 - 1e-9, max(1e-9, (first["p"] or 0.0) / (first["w"] or 1.0)))
         return Boosted(list(features), fill, cuts, float(np.log(share / (1 - share))), [])
     base = float(np.log(first["p"] / (first["w"] - first["p"])))
-    state = written(_binned_rows(plain, names, cuts, base), "boost")
+    table = written(units(plain, names, cuts, ["y", "w", "held"]), "units")
+    state = written(_blocks(table, len(features), base), "boost")
     shape = (len(features), 1 + max((len(c) for c in cuts), default=0))
     rule = _Rule(rounds, depth, rate, leaves, least, patience)
-    trees, losses = _in_one_task(state, shape, rule) if first["n"] <= local else _rounds(_Passes(state, shape), rule)
+    trees, losses = _in_one_task(state, shape, rule) if table.count() <= local else _rounds(_Passes(state, shape), rule)
     return Boosted(list(features), fill, cuts, base, trees, losses)
 
 
@@ -170,38 +173,63 @@ def _rounds(source: _Passes | _Held, rule: _Rule) -> tuple[list, list[float]]:
     return trees, losses
 
 
-def _binned_rows(plain: DataFrame, names: list[str], cuts: list[np.ndarray], base: float) -> DataFrame:
-    """(bins: 16-bit numbers in one binary, y, w, held, margin)"""
-    at = [plain.columns.index(c) for c in ("y", "w", "held")]
+def units(plain: DataFrame, names: list[str], cuts: list[np.ndarray], keys: list[str]) -> DataFrame:
+    """(b0, b1, ...: bins of the features, keys, n): the distinct binned rows and how often each is there. Rows that agree in all of these take the same way through every
+    tree, so sums over the units are those over the rows, and passes over many like rows cost as much as over few."""
+    shown = ", ".join([f"b{k} int" for k in range(len(names))] + [f"`{c}` {dict(plain.dtypes)[c]}" for c in keys])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = _binned(_matrix(batch, names), cuts).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed], pa.binary()), *(batch.column(k) for k in at), pa.array(np.full(batch.num_rows, base))], names=["bins", "y", "w", "held", "margin"])
+            bins = _binned(_matrix(batch, names), cuts)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in bins.T), *(batch.column(c) for c in keys)], names=[*(f"b{k}" for k in range(len(names))), *keys])
 
-    return plain.mapInArrow(run, "bins binary, y double, w double, held boolean, margin double")
+    rows = plain.select(*names, *keys).mapInArrow(run, shown)
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _state_arrays(batch: pa.RecordBatch, fresh: list) -> tuple[np.ndarray, ...]:
-    n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(n, -1).astype(np.int32)
-    y, w, held, margin = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5))
-    return bins, y, w, held.astype(bool), margin + _margin(bins, fresh)
+STATE = "block long, bins binary, y binary, w binary, held binary, margin binary, n binary"
 
 
-def _with_margins(state: DataFrame, fresh: list) -> DataFrame:
+def _blocks(table: DataFrame, features: int, base: float) -> DataFrame:
+    """Units a batch at a time, each column as the bytes of one array, so that a pass has them without taking rows apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(_state_arrays(batch, fresh)[4])], names=batch.schema.names)
+                bins = np.column_stack([batch.column(k).to_numpy() for k in range(features)]).astype(np.uint16)
+                y, w, held, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held", "n"))
+                yield _block([bins, y.astype(float), w.astype(float), held.astype(bool), np.full(len(y), base), n.astype(float)])
+
+    return table.mapInArrow(run, STATE)
+
+
+def _block(arrays: list[np.ndarray]) -> pa.RecordBatch:
+    data = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    name = int.from_bytes(hashlib.md5(data[0] + data[1] + data[2] + data[3] + data[5]).digest()[:7])
+    return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([d], pa.binary()) for d in data)], names=[c.split()[0] for c in STATE.split(", ")])
+
+
+def _state_arrays(batch: pa.RecordBatch, fresh: list) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each block: bins, y, w, held, margin, n."""
+    for k in range(batch.num_rows):
+        bins, y, w, held, margin, n = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in enumerate((np.uint16, float, float, bool, float, float), 1))
+        bins = bins.reshape(len(y), -1).astype(np.int32)
+        yield bins, y, w, held, margin + _margin(bins, fresh), n
+
+
+def _with_margins(state: DataFrame, fresh: list) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for arrays in _state_arrays(batch, fresh):
+                yield _block([arrays[0].astype(np.uint16), *arrays[1:]])
 
     return state.mapInArrow(run, state.schema)
 
 
 def _sums(arrays: tuple[np.ndarray, ...], tree: _Growing, shape: tuple[int, int]) -> np.ndarray:
     """(3, open nodes, features, bins): sums of gradients, hessians and rows."""
-    bins, y, w, held, margin = arrays
-    bins, y, w, p = bins[~held], y[~held], w[~held], _sigmoid(margin[~held])
+    bins, y, w, held, margin, n = arrays
+    bins, y, w, p, n = bins[~held], y[~held], (w * n)[~held], _sigmoid(margin[~held]), n[~held]
     open_nodes, (n_features, width) = np.array(tree.open), shape
     node = _walk(bins, tree.feature, tree.cut)
     slot = np.searchsorted(open_nodes, node)
@@ -210,12 +238,13 @@ def _sums(arrays: tuple[np.ndarray, ...], tree: _Growing, shape: tuple[int, int]
     cell = ((slot[own, None] * n_features + np.arange(n_features)) * width + bins[own]).ravel()
     g, h = w[own] * (p[own] - y[own]), w[own] * p[own] * (1 - p[own])
     size = len(open_nodes) * n_features * width
-    return np.stack([np.bincount(cell, np.repeat(v, n_features), size) for v in (g, h, np.ones(len(own)))]).reshape(3, len(open_nodes), n_features, width)
+    return np.stack([np.bincount(cell, np.repeat(v, n_features), size) for v in (g, h, n[own])]).reshape(3, len(open_nodes), n_features, width)
 
 
 def _loss(arrays: tuple[np.ndarray, ...]) -> np.ndarray:
     """Of the held-out rows: the weighted loss and the weight."""
-    _, y, w, held, z = (a[arrays[3]] for a in arrays)
+    _, y, w, _, z, n = (a[arrays[3]] for a in arrays)
+    w = w * n
     return np.array([np.sum(w * (np.logaddexp(0, z) - y * z)), np.sum(w)])
 
 
@@ -234,7 +263,7 @@ def _best_cut(sums: np.ndarray, least: int) -> tuple:
 
 @dataclass
 class _Held:
-    """All rows in one task."""
+    """All units in one task."""
 
     arrays: tuple[np.ndarray, ...]
     shape: tuple[int, int]
@@ -245,12 +274,12 @@ class _Held:
         return [(k, *_best_cut(sums[:, k], tree.rule.least)) for k in range(len(tree.open))], float(loss[0] / loss[1]) if loss[1] else None
 
     def add(self, tree: tuple) -> None:
-        self.arrays = (*self.arrays[:4], self.arrays[4] + _margin(self.arrays[0], [tree]))
+        self.arrays = (*self.arrays[:4], self.arrays[4] + _margin(self.arrays[0], [tree]), self.arrays[5])
 
 
 def _in_one_task(state: DataFrame, shape: tuple[int, int], rule: _Rule) -> tuple[list, list[float]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_state_arrays(b, []) for b in batches if b.num_rows]
+        parts = [arrays for b in batches for arrays in _state_arrays(b, [])]
         made = _rounds(_Held(tuple(np.concatenate(x) for x in zip(*parts, strict=True)), shape), rule)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["made"])
 
@@ -262,7 +291,7 @@ CUT = "slot long, feature long, bin long, gain double, g double, h double, n dou
 
 @dataclass
 class _Passes:
-    """Rows in a table, a job for each level. ``fresh``: trees that the table's margins do not have yet; at ten they are added and the table is written anew."""
+    """Units in a table, a job for each level. ``fresh``: trees that the table's margins do not have yet; at three they are added and the table is written anew."""
 
     state: DataFrame
     shape: tuple[int, int]
@@ -270,7 +299,7 @@ class _Passes:
 
     def add(self, tree: tuple) -> None:
         self.fresh.append(tree)
-        if len(self.fresh) == 10:
+        if len(self.fresh) == 3:
             self.state, self.fresh = written(_with_margins(self.state, self.fresh), "boost"), []
 
     def level(self, tree: _Growing, measure: bool) -> tuple[list, float | None]:
@@ -279,8 +308,7 @@ class _Passes:
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, lost = np.zeros((3, *shape)), np.zeros(2)
             for batch in batches:
-                if batch.num_rows:
-                    arrays = _state_arrays(batch, fresh)
+                for arrays in _state_arrays(batch, fresh):
                     sums += _sums(arrays, tree, shape[1:])
                     lost += _loss(arrays) if measure else 0
             for k in range(shape[0]):
