@@ -222,7 +222,7 @@ def progressive_ablation(pack: Pack, rows: DataFrame, y: str, order: list[str])
 
 def impurity_importance(spark: SparkSession, pack: Pack) -> DataFrame:
     """(feature, importance) of a tree model; one row per feature."""
-    values = pack.model.stages[-1].featureImportances.toArray()
+    values = pack.model.importances() if isinstance(pack.model, trees.Forest) else pack.model.stages[-1].featureImportances.toArray()
     return annotate_features(spark.createDataFrame([(f, float(v)) for f, v in zip(pack.features, values, strict=True)], "feature string, importance double"))
 
 
@@ -262,6 +262,8 @@ def load_pack(spark: SparkSession, paths: list[str]) -> Pack:
         except AnalysisException:  # no such folder
             continue
         loaders = {"gbt": trees.Boosted, "extra": trees.ExtraTrees}
+        if row["kind"] == "rf" and not spark.read.format("binaryFile").load(f"{path}/model/*/*").where(F.col("path").contains("/model/nodes/")).isEmpty():
+            loaders["rf"] = trees.Forest
         model = loaders[row["kind"]].load(spark, f"{path}/model") if row["kind"] in loaders else PipelineModel.load(f"{path}/model")
         return Pack(model, row["features"], row["threshold"], row["kind"], row["seed"])
     raise FileNotFoundError(f"no pack at {paths}")

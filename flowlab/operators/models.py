@@ -27,6 +27,17 @@ def balanced_weights(df: DataFrame, y: str) -> DataFrame:
     return df.join(F.broadcast(counts.crossJoin(total)), y).withColumn("weight", F.col("__n") / (2.0 * F.col("__c"))).drop("__c", "__n")  # two classes
 
 
+class CountedForest(RandomForestClassifier):
+    """The forest, fitted on distinct binned rows with their counts (``trees.random_forest``) where these are few enough for a task, else by its own rounds over all rows."""
+
+    features: list[str] = []
+
+    def _fit(self, dataset: DataFrame):
+        own = lambda name: self.getOrDefault(name)
+        made = trees.random_forest(dataset, self.features, own("labelCol"), own("weightCol"), own("numTrees"), own("maxDepth"), own("maxBins"), own("seed")) if self.features else None
+        return super()._fit(dataset) if made is None else made
+
+
 def candidate(kind: str, features: list[str], y: str, seed: int, size: int | None = None, centre: bool = False) -> Pipeline:
     """A pipeline for the forest or the linear model: imputation by the median, assembly, scaling for the linear model (with ``centre`` about the mean), and the
     classifier. ``size``: trees or iterations. The forest keeps each row's node between levels, so no task carries the forest."""
@@ -34,7 +45,9 @@ def candidate(kind: str, features: list[str], y: str, seed: int, size: int | Non
     steps = [Imputer(inputCols=features, outputCols=filled, strategy="median", relativeError=1e-4), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep")]
     common = {"labelCol": y, "weightCol": "weight", "featuresCol": "raw"}
     if kind == "rf":
-        steps.append(RandomForestClassifier(numTrees=size or 200, maxDepth=20, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **common))
+        forest = CountedForest(numTrees=size or 200, maxDepth=20, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024, **common)
+        forest.features = list(features)
+        steps.append(forest)
     else:
         steps += [StandardScaler(inputCol="raw", outputCol="scaled", withMean=centre), LogisticRegression(maxIter=size or 100, **(common | {"featuresCol": "scaled"}))]
     return Pipeline(stages=steps)
@@ -51,7 +64,8 @@ def fit_model(train: DataFrame, kind: str, features: list[str], y: str, seed: in
     steps = candidate(kind, features, y, seed, size)
     if kind == "rf" and depth:
         steps.getStages()[-1].setMaxDepth(depth)
-    return steps.fit(rows)
+    made = steps.fit(rows)
+    return made.stages[-1] if isinstance(made.stages[-1], trees.Forest) else made
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ sums per node, so what moves depends on nodes and features, not on rows. Nodes a
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -624,3 +625,89 @@ def grow_extra(x: np.ndarray, y: np.ndarray, w: np.ndarray, root: int, depth: in
         heap = np.column_stack([2 * heap[split], 2 * heap[split] + 1]).ravel()
         level += 1
     return tuple(np.concatenate(c) for c in out)
+
+
+# Random forest
+
+
+@dataclass(frozen=True)
+class Forest(ExtraTrees):
+    """Nodes as of extra trees, and gain: the weighted Gini decrease of each split."""
+
+    def importances(self) -> list[float]:
+        """Each feature's share of the decrease, a tree's shares adding up to one before the trees are averaged."""
+        sums = self.nodes.where("feature >= 0").groupBy("tree", "feature").agg(F.sum("gain").alias("g"))
+        share = sums.join(sums.groupBy("tree").agg(F.sum("g").alias("all")), "tree").groupBy("feature").agg(F.sum(F.col("g") / F.col("all")).alias("s"))
+        found = {r["feature"]: r["s"] for r in share.collect()}  # a row per feature
+        total = sum(found.values()) or 1.0
+        return [found.get(k, 0.0) / total for k in range(len(self.features))]
+
+
+def random_forest(rows: DataFrame, features: list[str], y: str, weight: str, trees: int, depth: int, bins: int = 32, seed: int = 104, local: int = 200_000) -> Forest | None:
+    """A forest on all rows, of bootstrapped trees that take the best of the bins' cuts in a random root of the features at every node. Rows are binned and counted by ``units``;
+    a unit's draws for a tree are Poisson of its count, as the sum of its rows' draws is. Each tree is grown in a task of its own. None where the rows are over ``local``
+    units, which are too many for a task."""
+    fill = medians(rows, features)
+    names = [f"__x{k}" for k in range(len(features))]
+    plain = written(rows.select(*_filled(features, fill), F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w")), "forest")
+    cuts = _quantile_cuts(plain, names, bins)
+    table = written(units(plain, names, cuts, ["y", "w"]), "units")
+    if table.count() > local:
+        return None
+    spark, tried = rows.sparkSession, math.ceil(len(features) ** 0.5)
+    every = table.orderBy(*table.columns).toPandas()  # of ``local`` rows at most
+    given = spark.sparkContext.broadcast((every[[f"b{k}" for k in range(len(features))]].to_numpy(np.int64), *(every[c].to_numpy(float) for c in ("y", "w", "n"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                node, feature, cut, p, gain = grow_forest(*given.value, depth, tried, np.random.default_rng([seed, t]))
+                at = np.array([cuts[f][b] if f >= 0 else 0.0 for f, b in zip(feature.tolist(), cut.tolist(), strict=True)], float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t, np.int32)), pa.array(node), pa.array(feature.astype(np.int32)), pa.array(at), pa.array(p), pa.array(gain)], names=["tree", "node", "feature", "cut", "p", "gain"])
+
+    grown = spark.range(0, trees if len(every) else 0, 1, trees).mapInArrow(run, "tree int, node long, feature int, cut double, p double, gain double")
+    return Forest(list(features), fill, written(grown, "forest"), trees)
+
+
+def grow_forest(bins: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray, depth: int, tried: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """(node, feature, bin up to which units go left, p, gain) of a tree on a bootstrap of the units: all nodes of a level are split at once."""
+    drawn = rng.poisson(n)
+    if not drawn.any():
+        drawn = n.astype(np.int64)  # the draws of one row may all be none
+    bins, y, w, drawn = (a[drawn > 0] for a in (bins, y, w, drawn))
+    w, width, out = w * drawn, 1 + int(bins.max(initial=0)), [[], [], [], [], []]
+    p_, heap, at, level = w * y, np.array([1], np.int64), np.zeros(len(y), np.int64), 0
+    while len(heap):
+        order = np.argsort(at, kind="stable")
+        bins, w, p_, drawn, at = bins[order], w[order], p_[order], drawn[order], at[order]
+        starts, every = np.searchsorted(at, np.arange(len(heap))), np.arange(len(heap))
+        all_n, all_p, all_w = (np.bincount(at, v, len(heap)) for v in (drawn, p_, w))
+        low, high = np.minimum.reduceat(bins, starts), np.maximum.reduceat(bins, starts)
+        feature, cut, best = np.full(len(heap), -1), np.zeros(len(heap), np.int64), 1e-12 * all_w
+        able = (all_p > 0) & (all_p < all_w) & (level < depth)
+        draw = np.where((low < high) & able[:, None], rng.random(low.shape), np.inf)
+        choice = np.argsort(draw, 1)[:, :tried]
+        parent = (all_p**2 + (all_w - all_p) ** 2) / all_w
+        for k in range(choice.shape[1]):
+            f = choice[:, k]
+            own = np.flatnonzero(np.isfinite(draw[every, f])[at])
+            cell = at[own] * width + bins[own, f[at[own]]]
+            ln, lp, lw = (np.bincount(cell, v[own], len(heap) * width).reshape(-1, width).cumsum(1) for v in (drawn, p_, w))
+            rp, rw = all_p[:, None] - lp, all_w[:, None] - lw
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = (lp**2 + (lw - lp) ** 2) / lw + (rp**2 + (rw - rp) ** 2) / rw - parent[:, None]
+            gain = np.where((ln > 0) & (ln < all_n[:, None]) & (lw > 0) & (rw > 0), gain, -np.inf)
+            b = gain.argmax(1)
+            ok = gain[every, b] > best
+            feature[ok], cut[ok], best[ok] = f[ok], b[ok], gain[every, b][ok]
+        split = feature >= 0
+        share = np.divide(all_p, all_w, out=np.zeros(len(heap)), where=all_w > 0)
+        for column, v in zip(out, (heap, feature, cut, np.where(split, 0.0, share), np.where(split, best, 0.0)), strict=True):
+            column.append(v)
+        place = np.where(split, 2 * (np.cumsum(split) - 1), -1)
+        stays = split[at]
+        bins, w, p_, drawn, at = bins[stays], w[stays], p_[stays], drawn[stays], at[stays]
+        at = place[at] + (bins[np.arange(len(at)), feature[at]] > cut[at])
+        heap = np.column_stack([2 * heap[split], 2 * heap[split] + 1]).ravel()
+        level += 1
+    return tuple(np.concatenate(c) for c in out)
