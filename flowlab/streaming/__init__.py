@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,31 +63,32 @@ def run_to_end(out: DataFrame, path: str, state: str) -> dict[str, int]:
 CACHED = ("samples", "last_us", "part_id", "first_us", "bytes_sent", "bytes_recv")
 
 
-def flow_state(flows: DataFrame, ttl_s: int = 3600, delay: str = "10 seconds") -> DataFrame:
+def flow_state(flows: DataFrame, ttl_s: int = 3600, delay: str = "10 seconds", buckets: int = 1024) -> DataFrame:
     """The flow cache on a stream: per 5-tuple the partial with most samples (then the latest), given out when it changes (``expired`` false)
     and once more when event time has passed its last packet by ``ttl_s`` (``expired`` true), after which it is forgotten. The expiry per key bounds
-    the state where a batch keeps the newest keys."""
-    rows = flows.withColumn("at", F.timestamp_micros("last_us")).withWatermark("at", delay)
+    the state where a batch keeps the newest keys. Keys lie in ``buckets`` by their hash, a bucket's as one table, so a call of Python serves many of them."""
+    rows = flows.withColumn("at", F.timestamp_micros("last_us")).withWatermark("at", delay).withColumn("bucket", F.pmod(F.xxhash64(*TUPLE), F.lit(buckets)))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in flows.select(*TUPLE).schema)}, {', '.join(f'{c} long' for c in CACHED)}, expired boolean"
+    columns = [*TUPLE, *CACHED]
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def out(best: tuple, expired: bool) -> pd.DataFrame:
-            return pd.DataFrame([(*key, *best, expired)], columns=[*TUPLE, *CACHED, "expired"])
-
+        have = pickle.loads(state.get[0]) if state.exists else None  # noqa: S301 (our own state)
         if state.hasTimedOut:
-            yield out(state.get, True)
+            due = have["last_us"] // 1000 + ttl_s * 1000 < state.getCurrentWatermarkMs()
+            yield have[due].assign(expired=True)
+            have = have[~due]
+        else:
+            parts = [f[columns].assign(fresh=True) for f in frames]
+            every = pd.concat(([] if have is None else [have.assign(fresh=False)]) + parts, ignore_index=True)
+            # Of a key's rows the greatest; an equal one that was there before stays, as nothing has changed.
+            best = every.sort_values([*CACHED, "fresh"], ascending=[False] * len(CACHED) + [True]).drop_duplicates(TUPLE)
+            have = best[columns]
+            yield best.loc[best["fresh"], columns].assign(expired=False)
+        if len(have):
+            state.update((pickle.dumps(have),))
+            state.setTimeoutTimestamp(max(int(have["last_us"].min()) // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
+        else:
             state.remove()
-            return
-        before = state.get if state.exists else None
-        best = before
-        for f in frames:
-            top = f.sort_values(list(CACHED[:3]), ascending=False)[list(CACHED)].iloc[0]
-            now = tuple(int(v) for v in top)
-            best = now if best is None else max(best, now)
-        state.update(best)
-        state.setTimeoutTimestamp(max(best[1] // 1000 + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
-        if best != before:
-            yield out(best, False)
-
-    grouped = rows.select(*TUPLE, *CACHED, "at").groupBy(*TUPLE)
-    return grouped.applyInPandasWithState(keep, schema, ", ".join(f"{c} long" for c in CACHED), "append", GroupStateTimeout.EventTimeTimeout)
+
+    grouped = rows.select("bucket", *TUPLE, *CACHED, "at").groupBy("bucket")
+    return grouped.applyInPandasWithState(keep, schema, "cache binary", "append", GroupStateTimeout.EventTimeTimeout)
