@@ -90,8 +90,8 @@ def evaluate_pack(pack: Pack, rows: DataFrame, y: str, roles: tuple[str, str] =
 
 
 def rank_candidates(rows: DataFrame, kinds: list[str], features: list[str], y: str, seed: int = 104, size: int | None = None) -> tuple[DataFrame, dict[str, Pack]]:
-    """The leaderboard, best first, and the fitted packs by name."""
-    packs = dict(zip(kinds, side_by_side([lambda kind=kind: fit(rows, kind, features, y, seed, size) for kind in kinds]), strict=True))
+    """The leaderboard, best first, and the fitted packs by name. The fits run one after another, as each ensemble fills the cluster."""
+    packs = {kind: fit(rows, kind, features, y, seed, size) for kind in kinds}
     board = report([evaluate_pack(p, rows, y).withColumn("model", F.lit(k)) for k, p in packs.items()])
     return leaderboard(board), packs
 
