@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a task that sorts.
+SORTED = 250_000
+
+
+def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``n`` rows dealt by their keys over as many tasks as keep each at ``SORTED``; fewer than the session's shuffles have are left to it."""
+    parts = -(-n // SORTED)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def label_expand(labels: DataFrame) -> DataFrame:
     """Forward and reversed keys of every label, in one scan."""
     key = lambda a, b, c, d: F.concat_ws("|", *[F.col(x).cast("string") for x in (a, b, c, d, "proto_num")])
@@ -30,7 +40,8 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: str, left_time: str, rig
     probes = left.select(F.col(by).alias("__k"), bin_of(left_time).alias("__b"), F.col(left_time).alias("__t"), F.lit(1).alias("__probe"), F.lit(None).cast("long").alias("__o"), F.struct(*cols).alias("__l"))
     near = F.explode(F.array(*[bin_of(right_time) + d for d in (-1, 0, 1)]))
     events = right.where(F.col(right_time).isNotNull()).select(F.col(by).alias("__k"), near.alias("__b"), F.col(right_time).alias("__t"), F.lit(0).alias("__probe"), F.col(right_order).cast("long").alias("__o"), payload.alias("__m"))
-    all_rows = probes.unionByName(events, allowMissingColumns=True)
+    n = left.count() + 3 * right.count()
+    all_rows = spread(probes.unionByName(events, allowMissingColumns=True), n, "__k", "__b")
     part = Window.partitionBy("__k", "__b")
     back = part.orderBy("__t", "__probe", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Forward: the last of the rows with the next time, hence descending time, ascending order, read from behind.
@@ -53,7 +64,7 @@ def label_two_pass(flows: DataFrame, labels: DataFrame, by: str, tolerance: int,
     probes = flows.select(flow_id, by, F.explode(F.array(F.struct(F.lit(0).alias("pass"), (F.col(start) - off).alias("at")), F.struct(F.lit(1).alias("pass"), (F.col(end) - off).alias("at")))).alias("p")).select(flow_id, by, "p.pass", "p.at")
     got = asof_nearest(probes, labels, by, "at", label_time, tolerance, label_order, ["label_family"], flow_id)
     ranked = F.struct(rank_of(F.col("m_label_family")).alias("r"), (-F.col("pass")).alias("first"), F.col("m_label_family"))
-    return got.groupBy(flow_id).agg(F.max(ranked).alias("b")).select(flow_id, F.coalesce("b.m_label_family", F.lit("Unknown")).alias("label_family"))
+    return spread(got, 2 * flows.count(), flow_id).groupBy(flow_id).agg(F.max(ranked).alias("b")).select(flow_id, F.coalesce("b.m_label_family", F.lit("Unknown")).alias("label_family"))
 
 
 def label_offset(run: DataFrame, labels: DataFrame, start: str = "start_us", label_time: str = "ts_us") -> DataFrame:
@@ -83,11 +94,12 @@ def label_stats(labelled: DataFrame) -> DataFrame:
 
 
 def parse_ts_vote(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Adds ts: the text read day first or month first, whichever parses more rows of a file (a tie: day first)."""
+    """Adds ts: the text read day first or month first, whichever parses more rows of a file (a tie: day first).
+    The votes are a row per file and go to the rows, so a file's rows never meet in one task."""
     read = lambda order: F.coalesce(*[F.try_to_timestamp(F.trim(F.col(col)), F.lit(f"{order} H:m{s}")) for s in (":s", "")])
     both = df.withColumn("__d", read("d/M/y")).withColumn("__m", read("M/d/y"))
     votes = both.groupBy(by).agg((F.count("__m") > F.count("__d")).alias("__month"))
-    return both.join(votes, by).withColumn("ts", F.when(F.col("__month"), F.col("__m")).otherwise(F.col("__d"))).drop("__d", "__m", "__month")
+    return both.join(F.broadcast(votes), by).withColumn("ts", F.when(F.col("__month"), F.col("__m")).otherwise(F.col("__d"))).drop("__d", "__m", "__month")
 
 
 def fix_hours(df: DataFrame, by: str, ts: str = "ts", share: float = 0.03) -> DataFrame:
@@ -97,4 +109,4 @@ def fix_hours(df: DataFrame, by: str, ts: str = "ts", share: float = 0.03) -> Da
     seen = df.groupBy(by).agg(F.percentile(F.hour(ts), 0.5).alias("__median"), F.avg(early.cast("double")).alias("__early"))
     name = F.lower(F.col(by))
     add = (name.contains("afternoon") & (F.col("__median") < 12)) | (name.contains("workinghours") & early & (F.col("__early") >= share))
-    return df.join(seen, by).withColumn(ts, F.when(add, F.col(ts) + F.expr("interval 12 hours")).otherwise(F.col(ts))).drop("__median", "__early")
+    return df.join(F.broadcast(seen), by).withColumn(ts, F.when(add, F.col(ts) + F.expr("interval 12 hours")).otherwise(F.col(ts))).drop("__median", "__early")
