@@ -15,6 +15,8 @@ from flowlab.streaming import counters
 from flowlab.streaming.dashboard import dashboard, keep_buckets
 
 STAGES = 6
+#: Rows of a log file, which one task sorts and writes.
+FILE_ROWS = 250_000
 #: When a row comes: by its number, every 17th two stages later, behind the watermark (a batch drops what is behind the watermark of the batch before it).
 STAGE = "least(3, floor((event_id - lo) * 4 / (hi - lo + 1))) + case when event_id % 17 = 0 then 2 else 0 end"
 DELAY_S = 3600
@@ -24,6 +26,7 @@ EVENT = "event_id long, us long, user_id long, event_type string, value double"
 def grown_logs(spark: SparkSession, sf_dir: str) -> Iterator[str]:
     """A folder of JSON logs of all events, as it stands after each stage: the files of a stage are those of the one before with more lines at their ends."""
     ends = views.events(spark, sf_dir).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    parts = max(6, -(-views.events(spark, sf_dir).count() // FILE_ROWS))
     rows = views.events(spark, sf_dir).crossJoin(F.broadcast(ends)).withColumn("us", F.expr(EPOCH)).withColumn("stage", F.expr(STAGE).cast("int"))  # one row
     lines = rows.select("stage", "event_id", F.to_json(F.struct("event_id", "us", "user_id", "event_type", "value")).alias("line"))
     logs, path = new_path(spark, "logs"), spark._jvm.org.apache.hadoop.fs.Path
@@ -31,7 +34,7 @@ def grown_logs(spark: SparkSession, sf_dir: str) -> Iterator[str]:
     files.mkdirs(path(logs))
     for stage in range(STAGES):
         written = new_path(spark, "grown")
-        lines.where(F.col("stage") <= stage).repartition(6, "event_id").sortWithinPartitions("stage", "event_id").select("line").write.text(written)
+        lines.where(F.col("stage") <= stage).repartition(parts, "event_id").sortWithinPartitions("stage", "event_id").select("line").write.text(written)
         for status in files.listStatus(path(written)):  # a few names
             name = status.getPath().getName()
             if name.startswith("part-"):
