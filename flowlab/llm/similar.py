@@ -3,9 +3,10 @@
 A text is the set of the XXH64 of its shingles, each once however often it repeats, and the SimHash fingerprint of that set. Fingerprints of three bits'
 distance can be brought together by their blocks; at 0.8 some 90 of 512 bits differ, and bands of bits that catch such pairs would be hundreds a text and
 grow with the corpus. So MinHash bands of the same sets (their number depends on the similarity alone) make the postings.
-In them pairs are discarded by their fingerprints: every member against the least and the greatest one by joins, and what that leaves in
-several components in blocks, where a table of Hamming distances to reference members is built once and a pair whose coordinates differ by more than the
-limit anywhere goes at once (triangle inequality). What survives the bits links only if its two sets have the similarity, counted on the sets.
+Postings with the same members are one. Each gets a table, built once: every member's Hamming distances to the posting's reference members. All pairs pass
+it: one whose coordinates differ by more than the limit anywhere goes at once (triangle inequality). First every member meets the least and the greatest
+one, which are references, so that the coordinate is the distance itself; what that leaves in several components meets in blocks, where the bits verify
+what the table lets through. Pairs link only if their two sets have the similarity, counted on the sets.
 Sets of fewer than ``FEW`` shingles, whose bits say little, pass the fingerprints and are counted all the same.
 """
 
@@ -33,8 +34,10 @@ BLOCK = 1 << 18
 FEW = 16
 #: Nodes that meet others, up to which their names are broadcast (16 bytes each), so that no sets move but theirs.
 NAMED = 4_000_000
-#: Members of a block that its distance table refers to.
+#: Members of a posting that its distance table refers to.
 REFERENCES = 8
+#: The least member after mixing by each of these is a reference: the first two give the least and the greatest one.
+PICKS = [0, -1, *np.random.default_rng(SEED).integers(-(1 << 63), (1 << 63) - 1, REFERENCES - 2).tolist()]
 PRINT = [f"f{k}" for k in range(LONG_BITS // 64)]
 
 
@@ -83,12 +86,29 @@ def shingle_rows(docs: DataFrame, width: int, bands: int, id_col: str, text_col:
     return map_texts(rows, "key", "text", f"node long, shingles array<long>, fp struct<{', '.join(f'{f}: long' for f in PRINT)}>, keys array<long>", hashed)
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """The pairs (u, v) whose fingerprints differ in ``most`` bits at most, or of which one set is too small for them. Only fingerprints move."""
-    prints = sets.select("node", "fp", F.size("shingles").alias("n"))
-    both = pairs.join(prints.toDF("u", "a", "na"), "u").join(prints.toDF("v", "b", "nb"), "v")
-    apart = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in PRINT[1:]), F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))))
-    return both.where((F.least("na", "nb") < FEW) | (apart <= most)).select("u", "v")
+def distance_table(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, node, n, weight, ends, table) of every member (key, node, n; n: the posting's members): its set's size, the posting's least and greatest member
+    (node, weight), and the Hamming distances of its fingerprint to those of the posting's references, these two first.
+
+    Up to three members need no other references. Only fingerprints move, and of a posting of any size a bounded number of references."""
+    prints = sets.select("node", F.size("shingles").alias("weight"), "fp")
+    mixed = members.groupBy("key").agg(F.first("n").alias("n"), *[F.min(F.col("node").bitwiseXOR(F.lit(p))).alias(f"p{k}") for k, p in enumerate(PICKS)])
+    picked = [F.col(f"p{k}").bitwiseXOR(F.lit(p)) for k, p in enumerate(PICKS)]
+    chosen = F.when(F.col("n") > 3, F.array_distinct(F.array(*picked))).otherwise(F.array(*picked[:2]))
+    placed = mixed.select("key", F.posexplode(chosen).alias("at", "node")).join(prints, "node")
+    refs = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "node", "weight", "fp"))).alias("refs"))
+    apart = lambda r: sum((F.bit_count(r["fp"][f].bitwiseXOR(F.col(f"fp.{f}"))) for f in PRINT[1:]), F.bit_count(r["fp"]["f0"].bitwiseXOR(F.col("fp.f0"))))
+    ends = F.transform(F.slice("refs", 1, 2), lambda r: F.struct(r["node"].alias("node"), r["weight"].alias("weight")))
+    return members.join(prints, "node").join(refs, "key").select("key", "node", "n", "weight", ends.alias("ends"), F.transform("refs", apart).alias("table"))
+
+
+def _near_ends(table: DataFrame, similarity: float, most: int) -> DataFrame:
+    """The pairs (u, v) of a member and its posting's least or greatest one that their coordinates there leave, the end's own being 0, or of which one set is too small
+    for fingerprints. The coordinate is the distance in bits; sets whose sizes alone rule the similarity out go too."""
+    small, great = F.least("weight", "e.weight"), F.greatest("weight", "e.weight")
+    met = table.select("node", "weight", "table", F.posexplode("ends").alias("at", "e")).where("node <> e.node")
+    near = met.where(((small < FEW) | (F.col("table")[F.col("at")] <= most)) & (small >= similarity * great * (1 - 1e-12)))
+    return near.select(F.least("node", "e.node").alias("u"), F.greatest("node", "e.node").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -99,11 +119,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.withColumn("common", common).where(F.col("common") / (F.size("a") + F.size("b") - F.col("common")) >= similarity).select("u", "v")
 
 
-def set_forest(sets: list[np.ndarray], prints: np.ndarray, root: np.ndarray, similarity: float, most: int) -> list[tuple[int, int]]:
-    """Positions of edges that, with what ``root`` connects, connect all that similar sets connect. ``prints``: a fingerprint a row, in 64-bit words."""
+def set_forest(sets: list[np.ndarray], prints: np.ndarray, table: np.ndarray, root: np.ndarray, similarity: float, most: int) -> list[tuple[int, int]]:
+    """Positions of edges that, with what ``root`` connects, connect all that similar sets connect. ``prints``: a fingerprint a row, in 64-bit words; ``table``: its
+    distances to the posting's references."""
     root, edges, sizes = root.copy(), [], np.array([len(s) for s in sets])
     bits = lambda at, i: np.bitwise_count((prints[at] ^ prints[i]).view(np.uint64)).sum(axis=1, dtype=np.int32)
-    table = np.stack([bits(np.arange(len(sets)), p) for p in range(min(len(sets), REFERENCES))], axis=1)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
     marked = np.zeros(len(flat) + 1, bool)
@@ -133,36 +153,35 @@ def set_links(rows: DataFrame, similarity: float, block: int = BLOCK) -> DataFra
     """Edges (u, v) between nodes whose sets are similar enough and share a band: enough to connect all such pairs. ``rows``: node, shingles, fp, keys."""
     most = differing_bits(similarity)
     keys = written(rows.select("node", F.explode("keys").alias("key")).distinct(), "bands")
-    ends = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(keys.join(ends, "key"), "members")
+    marks = [F.bit_xor(F.xxhash64(F.lit(SEED + k), "node")).alias(f"mark{k}") for k in range(2)]
+    postings = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1").groupBy("n", "mark0", "mark1").agg(F.min("key").alias("key")).select("key", "n")
+    members = written(keys.join(postings, "key"), "members")
     named = written(members.select("node").distinct(), "named")
     # No task of the joins below moves a set that meets nobody; beyond the bound all sets move once, to be picked.
     named = F.broadcast(named) if named.count() <= NAMED else named
     sets = rows.select("node", "shingles", "fp").join(named, "node", "left_semi").groupBy("node").agg(F.first(F.struct("shingles", "fp")).alias("x")).select("node", "x.*")
     sets = written(sets, "sets")
-    pair = F.explode(F.array(F.struct(F.least("node", "lo").alias("u"), F.greatest("node", "lo").alias("v")), F.struct(F.least("node", "hi").alias("u"), F.greatest("node", "hi").alias("v"))))
-    stars = members.select(pair.alias("p")).select("p.*").where("u <> v").distinct()
-    first = written(_verified(written(_likely(stars, sets, most), "likely"), sets, similarity), "links")
+    table = written(distance_table(members, sets), "distances")
+    first = written(_verified(written(_near_ends(table, similarity, most), "likely"), sets, similarity), "links")
 
-    # Postings of up to three members are settled now. Of the others, what is one component is, and postings with the same members are one.
+    # Postings of up to three members are settled now, and those that are one component.
     roots = components(first).withColumnRenamed("root", "to")
-    left = members.where("size > 3").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node"))
-    open_ = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("mark"))
-    chosen = open_.where("a <> b").groupBy("n", "sign", "mark").agg(F.min("key").alias("key")).select("key")
-    unsettled = written(left.join(chosen, "key").join(sets.select("node", F.size("shingles").alias("weight")), "node").select("key", "node", "root", "weight"), "unsettled")
+    left = table.where("n > 3").select("key", "node", "weight", "table").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node"))
+    chosen = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    unsettled = written(left.join(chosen, "key").select("key", "node", "root", "weight", "table"), "unsettled")
     blocks = unsettled.groupBy("key").agg(F.ceil(F.sum("weight") / block).cast("int").alias("blocks"))
     dealt = unsettled.join(blocks, "key").withColumn("blocks", F.greatest("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("node", "root", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    lists = units.join(sets, "node").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "root", "shingles", "fp")).alias("found"))
+    units = units.select("node", "root", "table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    lists = units.join(sets, "node").groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("node", "root", "shingles", "fp", "table")).alias("found"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for found in batch.column(0):
-                nodes, root, shingles, fp = (found.values.field(c) for c in ("node", "root", "shingles", "fp"))
+                nodes, root, shingles, fp, table = (found.values.field(c) for c in ("node", "root", "shingles", "fp", "table"))
                 nodes, prints = nodes.to_numpy(), np.stack([fp.field(f).to_numpy() for f in PRINT], axis=1)
-                for i, j in set_forest([s.values.to_numpy() for s in shingles], prints, root.to_numpy(), similarity, most):
+                for i, j in set_forest([s.values.to_numpy() for s in shingles], prints, table.flatten().to_numpy().reshape(len(nodes), -1), root.to_numpy(), similarity, most):
                     u.append(nodes[i])
                     v.append(nodes[j])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
