@@ -41,11 +41,11 @@ def dedup_first(flows: DataFrame, order: Column, keys: tuple[str, ...] = TUPLE)
     return flows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in flows.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
 
 
-def match(conn: DataFrame, flows: DataFrame, keys: tuple[str, ...] = TUPLE) -> DataFrame:
+def match(conn: DataFrame, flows: DataFrame, keys: tuple[str, ...] = TUPLE, best: Column | None = None) -> DataFrame:
     """Each connection with the flow of its 5-tuple, else of the reversed 5-tuple (counters as they are), else none.
 
-    ``flows`` has one row per key. Adds ebpf_ columns and match_dir (fwd, rev, none). Both directions of a 5-tuple are one key, its ends in order, so flows and connections
-    are shuffled once: a key's flows, two at most, become one row with either direction's values, and one left join on columns brings them to the connections."""
+    ``flows`` has one row per key, or ``best`` (a struct that no two rows of a key share) says which of a key's rows counts: the greatest. Adds ebpf_ columns and match_dir (fwd, rev, none). Both directions of a 5-tuple are one key, its ends in order, so flows and connections
+    are shuffled once: a key's flows become one row with either direction's values, and one left join on columns brings them to the connections."""
     values = [c for c in flows.columns if c not in keys]
     ends = lambda a, b, p, q: (F.struct(F.col(a).alias("h"), F.col(p).cast("long").alias("p")), F.struct(F.col(b).alias("h"), F.col(q).cast("long").alias("p")))
 
@@ -57,8 +57,8 @@ def match(conn: DataFrame, flows: DataFrame, keys: tuple[str, ...] = TUPLE) -> D
     names = ["__h", "__p", "__g", "__q", "__t"]
     cols, way = keyed(flows, keys[0], keys[1], keys[2], keys[3], keys[4])
     complete = flows.where(" and ".join(f"`{k}` is not null" for k in keys))
-    side = lambda is_way: F.max(F.when(F.col("__way") == is_way, F.struct(*values)))
-    both = complete.select(*cols, way.alias("__way"), *values).groupBy(*names).agg(side(True).alias("__a"), side(False).alias("__b"))
+    side = lambda is_way: F.max_by(F.struct(*values), F.when(F.col("__way") == is_way, F.col("__best")))
+    both = complete.select(*cols, way.alias("__way"), (F.struct(*values) if best is None else best).alias("__best"), *values).groupBy(*names).agg(side(True).alias("__a"), side(False).alias("__b"))
     own, way = keyed(conn, FORWARD[0], FORWARD[1], FORWARD[2], FORWARD[3], FORWARD[4])
     whole = F.lit(True)
     for c in FORWARD:
@@ -71,7 +71,7 @@ def match(conn: DataFrame, flows: DataFrame, keys: tuple[str, ...] = TUPLE) -> D
 
 
 def match_live(conn: DataFrame, flows: DataFrame, order: Column) -> DataFrame:
-    return match(conn, dedup_max(flows, order))
+    return match(conn, flows, best=order)
 
 
 def match_replay(conn: DataFrame, flows: DataFrame, order: Column) -> DataFrame:

@@ -59,6 +59,16 @@ def summary(scored: DataFrame, y: str, threshold: float, by: tuple[str, ...] = (
     )
 
 
+def rates(scored: DataFrame, y: str, threshold: float) -> DataFrame:
+    """Of ``summary`` the rates at a threshold, which need no ranking: one pass over the rows."""
+    flagged = F.col("score") >= threshold
+    count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    sums = scored.where(F.col("score").isNotNull()).select(y, "score").withColumn("__p", F.coalesce(F.col(y) == 1, F.lit(False)))
+    p, n = F.col("__p"), ~F.col("__p")
+    hit, false, pos, neg = count(flagged & p), count(flagged & n), count(p), count(n)
+    return sums.agg(evaluate.ratio(2.0 * hit, hit + false + pos).alias("f1"), evaluate.ratio(hit, pos).alias("recall"), evaluate.ratio(hit, hit + false).alias("precision"), evaluate.ratio(false, neg).alias("fpr"))
+
+
 #: Fits that run at the same time: their jobs are many and short, so one after another they mostly wait.
 TOGETHER = 4
 
@@ -106,11 +116,11 @@ def matched_recall(packs: dict[str, Pack], rows: DataFrame, y: str, test: str =
     the rates on test."""
     val = rows.where("role = 'val'")
     scored = {name: score(p, val) for name, p in packs.items()}
-    target = min(summary(s, y, packs[name].threshold).first()["recall"] for name, s in scored.items())
+    target = min(rates(s, y, packs[name].threshold).first()["recall"] for name, s in scored.items())
     out = []
     for name, p in packs.items():
         cut = evaluate.select_threshold(scored[name], y, "score", "recall", target).first()["threshold"]
-        got = summary(score(p, rows.where(F.col("role") == test)), y, cut)
+        got = rates(score(p, rows.where(F.col("role") == test)), y, cut)
         out.append(got.select(F.lit(name).alias("model"), F.lit(target).alias("target_recall"), F.lit(float(cut)).alias("threshold"), "recall", "precision", "fpr", "f1"))
     return report(out)
 

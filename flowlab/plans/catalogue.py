@@ -59,8 +59,8 @@ STATS = """count(*) as total, count(*) filter (where match_dir <> 'none') as enr
  round(100.0 * count(*) filter (where match_dir <> 'none') / count(*), 6) as enriched_pct, coalesce(sum(ebpf_bytes_sent), 0) as bytes_sent, coalesce(sum(ebpf_bytes_recv), 0) as bytes_recv"""
 
 
-def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.in_window(enrich.match_live(views.flows(spark, sf_dir), views.kernel(spark, sf_dir), F.struct(*BEST)), SLOP)
+def live(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return enrich.in_window(enrich.match_live(views.flows(spark, sf_dir, events), views.kernel(spark, sf_dir, events), F.struct(*BEST)), SLOP)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,9 @@ Y, ROW, FAMILY = "is_attack", "flow_id", "label_family"
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connections with kernel counters and a role by day."""
+    """Connections with kernel counters and a role by day. The events are dealt by id first: a file of one row group is one task, which would do the map side for all."""
     role = F.when(F.col("day_ix") < 3, "train").when(F.col("day_ix") == 3, "val").otherwise("test")
-    return written(live(spark, sf_dir).withColumn("role", role).select(ROW, FAMILY, Y, "role", *CORE, *KERNEL), "enriched")
+    return written(live(spark, sf_dir, views.events(spark, sf_dir).repartition(3 * spark.sparkContext.defaultParallelism, "event_id")).withColumn("role", role).select(ROW, FAMILY, Y, "role", *CORE, *KERNEL), "enriched")
 
 
 def pack(spark: SparkSession, sf_dir: str, kind: str = "logreg") -> tuple[experiments.Pack, DataFrame]:
