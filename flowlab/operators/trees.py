@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -94,11 +95,12 @@ def _binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 
 def _walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The heap number of the leaf that each row comes to."""
-    node, going = np.ones(len(bins), np.int64), np.arange(len(bins))
+    node, going, flat = np.ones(len(bins), np.int64), np.arange(len(bins)), np.ascontiguousarray(bins).ravel()
     while len(going):
-        going = going[feature[node[going]] >= 0]
         at = node[going]
-        node[going] = 2 * at + (bins[going, feature[at]] > cut[at])
+        inner = feature[at] >= 0
+        going, at = going[inner], at[inner]
+        node[going] = 2 * at + (flat[going * bins.shape[1] + feature[at]] > cut[at])
     return node
 
 
@@ -116,7 +118,7 @@ def _quantile_cuts(rows: DataFrame, names: list[str], bins: int) -> list[np.ndar
     return [np.array(sorted({v for v in row[n] or [] if v < row[f"{n}_max"]})) for n in names]
 
 
-def boost(rows: DataFrame, features: list[str], y: str, weight: str = "weight", rounds: int = 300, depth: int = 8, rate: float = 0.05, leaves: int = 31, least: int = 20, bins: int = 255, held_out: float = 0.1, patience: int = 20, seed: int = 104, local: int = 200_000) -> Boosted:
+def boost(rows: DataFrame, features: list[str], y: str, weight: str = "weight", rounds: int = 300, depth: int = 8, rate: float = 0.05, leaves: int = 31, least: int = 20, bins: int = 255, held_out: float = 0.1, patience: int = 20, seed: int = 104, local: int = 1_000_000) -> Boosted:
     """Gradient boosting of the logistic loss. Features are cut into bins once; each level is one pass that adds up gradients and hessians per (node, feature, bin) over all
     rows, exchanged by node, where the best cut is found. Trees grow to ``depth``; of their splits those stay that a growth by greatest gain to ``leaves`` leaves would
     make, with ``least`` rows a leaf. A share ``held_out`` of the rows (by a hash of the row) only measures the loss; growth ends when ``patience`` rounds bring no lower
@@ -137,10 +139,10 @@ def boost(rows: DataFrame, features: list[str], y: str, weight: str = "weight",
         return Boosted(list(features), fill, cuts, float(np.log(share / (1 - share))), [])
     base = float(np.log(first["p"] / (first["w"] - first["p"])))
     table = written(units(plain, names, cuts, ["y", "w", "held"]), "units")
-    state = written(_blocks(table, len(features), base), "boost")
+    state = _blocks(table.repartition(_slots(rows.sparkSession)), len(features), base)
     shape = (len(features), 1 + max((len(c) for c in cuts), default=0))
     rule = _Rule(rounds, depth, rate, leaves, least, patience)
-    trees, losses = _in_one_task(state, shape, rule) if table.count() <= local else _rounds(_Passes(state, shape), rule)
+    trees, losses = _in_one_task(state, shape, rule) if table.count() <= local else _by_passes(state, shape, rule)
     return Boosted(list(features), fill, cuts, base, trees, losses)
 
 
@@ -188,58 +190,75 @@ def units(plain: DataFrame, names: list[str], cuts: list[np.ndarray], keys: list
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows or units whose columns travel as one array each.
+BLOCK = 1 << 16
 STATE = "block long, bins binary, y binary, w binary, held binary, margin binary, n binary"
 
 
 def _blocks(table: DataFrame, features: int, base: float) -> DataFrame:
-    """Units a batch at a time, each column as the bytes of one array, so that a pass has them without taking rows apart."""
+    """Units many at a time, each column as the bytes of one array, so that a pass has them without taking rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bins = np.column_stack([batch.column(k).to_numpy() for k in range(features)]).astype(np.uint16)
-                y, w, held, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held", "n"))
-                yield _block([bins, y.astype(float), w.astype(float), held.astype(bool), np.full(len(y), base), n.astype(float)])
+        for batch in _gathered(batches, BLOCK):
+            bins = np.column_stack([batch.column(k).to_numpy() for k in range(features)]).astype(np.uint16)
+            y, w, held, n = (batch.column(c).to_numpy() for c in ("y", "w", "held", "n"))
+            yield _block([bins, y.astype(float), w.astype(float), held.astype(bool), np.full(len(y), base), n.astype(float)])
 
     return table.mapInArrow(run, STATE)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of a task's batches in tables of about ``rows``."""
+    have: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            have.append(batch)
+        if sum(b.num_rows for b in have) >= rows:
+            yield pa.Table.from_batches(have)
+            have = []
+    if have:
+        yield pa.Table.from_batches(have)
+
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that the cluster runs at a time."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 def _block(arrays: list[np.ndarray]) -> pa.RecordBatch:
     data = [np.ascontiguousarray(a).tobytes() for a in arrays]
     name = int.from_bytes(hashlib.md5(data[0] + data[1] + data[2] + data[3] + data[5]).digest()[:7])
     return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([d], pa.binary()) for d in data)], names=[c.split()[0] for c in STATE.split(", ")])
 
 
-def _state_arrays(batch: pa.RecordBatch, fresh: list) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of each block: bins, y, w, held, margin, n."""
-    for k in range(batch.num_rows):
-        bins, y, w, held, margin, n = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in enumerate((np.uint16, float, float, bool, float, float), 1))
-        bins = bins.reshape(len(y), -1).astype(np.int32)
-        yield bins, y, w, held, margin + _margin(bins, fresh), n
-
-
-def _with_margins(state: DataFrame, fresh: list) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for arrays in _state_arrays(batch, fresh):
-                yield _block([arrays[0].astype(np.uint16), *arrays[1:]])
-
-    return state.mapInArrow(run, state.schema)
+def _state_arrays(row: tuple) -> tuple[np.ndarray, ...]:
+    """Of a block: bins, y, w, held, margin, n."""
+    bins, *others = (np.frombuffer(data, t) for data, t in zip(row[1:], (np.uint16, float, float, bool, float, float), strict=True))
+    return bins.reshape(len(others[0]), -1).astype(np.int32), *others
 
 
 def _sums(arrays: tuple[np.ndarray, ...], tree: _Growing, shape: tuple[int, int]) -> np.ndarray:
     """(3, open nodes, features, bins): sums of gradients, hessians and rows."""
     bins, y, w, held, margin, n = arrays
-    bins, y, w, p, n = bins[~held], y[~held], (w * n)[~held], _sigmoid(margin[~held]), n[~held]
-    open_nodes, (n_features, width) = np.array(tree.open), shape
-    node = _walk(bins, tree.feature, tree.cut)
-    slot = np.searchsorted(open_nodes, node)
-    slot[slot == len(open_nodes)] = 0
-    own = np.flatnonzero(open_nodes[slot] == node)
-    cell = ((slot[own, None] * n_features + np.arange(n_features)) * width + bins[own]).ravel()
-    g, h = w[own] * (p[own] - y[own]), w[own] * p[own] * (1 - p[own])
-    size = len(open_nodes) * n_features * width
-    return np.stack([np.bincount(cell, np.repeat(v, n_features), size) for v in (g, h, n[own])]).reshape(3, len(open_nodes), n_features, width)
+    bins, g, h, n = _gradients(bins[~held], y[~held], w[~held], margin[~held], n[~held])
+    slot = tree.slots()[_walk(bins, tree.feature, tree.cut)]
+    own = np.flatnonzero(slot >= 0)
+    return _histograms(bins[own].T, slot[own], (g[own], h[own], n[own]), len(tree.open), shape)
+
+
+def _gradients(bins: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    p = _sigmoid(margin)
+    return bins, w * n * (p - y), w * n * p * (1 - p), n
+
+
+def _histograms(columns: list[np.ndarray] | np.ndarray, slot: np.ndarray, values: tuple, nodes: int, shape: tuple[int, int]) -> np.ndarray:
+    """(values, nodes, features, bins): sums of the values by node and bin, a feature at a time."""
+    out, first = np.empty((len(values), nodes, *shape)), slot * shape[1]
+    for f, bins in enumerate(columns):
+        cell = first + bins
+        for k, v in enumerate(values):
+            out[k, :, f] = np.bincount(cell, v, nodes * shape[1]).reshape(nodes, shape[1])
+    return out
 
 
 def _loss(arrays: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -262,16 +281,27 @@ def _best_cut(sums: np.ndarray, least: int) -> tuple:
     return (f_, int(b), float(gain[f, b]) if f_ >= 0 else 0.0, *(float(x[f, b]) for x in (g, h, n)), *map(float, every))
 
 
-@dataclass
 class _Held:
-    """All units in one task."""
+    """All units in one task. Within a tree the units' gradients and nodes are kept from level to level."""
 
-    arrays: tuple[np.ndarray, ...]
-    shape: tuple[int, int]
+    def __init__(self, arrays: tuple[np.ndarray, ...], shape: tuple[int, int]) -> None:
+        self.arrays, self.shape, self.train = arrays, shape, np.flatnonzero(~arrays[3])
+        self.bins = np.ascontiguousarray(arrays[0][self.train])
+        self.columns = [self.bins[:, f].astype(np.int64) for f in range(shape[0])]
 
     def level(self, tree: _Growing, measure: bool) -> tuple[list, float | None]:
-        loss = _loss(self.arrays) if measure else (0, 0)
-        sums = _sums(self.arrays, tree, self.shape)
+        loss, wide = _loss(self.arrays) if measure else (0, 0), self.shape[0]
+        if tree.open == [1]:
+            _, *self.values = _gradients(self.bins, *(a[self.train] for a in (*self.arrays[1:3], *self.arrays[4:])))
+            self.at, self.node = np.arange(len(self.train)), np.ones(len(self.train), np.int64)
+        else:
+            f = tree.feature[self.node]
+            self.node = 2 * self.node + (self.bins.ravel()[self.at * wide + f] > tree.cut[self.node])
+        slot = tree.slots()[self.node]
+        if len(stay := np.flatnonzero(slot >= 0)) < len(slot):
+            self.at, self.node, slot = self.at[stay], self.node[stay], slot[stay]
+        whole = len(self.at) == len(self.train)
+        sums = _histograms([c if whole else c[self.at] for c in self.columns], slot, tuple(v if whole else v[self.at] for v in self.values), len(tree.open), self.shape)
         return [(k, *_best_cut(sums[:, k], tree.rule.least)) for k in range(len(tree.open))], float(loss[0] / loss[1]) if loss[1] else None
 
     def add(self, tree: tuple) -> None:
@@ -280,54 +310,62 @@ class _Held:
 
 def _in_one_task(state: DataFrame, shape: tuple[int, int], rule: _Rule) -> tuple[list, list[float]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [arrays for b in batches for arrays in _state_arrays(b, [])]
+        parts = [_state_arrays(row) for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(b.num_columns)), strict=True)]
         made = _rounds(_Held(tuple(np.concatenate(x) for x in zip(*parts, strict=True)), shape), rule)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["made"])
 
     return pickle.loads(state.coalesce(1).mapInArrow(run, "made binary").first()["made"])  # noqa: S301 (our own task's, some MB at most)
 
 
-CUT = "slot long, feature long, bin long, gain double, g double, h double, n double, all_g double, all_h double, all_n double"
+def _by_passes(state: DataFrame, shape: tuple[int, int], rule: _Rule) -> tuple[list, list[float]]:
+    source = _Passes(state.sparkSession, state.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK), shape)
+    try:
+        return _rounds(source, rule)
+    finally:
+        source.blocks.unpersist()
 
 
 @dataclass
 class _Passes:
-    """Units in a table, a job for each level. ``fresh``: trees that the table's margins do not have yet; at three they are added and the table is written anew."""
+    """Units in blocks that the executors keep, one job of one stage for each level: a task's sums per open node, feature and bin go to the driver, where there are as many as
+    tasks. A tree's values are added to the margins by the next pass; every ``CUT`` trees the blocks are written, which ends their lineage."""
 
-    state: DataFrame
+    spark: SparkSession
+    blocks: RDD
     shape: tuple[int, int]
-    fresh: list = field(default_factory=list)
+    made: int = 0
+    old: RDD | None = None
+
+    CUT = 16
 
     def add(self, tree: tuple) -> None:
-        self.fresh.append(tree)
-        if len(self.fresh) == 3:
-            self.state, self.fresh = written(_with_margins(self.state, self.fresh), "boost"), []
+        def with_tree(row: tuple) -> tuple:
+            arrays = _state_arrays(row)
+            return *row[:5], (arrays[4] + _margin(arrays[0], [tree])).tobytes(), row[6]
+
+        self.old, self.made = self.blocks, self.made + 1
+        moved = self.blocks.map(with_tree)
+        if self.made % self.CUT == 0:
+            moved = written(self.spark.createDataFrame(moved, STATE, verifySchema=False), "boost").rdd.map(tuple)
+        self.blocks = moved.persist(StorageLevel.MEMORY_AND_DISK)
 
     def level(self, tree: _Growing, measure: bool) -> tuple[list, float | None]:
-        shape, fresh, least = (len(tree.open), *self.shape), list(self.fresh), tree.rule.least
+        shape = (len(tree.open), *self.shape)
 
-        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add_up(rows: Iterator[tuple]) -> Iterator[tuple]:
             sums, lost = np.zeros((3, *shape)), np.zeros(2)
-            for batch in batches:
-                for arrays in _state_arrays(batch, fresh):
-                    sums += _sums(arrays, tree, shape[1:])
-                    lost += _loss(arrays) if measure else 0
-            for k in range(shape[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sums[:, k].tobytes()], pa.binary())], names=["slot", "sums"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([lost.tobytes()], pa.binary())], names=["slot", "sums"])
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for slot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    total[slot] = total.get(slot, 0) + np.frombuffer(data.as_buffer(), float)
-            rows = [(k, *_best_cut(v.reshape(3, *shape[1:]), least)) if k >= 0 else (k, -1, -1, 0.0, *v, *[0.0] * 4) for k, v in total.items()]
-            yield _table(rows, "iiiddddddd", [c.split()[0] for c in CUT.split(", ")])
-
-        summed = self.state.mapInArrow(add_up, "slot long, sums binary").repartition(1 + shape[0] // 4, "slot")
-        got = [tuple(r) for r in summed.mapInArrow(choose, CUT).collect()]  # a row per open node
-        loss = next((r[4:6] for r in got if r[0] < 0), (0.0, 0.0))
-        return [r for r in got if r[0] >= 0], loss[0] / loss[1] if loss[1] else None
+            for row in rows:
+                arrays = _state_arrays(row)
+                sums += _sums(arrays, tree, shape[1:])
+                lost += _loss(arrays) if measure else 0
+            yield sums, lost
+
+        parts = self.blocks.mapPartitions(add_up).collect()
+        if self.old is not None:
+            self.old.unpersist()
+            self.old = None
+        sums, lost = (sum(x[1:], x[0]) for x in zip(*parts, strict=True))
+        return [(k, *_best_cut(sums[:, k], tree.rule.least)) for k in range(shape[0])], float(lost[0] / lost[1]) if lost[1] else None
 
 
 class _Growing:
@@ -356,6 +394,12 @@ class _Growing:
         self.open = sorted(c for c in opened if c // 2 in likely)
         return bool(self.open)
 
+    def slots(self) -> np.ndarray:
+        """By heap number the place among the open nodes, -1 if it is not open."""
+        out = np.full(len(self.feature), -1, np.int64)
+        out[self.open] = np.arange(len(self.open))
+        return out
+
     def _greatest(self) -> list[int]:
         """The splits that a growth by greatest gain makes until there are enough leaves: a split's gain does not depend on the order."""
         edge, kept = [1] if self.feature[1] >= 0 else [], []
@@ -381,32 +425,38 @@ class _Growing:
 
 @dataclass(frozen=True)
 class ExtraTrees:
-    """``nodes``: a table (tree, node, feature, cut, p), feature -1 in leaves; p the share of the second class there."""
+    """``nodes``: a table (tree, node, feature, cut, p), feature -1 in leaves; p the share of the second class there. ``packed``: the same as a row per tree (``PACKED``), where
+    there is one."""
 
     features: list[str]
     fill: dict[str, float]
     nodes: DataFrame
     trees: int
     per_pass: int = 2_000_000
+    packed: DataFrame | None = None
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """Trees are taken in groups of ``per_pass`` nodes (44 MB), and each group goes to the tasks once; the groups' sums are added on the way, without a shuffle."""
-        spark = rows.sparkSession
-        sizes = self.nodes.groupBy("tree").count().orderBy("tree").collect()  # a row per tree
+        """A forest of up to ``per_pass`` nodes (26 MB) goes to the rows' tasks, and so do those of a larger one for a stream, a group at a time; else rows and trees meet in
+        the tasks of ``_point_scores``."""
+        forest = self.packed if self.packed is not None else written(_packed(self.nodes), "forest")
+        sizes = [tuple(r) for r in forest.select("tree", "size").orderBy("tree").collect()]  # a row per tree
+        xs = [f"__x{k}" for k in range(len(self.features))]
+        wide = rows.select("*", *_filled(self.features, self.fill))
+        if not rows.isStreaming and sum(n for _, n in sizes) > self.per_pass:
+            scores = _point_scores(wide.select(xs).distinct(), xs, forest, sizes)
+            return wide.join(scores, xs).select(*rows.columns, "score")
         groups, size = [[]], 0
-        for r in sizes:
-            if groups[-1] and size + r["count"] > self.per_pass:
+        for tree, n in sizes:
+            if groups[-1] and size + n > self.per_pass:
                 groups.append([])
                 size = 0
-            groups[-1].append(r["tree"])
-            size += r["count"]
-        xs, trees = [f"__x{k}" for k in range(len(self.features))], max(1, len(sizes))
-        wide = rows.select("*", *_filled(self.features, self.fill), F.lit(0.0).alias("__sum"))
+            groups[-1].append(tree)
+            size += n
+        wide = wide.withColumn("__sum", F.lit(0.0))
         for group in groups if sizes else []:
-            table = self.nodes.where(F.col("tree").between(group[0], group[-1])).orderBy("tree", "node").toPandas()
-            parts = [_linked(t["node"].to_numpy(), t["feature"].to_numpy(), t["cut"].to_numpy(), t["p"].to_numpy()) for _, t in table.groupby("tree")]
-            wide = wide.mapInArrow(_adder(spark.sparkContext.broadcast(parts), xs), wide.schema)
-        return wide.withColumn("score", F.col("__sum") / trees).drop(*xs, "__sum")
+            parts = [_arrays(r["feature"], r["value"], r["low"]) for r in forest.where(F.col("tree").between(group[0], group[-1])).orderBy("tree").collect()]
+            wide = wide.mapInArrow(_adder(rows.sparkSession.sparkContext.broadcast(parts), xs), wide.schema)
+        return wide.withColumn("score", F.col("__sum") / max(1, len(sizes))).drop(*xs, "__sum")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -418,28 +468,124 @@ class ExtraTrees:
         return cls(a["features"], dict(zip(a["features"], a["fill"], strict=True)), spark.read.parquet(f"{path}/nodes"), a["trees"])
 
 
-def _linked(node: np.ndarray, feature: np.ndarray, cut: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Nodes in the order of their heap numbers, with the place of the left child; the right one stands behind it."""
-    return feature.astype(np.int16), cut.astype(float), p.astype(float), np.searchsorted(node, 2 * node).astype(np.int32)
+#: A tree: its number of nodes, and the bytes of an array each for the nodes' features (-1 in leaves), their cuts or shares, and the places of the left children; the right ones
+#: stand behind these, and the root is first.
+PACKED = "tree int, size int, feature binary, value binary, low binary"
+
+
+def _packed(nodes: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, feature, cut, p = (table.column(c).to_numpy() for c in ("node", "feature", "cut", "p"))
+        return _packed_row(table.column("tree")[0].as_py(), feature, np.where(feature < 0, p, cut), np.searchsorted(node, 2 * node))
+
+    return nodes.select("tree", "node", "feature", "cut", "p").groupBy("tree").applyInArrow(run, PACKED)
+
+
+def _packed_row(tree: int, feature: np.ndarray, value: np.ndarray, low: np.ndarray) -> pa.Table:
+    data = [pa.array([a.astype(t).tobytes()], pa.binary()) for a, t in ((feature, np.int16), (value, float), (low, np.int32))]
+    return pa.table([pa.array([tree], pa.int32()), pa.array([len(feature)], pa.int32()), *data], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def _unpacked(forest: DataFrame) -> DataFrame:
+    """(tree, node, feature, cut, p) of packed trees, nodes numbered as in a heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree, _, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                feature, value, low = _arrays(*data)
+                node, level = np.ones(len(feature), np.int64), np.zeros(1, np.int64)
+                while len(level := level[feature[level] >= 0]):
+                    node[low[level]], node[low[level] + 1] = 2 * node[level], 2 * node[level] + 1
+                    level = np.concatenate([low[level], low[level] + 1])
+                leaf = feature < 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), tree, np.int32)), pa.array(node), pa.array(feature.astype(np.int32)), pa.array(np.where(leaf, 0.0, value)), pa.array(np.where(leaf, value, 0.0))], names=["tree", "node", "feature", "cut", "p"])
+
+    return forest.mapInArrow(run, "tree int, node long, feature int, cut double, p double")
+
+
+def _arrays(feature: bytes, value: bytes, low: bytes) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(feature, np.int16), np.frombuffer(value), np.frombuffer(low, np.int32)
+
+
+def _leaf_shares(x: np.ndarray, feature: np.ndarray, value: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A tree's share for each row."""
+    flat, out, going, at = x.ravel(), np.zeros(len(x)), np.arange(len(x)), np.zeros(len(x), np.int64)
+    while len(going):
+        f = feature[at]
+        inner = f >= 0
+        if not inner.all():
+            out[going[~inner]] = value[at[~inner]]
+            going, at, f = going[inner], at[inner], f[inner]
+        at = low[at] + (flat[going * x.shape[1] + f] > value[at])
+    return out
 
 
 def _adder(forest, xs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, total = _matrix(batch, xs), np.zeros(batch.num_rows)
-            for feature, cut, p, left in forest.value:
-                at, going = np.zeros(len(x), np.int32), np.arange(len(x))
-                while len(going):
-                    going = going[feature[at[going]] >= 0]
-                    k = at[going]
-                    at[going] = left[k] + (x[going, feature[k]] > cut[k])
-                total += p[at] if len(p) else 0.0
+            for tree in forest.value:
+                total += _leaf_shares(x, *tree)
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch.column(len(names) - 1).to_numpy(zero_copy_only=False) + total)], names=names)
 
     return run
 
 
+#: Rows and nodes that meet in a task when a large forest scores rows: 80 MB of five features, 140 MB of nodes.
+TASK_POINTS, TASK_NODES = 2_000_000, 10_000_000
+
+
+def _point_scores(points: DataFrame, xs: list[str], forest: DataFrame, sizes: list[tuple[int, int]]) -> DataFrame:
+    """(features, score) of distinct points. These and the trees are dealt into groups, and each pair of a group of points and one of trees meets in a task, so the driver has no
+    trees, and a task a bounded part of both. The sums of a block's groups of trees are added in their order: equal points have equal scores."""
+    spark, wide = points.sparkSession, len(xs)
+    blocks = written(_point_blocks(points, xs), "points")
+    count = blocks.agg(F.sum("n")).first()[0] or 0
+    parts, groups = max(1, -(-count // TASK_POINTS)), min(len(sizes), max(2 * _slots(spark), -(-sum(n for _, n in sizes) // TASK_NODES)))
+    none = {c: F.lit(None).cast(t) for c, t in (("tree", "int"), ("feature", "binary"), ("value", "binary"), ("low", "binary"), ("block", "long"), ("x", "binary"))}
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = blocks.withColumn("g", every(groups)).select((F.col("g") * parts + F.pmod("block", F.lit(parts))).cast("int").alias("task"), *[F.col(c) if c in ("block", "x") else v.alias(c) for c, v in none.items()])
+    right = forest.withColumn("part", every(parts)).select((F.pmod("tree", F.lit(groups)) * parts + F.col("part")).cast("int").alias("task"), *[v.alias(c) if c in ("block", "x") else F.col(c) for c, v in none.items()])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees, own, task = [], [], 0
+        for batch in batches:
+            for task, tree, feature, value, low, block, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007 (the task's own number)
+                if tree is None:
+                    own.append((block, x))
+                else:
+                    trees.append((tree, _arrays(feature, value, low)))
+        trees.sort(key=lambda t: t[0])
+        for block, data in own:
+            x = np.frombuffer(data).reshape(-1, wide)
+            total = np.zeros(len(x))
+            for _, tree in trees:
+                total += _leaf_shares(x, *tree)
+            group = task // parts
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([group], pa.int32()), pa.array([data if group == 0 else None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["block", "g", "x", "sums"])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        table = table.sort_by("g")
+        total = sum(np.frombuffer(data.as_buffer()) for data in table.column("sums"))
+        x = np.frombuffer(table.column("x")[0].as_buffer()).reshape(-1, wide)
+        return pa.table([*(pa.array(np.ascontiguousarray(c)) for c in x.T), pa.array(total / len(sizes))], names=[*xs, "score"])
+
+    sums = left.unionByName(right).repartitionById(groups * parts, "task").mapInArrow(meet, "block long, g int, x binary, sums binary")
+    return written(sums.groupBy("block").applyInArrow(add_up, ", ".join(f"{c} double" for c in [*xs, "score"])), "scores")
+
+
+def _point_blocks(points: DataFrame, xs: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, BLOCK // 2):
+            x = _matrix(batch, xs)
+            data = x[np.lexsort(x.T[::-1])].tobytes()  # neighbours take like ways
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(hashlib.md5(data).digest()[:7])], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([data], pa.binary())], names=["block", "n", "x"])
+
+    return points.mapInArrow(run, "block long, n long, x binary")
+
+
 @dataclass
 class _Top:
     """The upper nodes of a forest, by (tree, node): a split (feature, cut) or a closed node. ``rest``: nodes with few enough rows, whose subtrees are grown in one task each."""
@@ -460,16 +606,25 @@ class _Top:
         return node
 
 
-def extra_trees(rows: DataFrame, features: list[str], y: str, weight: str = "weight", trees: int = 500, depth: int = 24, least: int = 2, tried: int | None = None, seed: int = 104, local: int = 20_000) -> ExtraTrees:
+def extra_trees(rows: DataFrame, features: list[str], y: str, weight: str = "weight", trees: int = 500, depth: int = 24, least: int = 2, tried: int | None = None, seed: int = 104, local: int = 4_000_000, lower: int = 20_000) -> ExtraTrees:
     """Trees on all rows whose splits have random cuts: at every node ``tried`` features (by default the root of their number) that are not constant there get a cut drawn
-    between their least and greatest value, and the cut of greatest Gini gain splits, if both sides have ``least`` rows.
+    between their least and greatest value, and the cut of greatest Gini gain splits, if both sides have ``least`` rows. Null features are their median; no rows give no nodes.
 
-    Nodes of more than ``local`` rows are split level by level for all trees at once: one pass for the ranges of the features, one for the sums beside the cuts. The rows of
-    a smaller node go to one task, which grows the node's subtree by the same rule. Null features are their median; no rows give no nodes."""
+    Rows that agree in all features are one point with a count of each class. Up to ``local`` points go to every task that grows trees (48 bytes a point of five features), and
+    a task grows its share of the trees from them. Of more points, or where a class has several weights, nodes of more than ``lower`` rows are split level by level for all
+    trees at once: one pass for the ranges of the features, one for the sums beside the cuts; the rows of a smaller node go to one task, which grows the node's subtree."""
     fill = medians(rows, features)
     names = [f"__x{k}" for k in range(len(features))]
     tried = tried or max(1, int(len(features) ** 0.5))
     data = written(rows.select(*_filled(features, fill), F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w")), "extra")
+    by_class = [tuple(r) for r in data.groupBy("y").agg(F.min("w"), F.max("w"), F.count(F.lit(1))).limit(3).collect()]
+    if all(c in (0.0, 1.0) and low is not None and 0 < low == high and n < 1 << 31 for c, low, high, n in by_class):
+        points = written(_points(data, names), "points")
+        if (points.agg(F.sum("n")).first()[0] or 0) <= local:
+            weights = {c: low for c, low, _, _ in by_class}
+            forest = written(_grown(points, len(features), [weights.get(c, 0.0) for c in (0.0, 1.0)], trees, depth, least, tried, seed), "forest")
+            return ExtraTrees(list(features), fill, _unpacked(forest), trees, packed=forest)
+    local = min(local, lower)
     spark, top = rows.sparkSession, _Top([{} for _ in range(trees)])
     whole = data.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("w")).first()
     leaves: list[tuple] = []
@@ -511,6 +666,111 @@ def extra_trees(rows: DataFrame, features: list[str], y: str, weight: str = "wei
     return ExtraTrees(list(features), fill, written(upper.unionByName(lower), "forest"), trees)
 
 
+def _points(data: DataFrame, names: list[str]) -> DataFrame:
+    """(n, x, counts): blocks of the distinct points with their rows of each class, those of the second class in a count's upper half."""
+    each = data.groupBy(*names).agg(F.sum(F.when(F.col("y") == 1, F.lit(1 << 32)).otherwise(F.lit(1))).alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([_matrix(batch, names).tobytes()], pa.binary()), pa.array([batch.column("counts").to_numpy().tobytes()], pa.binary())], names=["n", "x", "counts"])
+
+    return each.mapInArrow(run, "n long, x binary, counts binary")
+
+
+def _grown(points: DataFrame, features: int, weights: list[float], trees: int, depth: int, least: int, tried: int, seed: int) -> DataFrame:
+    """Packed trees, each task's grown from all points."""
+    tasks = min(trees, 2 * _slots(points.sparkSession))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if not blocks:
+            return
+        task = blocks[0][0]
+        x = np.concatenate([np.frombuffer(b[1]).reshape(-1, features) for b in blocks])
+        counts = np.concatenate([np.frombuffer(b[2], np.int64) for b in blocks])
+        del blocks
+        order = np.lexsort(x.T[::-1])  # the same trees in whatever order the blocks come
+        x, counts = x[order], counts[order]
+        for t in range(task, trees, tasks):
+            yield from _packed_row(t, *grow_points(x, counts, weights, depth, least, tried, np.random.default_rng([seed, t]))).to_batches()
+
+    every = points.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "x", "counts")
+    return every.repartitionById(tasks, "task").mapInArrow(run, PACKED)
+
+
+def grow_points(x: np.ndarray, counts: np.ndarray, weights: list[float], depth: int, least: int, tried: int, rng: np.random.Generator, block: int = 2 * BLOCK) -> tuple[np.ndarray, ...]:
+    """(feature, cut or share, place of the left child) of a tree's nodes. All nodes of a level are split at once, until there are more rows than a ``block``: then runs of nodes
+    of that many rows go on by themselves, with copies of their rows, which keeps these in the processor's cache. A count's halves are the rows of either class."""
+    width, made, out, low_half = x.shape[1], 1, [[], [], [], []], np.int64((1 << 32) - 1)
+    todo = [(np.ascontiguousarray(x).ravel(), counts, np.arange(len(counts)), np.array([len(counts)]), np.zeros(1, np.int64), np.zeros((1, width), bool), 0)]
+    while todo:
+        # rows in the order of their nodes; per node its rows, place, and the features known to be constant
+        flat, have, at, sizes, ids, fixed, level = todo.pop()
+        if 2 * len(at) <= len(have) and len(have) > block:
+            flat, have, at = flat.reshape(-1, width)[at].ravel(), have[at], np.arange(len(at))
+        starts, every, own, base = np.cumsum(sizes) - sizes, np.arange(len(ids)), have[at], at * width
+        total = np.add.reduceat(own, starts)
+        all_1, all_n = total >> 32, (total >> 32) + (total & low_half)
+        feature, cut, best = np.full(len(ids), -1), np.zeros(len(ids)), np.full(len(ids), -np.inf)
+        wants = np.where((all_n >= 2 * least) & (all_1 > 0) & (all_1 < all_n) & (level < depth), tried, 0)
+        draw, right = np.argsort(rng.random(fixed.shape), 1), np.zeros(len(at), bool)
+        for k in range(width):
+            asks = (wants > 0) & ~fixed[every, draw[:, k]]
+            some = np.flatnonzero(asks)
+            if not len(some):
+                continue
+            f, n = draw[some, k], sizes[some]
+            rows = np.flatnonzero(np.repeat(asks, sizes)) if len(some) < len(ids) else slice(None)
+            first = np.cumsum(n) - n
+            v = flat[base[rows] + np.repeat(f, n)]
+            low, high = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
+            varies = low < high
+            fixed[some[~varies], f[~varies]] = True
+            wants[some] -= varies
+            c = low + (high - low) * rng.random(len(some))
+            over = v > np.repeat(c, n)
+            beyond = np.add.reduceat(own[rows] * over, first)
+            r1, rn = beyond >> 32, (beyond >> 32) + (beyond & low_half)
+            l1, ln = all_1[some] - r1, all_n[some] - rn
+            rp, lp, ro, lo = r1 * weights[1], l1 * weights[1], (rn - r1) * weights[0], (ln - l1) * weights[0]
+            ok = varies & (ln >= least) & (rn >= least)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = (lp**2 + lo**2) / (lp + lo) + (rp**2 + ro**2) / (rp + ro)
+            ok &= np.where(ok, gain, -np.inf) > best[some]
+            won, takes = some[ok], np.repeat(ok, n)
+            feature[won], cut[won], best[won] = f[ok], c[ok], gain[ok]
+            if isinstance(rows, slice):
+                np.copyto(right, over, where=takes)
+            else:
+                right[rows[takes]] = over[takes]
+        split = feature >= 0
+        child = np.where(split, made + 2 * (np.cumsum(split) - 1), 0)
+        p, o = all_1 * weights[1], (all_n - all_1) * weights[0]
+        for column, value in zip(out, (ids, feature, np.where(split, cut, np.divide(p, p + o, out=np.zeros(len(ids)), where=p + o > 0)), child), strict=True):
+            column.append(value)
+        made += 2 * int(split.sum())
+        if not split.any():
+            continue
+        stays, n = np.repeat(split, sizes), sizes[split]
+        at, right = at[stays], right[stays]
+        node = np.repeat(np.arange(0, 2 * len(n), 2), n) + right
+        at = at[np.argsort(node.astype(np.uint16) if 2 * len(n) <= 1 << 16 else node, kind="stable")]
+        beyond = np.add.reduceat(right, np.cumsum(n) - n, dtype=np.int64)
+        sizes, ids, fixed = np.column_stack([n - beyond, beyond]).ravel(), np.column_stack([child[split], child[split] + 1]).ravel(), np.repeat(fixed[split], 2, 0)
+        ends = np.cumsum(sizes)
+        begin = 0
+        for end in [*(np.flatnonzero(np.diff((ends - 1) // block)) + 1).tolist(), len(ids)]:
+            todo.append((flat, have, at[ends[begin] - sizes[begin] : ends[end - 1]], sizes[begin:end], ids[begin:end], fixed[begin:end], level + 1))
+            begin = end
+    place = np.concatenate(out[0])
+    tree = []
+    for column in out[1:]:
+        values = np.concatenate(column)
+        tree.append(np.empty_like(values))
+        tree[-1][place] = values
+    return tuple(tree)
+
+
 def _per_tree(batch: pa.RecordBatch, names: list[str], top: _Top, wanted) -> Iterator[tuple]:
     """(tree, node, rows, x) of the batch's rows in each wanted node."""
     x = _matrix(batch, names)

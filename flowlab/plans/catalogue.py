@@ -308,8 +308,8 @@ def ratio_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.ratio_sample(views.flows(spark, sf_dir), "is_attack", 500, SEED, "flow_id").select("flow_id", "is_attack")
 
 
-def by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.flows(spark, sf_dir).withColumn("role", F.when(F.col("day_ix") < 3, "train").when(F.col("day_ix") == 3, "val").otherwise("test"))
+def by_day(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    return views.flows(spark, sf_dir, source).withColumn("role", F.when(F.col("day_ix") < 3, "train").when(F.col("day_ix") == 3, "val").otherwise("test"))
 
 
 DAYS = "with d as (select *, case when day_ix < 3 then 'train' when day_ix = 3 then 'val' else 'test' end as role from v_flows)\n"
