@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from flowlab.operators import evaluate, models, trees
+from flowlab.operators import evaluate, experiments, models, trees
 from flowlab.plans import protocols
 from pyspark.sql import functions as F
 
@@ -75,3 +75,16 @@ def test_large_forests_score_without_the_driver(spark, rows, monkeypatch):
 
 def test_boosting_in_one_task_up_to_a_million_units():
     assert trees.boost.__defaults__[-1] == 1_000_000
+
+
+def test_candidates_are_scored_once(rows, monkeypatch):
+    """Train and val of a candidate go through its model in one pass, whose scores give the threshold and the metrics that a pack gives."""
+    calls, score = [], models.score_rows
+    monkeypatch.setattr(models, "score_rows", lambda model, df: calls.append(model) or score(model, df))
+    dealt = rows.drop("weight").withColumn("role", F.element_at(F.array(F.lit("train"), F.lit("val")), (F.col("id") % 2 + 1).cast("int")))
+    board, packs = experiments.rank_candidates(dealt, ["logreg", "extra"], FEATURES, "y", size=5)
+    got = {r["model"]: r for r in board.collect()}
+    assert len(calls) == 2 and list(packs) == ["logreg", "extra"]
+    for kind, pack in packs.items():
+        want = experiments.evaluate_pack(pack, dealt, "y").first().asDict()
+        assert {k: pytest.approx(got[kind][k]) for k in want} == want
