@@ -436,13 +436,13 @@ class ExtraTrees:
     packed: DataFrame | None = None
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """A forest of up to ``per_pass`` nodes (26 MB) goes to the rows' tasks, and so do those of a larger one for a stream, a group at a time; else rows and trees meet in
-        the tasks of ``_point_scores``."""
+        """A forest of up to ``SENT`` nodes goes to the rows' tasks by way of the driver, and so does a larger one for a stream, in groups of ``per_pass`` nodes; else rows and
+        trees meet in the tasks of ``_point_scores``."""
         forest = self.packed if self.packed is not None else written(_packed(self.nodes), "forest")
         sizes = [tuple(r) for r in forest.select("tree", "size").orderBy("tree").collect()]  # a row per tree
         xs = [f"__x{k}" for k in range(len(self.features))]
         wide = rows.select("*", *_filled(self.features, self.fill))
-        if not rows.isStreaming and sum(n for _, n in sizes) > self.per_pass:
+        if not rows.isStreaming and sum(n for _, n in sizes) > min(SENT, self.per_pass):
             scores = _point_scores(wide.select(xs).distinct(), xs, forest, sizes)
             return wide.join(scores, xs).select(*rows.columns, "score")
         groups, size = [[]], 0
@@ -533,6 +533,8 @@ def _adder(forest, xs: list[str]):
     return run
 
 
+#: Nodes that the driver may have at a time: 3 MB.
+SENT = 200_000
 #: Rows and nodes that meet in a task when a large forest scores rows: 80 MB of five features, 140 MB of nodes.
 TASK_POINTS, TASK_NODES = 2_000_000, 10_000_000
 
